@@ -1,0 +1,44 @@
+"""Queries in, and their terms cut into blocks small enough to broadcast."""
+
+from __future__ import annotations
+
+import math
+from collections.abc import Iterator
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from ..functions import text as tx
+from ..sources.workspace import materialise
+
+# Rows of (query, term, weight) one broadcast may hold: about 25 MB in memory.
+BROADCAST_TERMS = 250_000
+
+
+def valid_queries(queries: DataFrame) -> DataFrame:
+    """Stripped, non-blank queries."""
+    q = queries.select("query_id", tx.strip(tx.or_blank(F.col("query"))).alias("query"))
+    return q.filter(F.col("query") != "")
+
+
+def blocks(weighted: DataFrame, limit: int = BROADCAST_TERMS) -> Iterator[DataFrame]:
+    """Split weighted query terms by query into parts that are broadcast when they fit ``limit`` rows.
+
+    One part for ordinary batches. A part that is still too big, because one query alone is, is left
+    unhinted and joined by shuffle.
+    """
+    weighted = materialise(weighted, "query-terms")
+    rows = weighted.count()
+    n = math.ceil(rows / limit) if rows > limit else 1
+    if n == 1:
+        yield F.broadcast(weighted)
+        return
+    weighted = materialise(
+        weighted.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(2 * n)).cast("int")),
+        "query-blocks",
+        ["block"],
+    )
+    sizes = {r["block"]: r["n"] for r in weighted.groupBy("block").agg(F.count("*").alias("n")).collect()}
+    for block, size in sorted(sizes.items()):
+        part = weighted.filter(F.col("block") == block).drop("block")
+        yield F.broadcast(part) if size <= limit else part

@@ -1,0 +1 @@
+"""No streaming operators: every computation of this engine is a batch job over tables."""
