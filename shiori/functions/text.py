@@ -7,18 +7,20 @@ from collections.abc import Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Character classes and default text that results depend on.
-# The white-space class is the one Python's str.split() uses, wider than Java's \s (it has U+3000).
+# Characters and default text that results depend on.
+# White space is what Python's str.split() takes for it, wider than Java's \s (it has U+3000).
 WHITE_SPACE = (
-    r"[\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+"
+    "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680"
+    "\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
+    "\u2028\u2029\u202f\u205f\u3000"
 )
-WORD = r"[\p{L}\p{N}_]{2,}"
+WORD = r"[\p{L}\p{N}_]{2,}+"
 BLANK_TEXT = "統計指標"
 
 
 def strip(text: Column) -> Column:
     """Trim Unicode white space at both ends."""
-    return F.regexp_replace(text, f"^{WHITE_SPACE}|{WHITE_SPACE}$", "")
+    return F.btrim(text, F.lit(WHITE_SPACE))
 
 
 def or_blank(text: Column) -> Column:
@@ -36,8 +38,12 @@ def is_blank(text: Column) -> Column:
 
 
 def space_tokens(text: Column) -> Column:
-    """White-space tokens, case kept; null gives none."""
-    return F.filter(F.split(or_blank(text), WHITE_SPACE), lambda t: t != "")
+    """White-space tokens, case kept; null gives none.
+
+    Mapping every kind of white space to a space first is several times faster than a regex class.
+    """
+    spaced = F.translate(or_blank(text), WHITE_SPACE, " " * len(WHITE_SPACE))
+    return F.array_remove(F.split(spaced, " "), "")
 
 
 def word_tokens(text: Column, stop_words: Sequence[str] = ()) -> Column:

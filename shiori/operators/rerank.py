@@ -12,38 +12,53 @@ from ..functions.scores import best
 from ..sources.catalogue import SEARCH_FIELDS
 from ..sources.index_store import DOC_PART, Index, doc_part
 
-# Fixed value: what a field holding the whole query adds.
+# What a field holding the whole query adds, and the longest result list.
 WHOLE_QUERY = 2
 MAX_RESULTS = 80
 
+# Candidate rows (ids and scores only) one broadcast may hold: about 30 MB in memory.
+BROADCAST_CANDIDATES = 500_000
 
-def lexical_score(query: Column, fields: Sequence[Column]) -> Column:
+
+def prepared(queries: DataFrame) -> DataFrame:
+    """Queries with their lower-cased text and its distinct words, worked out once per query."""
+    lowered = queries.select("query_id", F.lower("query").alias("asked"))
+    return lowered.withColumn("asked_words", F.array_distinct(tx.space_tokens(F.col("asked"))))
+
+
+def lexical_score(fields: Sequence[Column]) -> Column:
     """Per field: 2 if it holds the whole query, plus the number of distinct words they share.
 
     Case is ignored; a null field adds nothing.
     """
-    asked = F.lower(query)
-    words = F.array_distinct(tx.space_tokens(asked))
 
     def one(field: Column) -> Column:
         held = F.lower(field)
-        whole = F.when(F.contains(held, asked), WHOLE_QUERY).otherwise(0)
-        return F.coalesce(whole + F.size(F.array_intersect(words, tx.space_tokens(held))), F.lit(0))
+        whole = F.when(F.contains(held, F.col("asked")), WHOLE_QUERY).otherwise(0)
+        shared = F.size(F.array_intersect(F.col("asked_words"), tx.space_tokens(held)))
+        return F.when(field.isNull(), 0).otherwise(whole + shared)
 
     total = F.lit(0)
     for field in fields:
-        total = total + F.when(field.isNull(), 0).otherwise(one(field))
+        total = total + one(field)
     return total
 
 
-def with_documents(index: Index, candidates: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Candidates joined with corpus columns; only the corpus partitions that hold some are read."""
+def with_documents(index: Index, candidates: DataFrame, depth: int, columns: Sequence[str]) -> DataFrame:
+    """Candidates joined with corpus columns.
+
+    Up to a checked number of candidates they are broadcast and the corpus is scanned in place, reading
+    only the corpus partitions some candidate falls into; beyond it the join shuffles.
+    """
     parts = index.meta["doc_parts"]
-    keyed = candidates.withColumn(DOC_PART, doc_part(F.col("doc_id"), parts))
+    keyed = candidates.filter(F.col("rk") <= depth).withColumn(DOC_PART, doc_part(F.col("doc_id"), parts))
+    if candidates.count() <= BROADCAST_CANDIDATES:
+        keyed = F.broadcast(keyed)
     return index.corpus.select("doc_id", DOC_PART, *columns).join(keyed, ["doc_id", DOC_PART]).drop(DOC_PART)
 
 
 def rerank(candidates: DataFrame, k: int, fields: Sequence[str] = SEARCH_FIELDS) -> DataFrame:
-    """Candidates (query_id, query, doc_id, rk, fields) by lexical score, then by the order they had."""
-    marked = candidates.withColumn("rerank_score", lexical_score(F.col("query"), [F.col(f) for f in fields]))
-    return best(marked, k, ["query_id"], [F.desc("rerank_score"), F.asc("rk")], rank="rank")
+    """Candidates (query_id, asked, asked_words, doc_id, rk, fields) by lexical score, then as they were."""
+    marked = candidates.withColumn("rerank_score", lexical_score([F.col(f) for f in fields]))
+    kept = marked.drop("asked", "asked_words")
+    return best(kept, k, ["query_id"], [F.desc("rerank_score"), F.asc("rk")], rank="rank")

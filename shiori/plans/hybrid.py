@@ -9,7 +9,7 @@ from ..functions import text as tx
 from ..operators.bm25 import bm25_topk
 from ..operators.fusion import fuse
 from ..operators.query_terms import valid_queries
-from ..operators.rerank import MAX_RESULTS, rerank, with_documents
+from ..operators.rerank import MAX_RESULTS, prepared, rerank, with_documents
 from ..operators.tfidf import tfidf_topk
 from ..operators.vectors import Embedder, embed, hashing_embedder, vector_topk
 from ..sources.catalogue import SEARCH_FIELDS
@@ -63,11 +63,11 @@ def hybrid_search(
     """
     queries = materialise(valid_queries(queries), "queries")
     fused = materialise(candidates(index, queries, top_k, vector_weight, vectors, embedder), "candidates")
-    columns = list(dict.fromkeys([*SEARCH_FIELDS, *RESULT_COLUMNS]))
-    documents = with_documents(index, fused.join(queries, "query_id"), columns)
     if reranked:
+        columns = list(dict.fromkeys([*SEARCH_FIELDS, *RESULT_COLUMNS]))
+        documents = with_documents(index, fused, 2 * top_k, columns).join(prepared(queries), "query_id")
         results = rerank(documents, min(top_k, MAX_RESULTS))
     else:
-        results = documents.filter(F.col("rk") <= top_k).withColumn("rank", F.col("rk"))
+        results = with_documents(index, fused, top_k, RESULT_COLUMNS).withColumn("rank", F.col("rk"))
         results = results.withColumn("rerank_score", F.lit(None).cast("int"))
     return results.select("query_id", "rank", "doc_id", *RESULT_COLUMNS, "score", "rerank_score")

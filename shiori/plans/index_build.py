@@ -26,7 +26,7 @@ def _layout(n_docs: int, cores: int) -> tuple[int, int, int]:
     """
     buckets = max(1, min(cores, math.ceil(n_docs / MIN_DOCS_PER_TASK)), math.ceil(n_docs / DOCS_PER_BUCKET))
     term_parts = max(1, min(32, n_docs // buckets // 5_000))
-    corpus_parts = max(1, min(20_000, math.ceil(n_docs / DOCS_PER_CORPUS_PART)))
+    corpus_parts = min(20_000, max(buckets, math.ceil(n_docs / DOCS_PER_CORPUS_PART)))
     return buckets, term_parts, corpus_parts
 
 
@@ -53,7 +53,6 @@ def build_index(
 
     # The ids and the search text are fixed from here on: everything below reads the saved corpus.
     staged = f"{path}/corpus"
-    n_docs = None
     if corpus_parts is None or buckets is None or term_parts is None:
         n_docs = corpus.count()
         auto = _layout(n_docs, spark.sparkContext.defaultParallelism)
