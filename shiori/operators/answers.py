@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -57,17 +57,18 @@ def respond(asked: DataFrame, responder: Responder, batch_size: int = 100) -> Da
     """
     schema = T.StructType([asked.schema["query_id"], T.StructField("response", T.StringType())])
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for start in range(0, len(batch), batch_size):
-                part = batch.iloc[start : start + batch_size]
+            for start in range(0, batch.num_rows, batch_size):
+                part = batch.slice(start, batch_size)
                 try:
-                    texts = responder(part["system_prompt"].tolist(), part["user_prompt"].tolist())
+                    texts = responder(part.column(1).to_pylist(), part.column(2).to_pylist())
                 except Exception as error:
-                    texts = [FAILURE_PREFIX + str(error)] * len(part)
-                yield pd.DataFrame({"query_id": part["query_id"].to_numpy(), "response": texts})
+                    texts = [FAILURE_PREFIX + str(error)] * part.num_rows
+                columns = [part.column(0), pa.array(texts, pa.string())]
+                yield pa.RecordBatch.from_arrays(columns, names=["query_id", "response"])
 
-    return asked.select("query_id", "system_prompt", "user_prompt").mapInPandas(run, schema)
+    return asked.select("query_id", "system_prompt", "user_prompt").mapInArrow(run, schema)
 
 
 def json_block(text: Column) -> Column:

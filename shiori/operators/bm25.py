@@ -8,12 +8,16 @@ from pyspark.sql import functions as F
 from ..functions import text as tx
 from ..functions.scores import best, by_score, rounded
 from ..sources.index_store import TERM_PART, Index, term_part
+from ..sources.workspace import materialise
 from .query_terms import BROADCAST_TERMS, blocks, valid_queries
 from .ranking import padded, scored
 
 # The customary parameters of the formula.
 K1, B, EPSILON = 1.5, 0.75, 0.25
 
+# Rows of (query, term, count) that may be broadcast to the term statistics: about 50 MB in memory.
+BROADCAST_ASKED = 500_000
+
 
 def postings(tokens: DataFrame, term_parts: int) -> DataFrame:
     """(doc_id, term, tf, dl): counted inside each document's bucket, without a shuffle."""
@@ -45,17 +49,32 @@ def query_weights(index: Index, queries: DataFrame) -> DataFrame:
         .withColumn(TERM_PART, term_part(F.col("term"), index.meta["term_parts"]))
     )
     idf = F.when(F.col("raw") >= 0, F.col("raw")).otherwise(F.lit(floor))
-    return wanted.join(index.table("terms"), ["term", TERM_PART]).select(
+    return _with_stats(wanted, index.table("terms")).select(
         "query_id", "term", TERM_PART, (F.col("qtf") * idf).alias("qw")
     )
 
 
+def _with_stats(wanted: DataFrame, terms: DataFrame) -> DataFrame:
+    """Query terms with their statistics.
+
+    Up to a checked size they are broadcast and only their term partitions are read. Beyond it each
+    distinct term is looked up once, so the shuffled join has one row per term on both sides.
+    """
+    wanted = materialise(wanted, "asked-terms")
+    key = ["term", TERM_PART]
+    if wanted.count() <= BROADCAST_ASKED:
+        return terms.join(F.broadcast(wanted.filter("qtf > 0")), key)
+    known = materialise(terms.join(wanted.select(*key).distinct(), key), "known-terms")
+    return wanted.join(known, key)
+
+
 def _scores(index: Index, weighted: DataFrame) -> DataFrame:
     saturation = F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.lit(index.meta["avg_length"]))
     part = F.col("qw") * F.col("tf") * (K1 + 1) / saturation
+    # The filter drops terms that add nothing; having one, the planner also prunes term partitions by the join.
     return (
         index.table("postings")
-        .join(weighted, ["term", TERM_PART])
+        .join(weighted.filter("qw <> 0"), ["term", TERM_PART])
         .groupBy("query_id", "doc_id")
         .agg(rounded(F.sum(part)).alias("score"))
     )
@@ -71,7 +90,7 @@ def bm25_topk(
     queries = valid_queries(queries)
     # A floored idf below zero (tiny vocabularies only) makes negative scores possible.
     negatives = pad and index.meta["avg_raw"] < 0
-    parts = [_scores(index, b) for b in blocks(query_weights(index, queries), broadcast_terms)]
+    parts = (_scores(index, b) for b in blocks(query_weights(index, queries), broadcast_terms))
     scores = scored(parts, depth, negatives)
     if pad:
         return padded(index, queries, scores, depth, negatives)

@@ -7,7 +7,7 @@ import re
 from collections.abc import Iterator
 from functools import reduce
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -18,8 +18,8 @@ from ..sources.workspace import materialise
 # The columns of a looked-up row.
 DETAIL_COLUMNS = ["koumoku_name_full", "bunya_name", "chuubunrui_name", "shoubunrui_name", "koumoku_code"]
 
-# Names searched for in one scan of the catalogue; each task holds this many in memory.
-NAME_BLOCK = 20_000
+# Characters of names searched for in one scan of the catalogue; a task's automaton takes about 60 MB.
+NAME_CHARACTERS = 1_000_000
 
 
 def exact(names: DataFrame, corpus: DataFrame) -> DataFrame:
@@ -57,7 +57,7 @@ def _regex_finder(keys: list[str]):
     return find
 
 
-def containing(names: DataFrame, corpus: DataFrame, regex: bool = False, block: int = NAME_BLOCK) -> DataFrame:
+def containing(names: DataFrame, corpus: DataFrame, regex: bool = False, characters: int = NAME_CHARACTERS) -> DataFrame:
     """(key, doc_id): the first row whose name contains each ``key``, ignoring case.
 
     Names go to the tasks in blocks of bounded size, one catalogue scan per block. A task runs through
@@ -65,7 +65,8 @@ def containing(names: DataFrame, corpus: DataFrame, regex: bool = False, block:
     neither shuffled nor paired with the names. ``regex`` reads the keys as patterns, skipping invalid ones.
     """
     names = materialise(names.select("key").filter(F.col("key") != "").distinct(), "names")
-    n = max(1, math.ceil(names.count() / block))
+    total = names.agg(F.sum(F.length("key"))).first()[0] or 0
+    n = max(1, math.ceil(total / characters))
     numbered = names.withColumn("b", F.pmod(F.xxhash64("key"), F.lit(n)))
     texts = corpus.select("doc_id", F.col(NAME).alias("text") if regex else F.lower(NAME).alias("text")).filter(
         F.col("text").isNotNull()
@@ -73,24 +74,25 @@ def containing(names: DataFrame, corpus: DataFrame, regex: bool = False, block:
     spark = corpus.sparkSession
     found = []
     for number in range(n):
-        # The block's size follows from the count above; hashing spreads distinct names evenly.
+        # Bounded by the total above: hashing spreads distinct names evenly.
         rows = numbered.filter(F.col("b") == number).select("key", F.lower("key").alias("low")).collect()
         wanted = sorted({r["key"] if regex else r["low"] for r in rows})
         if not wanted:
             continue
         shared = spark.sparkContext.broadcast(wanted)
 
-        def run(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
+        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             find = _regex_finder(shared.value) if regex else _literal_finder(shared.value)
             first: dict[str, int] = {}
             for batch in batches:
-                for doc_id, text in zip(batch["doc_id"], batch["text"]):
-                    for hit in find(text):
+                for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+                    for hit in find(text.as_py()):
                         if doc_id < first.get(hit, doc_id + 1):
                             first[hit] = doc_id
-            yield pd.DataFrame({"found": list(first), "doc_id": pd.Series(list(first.values()), dtype="int64")})
+            columns = [pa.array(list(first), pa.string()), pa.array(list(first.values()), pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, names=["found", "doc_id"])
 
-        hits = texts.mapInPandas(run, "found string, doc_id bigint")
+        hits = texts.mapInArrow(run, "found string, doc_id bigint")
         found.append(hits.groupBy("found").agg(F.min("doc_id").alias("doc_id")))
     if not found:
         return names.select("key", F.lit(None).cast("bigint").alias("doc_id")).filter(F.lit(False))

@@ -11,8 +11,9 @@ from pyspark.sql import functions as F
 from ..functions import text as tx
 from ..sources.workspace import materialise
 
-# Rows of (query, term, weight) one broadcast may hold: about 25 MB in memory.
-BROADCAST_TERMS = 250_000
+# Rows of (query, term, weight) in one broadcast: a few MB, some 500 queries of 50 words. A task sums
+# scores for (queries of a block) x (documents of a bucket), so the block also bounds that hash map.
+BROADCAST_TERMS = 25_000
 
 
 def valid_queries(queries: DataFrame) -> DataFrame:

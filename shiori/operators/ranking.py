@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
 from functools import reduce
 
 from pyspark.sql import DataFrame
@@ -9,15 +10,20 @@ from pyspark.sql import functions as F
 
 from ..functions.scores import best, by_score
 from ..sources.index_store import Index
+from ..sources.workspace import materialise
 
 
-def scored(parts: list[DataFrame], depth: int, negatives: bool = False) -> DataFrame:
+def scored(parts: Iterable[DataFrame], depth: int, negatives: bool = False) -> DataFrame:
     """Union of the blocks' scores, cut to what a list of ``depth`` rows can need.
 
-    Zero scores are dropped: such documents rank like unmatched ones, by id.
+    Zero scores are dropped: such documents rank like unmatched ones, by id. Of several blocks each is
+    run and written before the next, which keeps one block's work in the cluster at a time.
     """
+    parts = list(parts)
     if not negatives:
         parts = [best(p.filter("score > 0"), depth, ["query_id"], by_score()).drop("rk") for p in parts]
+    if len(parts) > 1:
+        parts = [materialise(p, "block-scores") for p in parts]
     return reduce(DataFrame.unionByName, parts)
 
 

@@ -88,7 +88,7 @@ def query_weights(index: Index, queries: DataFrame) -> DataFrame:
 def _scores(index: Index, weighted: DataFrame) -> DataFrame:
     return (
         index.table("weights")
-        .join(weighted, ["term", TERM_PART])
+        .join(weighted.filter("qw <> 0"), ["term", TERM_PART])
         .groupBy("query_id", "doc_id")
         .agg(rounded(F.sum(F.col("w") * F.col("qw"))).alias("score"))
     )
@@ -99,7 +99,7 @@ def tfidf_topk(
 ) -> DataFrame:
     """(query_id, doc_id, score, rk): the ``depth`` documents of highest cosine similarity per query."""
     queries = valid_queries(queries)
-    parts = [_scores(index, b) for b in blocks(query_weights(index, queries), broadcast_terms)]
+    parts = (_scores(index, b) for b in blocks(query_weights(index, queries), broadcast_terms))
     scores = scored(parts, depth)
     if pad:
         return padded(index, queries, scores, depth)

@@ -16,21 +16,26 @@ def trial(valid: Column, seconds: Column, n_indicators: Column) -> list[Column]:
     ]
 
 
-def per_query(trials: DataFrame) -> DataFrame:
-    """Per query and model: mean of the measured times, mean indicators over all trials, success in %."""
+def _means(trials: DataFrame) -> DataFrame:
     return trials.groupBy("query", "model").agg(
-        rounded(F.avg("seconds")).alias("avg_seconds"),
-        rounded(F.avg(F.coalesce("n_indicators", F.lit(0)))).alias("avg_indicators"),
-        rounded(100.0 * F.count("seconds") / F.count("*")).alias("success_pct"),
+        F.avg("seconds").alias("avg_seconds"),
+        F.avg(F.coalesce("n_indicators", F.lit(0))).alias("avg_indicators"),
+        (100.0 * F.count("seconds") / F.count("*")).alias("success_pct"),
     )
 
 
+def per_query(trials: DataFrame) -> DataFrame:
+    """Per query and model: mean of the measured times, mean indicators over all trials, success in %."""
+    numbers = ["avg_seconds", "avg_indicators", "success_pct"]
+    return _means(trials).select("query", "model", *[rounded(F.col(n)).alias(n) for n in numbers])
+
+
 def per_model(trials: DataFrame) -> DataFrame:
     """Per model: means of the per-query means of the queries that have a time, and their share in %.
 
     Every query counts in the share, also for a model with no trial of it. Models without any time drop out.
     """
-    measured = per_query(trials)
+    measured = _means(trials)
     n_queries = trials.agg(F.count_distinct("query")).first()[0]
     timed = measured.filter(F.col("avg_seconds").isNotNull() & (F.col("avg_seconds") != 0))
     return timed.groupBy("model").agg(

@@ -13,7 +13,8 @@ from ..operators import bm25, tfidf
 from ..operators.vectors import Embedder, embed, hashing_embedder, unit_vectors
 from ..sources import index_store as store
 
-DOCS_PER_BUCKET = 200_000
+DOCS_PER_BUCKET = 50_000
+MAX_BUCKETS = 100_000  # Spark's own limit
 DOCS_PER_CORPUS_PART = 100_000
 MIN_DOCS_PER_TASK = 200
 
@@ -25,6 +26,7 @@ def _layout(n_docs: int, cores: int) -> tuple[int, int, int]:
     term partitions that still hold enough rows for an efficient file.
     """
     buckets = max(1, min(cores, math.ceil(n_docs / MIN_DOCS_PER_TASK)), math.ceil(n_docs / DOCS_PER_BUCKET))
+    buckets = min(buckets, MAX_BUCKETS)
     term_parts = max(1, min(32, n_docs // buckets // 5_000))
     corpus_parts = min(20_000, max(buckets, math.ceil(n_docs / DOCS_PER_CORPUS_PART)))
     return buckets, term_parts, corpus_parts

@@ -90,11 +90,22 @@ def save_table(df: DataFrame, path: str, name: str, buckets: int = 0) -> None:
     if partition:
         writer = writer.partitionBy(partition)
     if bucketed:
-        writer.bucketBy(buckets, "doc_id").option("path", f"{path}/{name}").saveAsTable(table_name(path, name))
+        writer = writer.bucketBy(buckets, "doc_id")
+        if partition:
+            # The writer sorts by partition anyway; equal terms side by side compress well.
+            writer = writer.sortBy("term")
+        writer.option("path", f"{path}/{name}").saveAsTable(table_name(path, name))
     else:
         writer.save(f"{path}/{name}")
 
 
+def forget(index: Index) -> None:
+    """Take the bucketed tables out of the session catalogue; the files stay."""
+    for name, (_, _, bucketed) in LAYOUT.items():
+        if bucketed:
+            index.spark.sql(f"DROP TABLE IF EXISTS {table_name(index.path, name)}")
+
+
 def open_index(spark: SparkSession, path: str) -> Index:
     """Use a saved index again, in this or a later session."""
     path = path.rstrip("/")

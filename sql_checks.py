@@ -317,8 +317,8 @@ trials AS (
          CASE WHEN event_type <> 'error' THEN CAST(regexp_extract(props, '"k": *(-?[0-9]+)', 1) AS INTEGER) ELSE 0 END AS n
   FROM events),
 per_query AS (
-  SELECT query, model, round(avg(seconds), 6) AS avg_seconds, round(avg(n), 6) AS avg_indicators,
-         round(100.0::DOUBLE * count(seconds) / count(*), 6) AS success_pct
+  SELECT query, model, avg(seconds) AS avg_seconds, avg(n) AS avg_indicators,
+         100.0::DOUBLE * count(seconds) / count(*) AS success_pct
   FROM trials GROUP BY query, model),
 per_model AS (
   SELECT model, round(avg(avg_seconds), 6) AS avg_seconds, round(avg(avg_indicators), 6) AS avg_indicators,
@@ -479,7 +479,9 @@ SELECT source, id, {JSON_BLOCK} AS block
 FROM (SELECT 'pages' AS source, page_id AS id, html AS text FROM pages
       UNION ALL SELECT 'events', event_id, 'Answer: ' || props || ' (' || event_type || ')' FROM events)""",
         "trial_stats": statement(
-            [TRIALS], "SELECT query, model, avg_seconds, avg_indicators, success_pct FROM per_query"
+            [TRIALS],
+            """SELECT query, model, round(avg_seconds, 6) AS avg_seconds, round(avg_indicators, 6) AS avg_indicators,
+       round(success_pct, 6) AS success_pct FROM per_query""",
         ),
         "trial_models": statement([TRIALS], "SELECT * FROM per_model"),
         "trial_winner": statement(
