@@ -209,7 +209,7 @@ def lookup_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def lookup_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lookup.find_names(given.passage_names(spark, sf_dir), given.document_corpus(spark, sf_dir))
+    return lookup.find_names(given.passage_names(spark, sf_dir), given.index(spark, sf_dir, "documents").corpus)
 
 
 def lookup_fallback_regex(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -36,6 +36,7 @@ def fuse(vector: DataFrame, keyword: DataFrame, tfidf: DataFrame, depth: int, ve
         lists[0]
         .unionByName(lists[1])
         .unionByName(lists[2])
+        .repartition("query_id")  # bounded rows per query: one shuffle for the sums and the ranking
         .groupBy("query_id", "doc_id")
         .agg(rounded(F.sum("part")).alias("score"), F.min("seen").alias("seen"))
     )

@@ -41,5 +41,6 @@ def padded(index: Index, queries: DataFrame, scores: DataFrame, depth: int, nega
     fillers = queries.select(
         "query_id", F.explode(F.array(*[F.lit(i).cast("bigint") for i in ids])).alias("doc_id"), F.lit(0.0).alias("score")
     )
-    merged = scores.unionByName(fillers).groupBy("query_id", "doc_id").agg(F.sum("score").alias("score"))
+    # One shuffle by query serves both the sum per document and the ranking; a query has few rows here.
+    merged = scores.unionByName(fillers).repartition("query_id").groupBy("query_id", "doc_id").agg(F.sum("score").alias("score"))
     return best(merged, depth, ["query_id"], by_score())

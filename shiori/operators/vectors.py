@@ -34,10 +34,10 @@ def hashing_embedder(dimension: int) -> Embedder:
         bucket: dict[str, int] = {}
         out = np.zeros((len(texts), dimension))
         for row, text in enumerate(texts):
-            for token in text.split():
-                if token not in bucket:
-                    bucket[token] = int(hashlib.md5(token.encode()).hexdigest()[:8], 16) % dimension
-                out[row, bucket[token]] += 1.0
+            tokens = text.split()
+            for token in set(tokens).difference(bucket):
+                bucket[token] = int(hashlib.md5(token.encode()).hexdigest()[:8], 16) % dimension
+            out[row] = np.bincount([bucket[token] for token in tokens], minlength=dimension)
         norm = np.sqrt((out * out).sum(axis=1, keepdims=True))
         return (out / np.where(norm > 0, norm, 1.0)).astype(np.float32)
 

@@ -12,6 +12,7 @@ from ..functions import text as tx
 from ..operators import bm25, tfidf
 from ..operators.vectors import Embedder, embed, hashing_embedder, unit_vectors
 from ..sources import index_store as store
+from ..sources.catalogue import search_text
 
 DOCS_PER_BUCKET = 50_000
 MAX_BUCKETS = 100_000  # Spark's own limit
@@ -53,7 +54,8 @@ def build_index(
     spark = corpus.sparkSession
     path = path.rstrip("/")
 
-    # The ids and the search text are fixed from here on: everything below reads the saved corpus.
+    # The ids are fixed from here on: everything below reads the saved corpus. The search text repeats
+    # its fields, so it is put together when needed and not stored with them.
     staged = f"{path}/corpus"
     if corpus_parts is None or buckets is None or term_parts is None:
         n_docs = corpus.count()
@@ -62,12 +64,13 @@ def build_index(
             given or computed for given, computed in zip((buckets, term_parts, corpus_parts), auto)
         )
     (
-        corpus.withColumn(store.DOC_PART, store.doc_part(F.col("doc_id"), corpus_parts))
+        corpus.drop("search_text")
+        .withColumn(store.DOC_PART, store.doc_part(F.col("doc_id"), corpus_parts))
         .hint("rebalance", store.DOC_PART)
         .write.partitionBy(store.DOC_PART)
         .parquet(staged)
     )
-    saved = spark.read.parquet(staged)
+    saved = spark.read.parquet(staged).withColumn("search_text", search_text())
 
     # One shuffle of the texts; all later work per document stays inside its bucket.
     tokens = saved.select("doc_id", "search_text").repartition(buckets, "doc_id").select(
@@ -77,7 +80,7 @@ def build_index(
     )
     store.save_table(tokens, path, "tokens", buckets)
     tokens = spark.table(store.table_name(path, "tokens"))
-    store.save_table(tokens.select("doc_id").orderBy("doc_id").limit(store.HEAD_ROWS), path, "head")
+    head = [r[0] for r in tokens.select("doc_id").orderBy("doc_id").limit(store.HEAD_ROWS).collect()]
     facts = tokens.agg(
         F.count("*").alias("total_records"), F.coalesce(F.sum(F.size("spaced")), F.lit(0)).alias("n_tokens")
     ).first()
@@ -117,6 +120,7 @@ def build_index(
         F.lit(buckets).alias("buckets"),
         F.lit(term_parts).alias("term_parts"),
         F.lit(corpus_parts).alias("doc_parts"),
+        F.array(*[F.lit(i) for i in head]).alias("head"),
     )
     store.save_table(meta.coalesce(1), path, "meta")
     return store.open_index(spark, path)

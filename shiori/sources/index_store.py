@@ -26,11 +26,10 @@ LAYOUT: dict[str, tuple[str, str | None, bool]] = {
     "weights": ("doc_id BIGINT, term STRING, w DOUBLE, term_part INT", TERM_PART, True),
     "vocab": ("term STRING, df BIGINT, cf BIGINT, idf DOUBLE", None, False),
     "vectors": ("doc_id BIGINT, embedding ARRAY<FLOAT>", None, False),
-    "head": ("doc_id BIGINT", None, False),
     "meta": (
         "created_at TIMESTAMP, total_records BIGINT, embedding_model STRING, vector_dimension INT,"
         " n_vectors BIGINT, n_tokens BIGINT, avg_length DOUBLE, avg_raw DOUBLE, n_terms BIGINT,"
-        " buckets INT, term_parts INT, doc_parts INT",
+        " buckets INT, term_parts INT, doc_parts INT, head ARRAY<BIGINT>",
         None,
         False,
     ),
@@ -69,10 +68,9 @@ class Index:
 
     def first_ids(self, n: int) -> list[int]:
         """The ``n`` lowest document ids; ``n`` is a search depth, not a data size."""
-        head = self.table("head")
-        if n > HEAD_ROWS:
-            head = self.corpus.select("doc_id")
-        return [r[0] for r in head.orderBy("doc_id").limit(n).collect()]
+        if n <= HEAD_ROWS:
+            return self.meta["head"][:n]
+        return [r[0] for r in self.corpus.select("doc_id").orderBy("doc_id").limit(n).collect()]
 
 
 HEAD_ROWS = 1000
