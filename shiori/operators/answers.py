@@ -15,12 +15,14 @@ from .lookup import find_names
 # (system prompts, user prompts) in, one response text per pair out.
 Responder = Callable[[list[str], list[str]], list[str]]
 
-# Keys of the answer object and what a failed call returns as its text.
+# Keys of the answer object.
 ANSWER_SCHEMA = (
     "analysis_perspectives ARRAY<STRUCT<perspective_title STRING, perspective_description STRING, "
     "recommended_indicators ARRAY<STRUCT<indicator_name STRING, recommendation_reason STRING>>>>"
 )
-FAILURE_PREFIX = "LLM応答生成中にエラーが発生しました: "
+
+# What a failed call returns as its text.
+FAILURE_PREFIX = "No answer: "
 
 SYSTEM_PROMPT = """統計の専門家として質問に答え、関連する統計指標を観点ごとに挙げてください。
 指標名は次の一覧にあるものを、表記を変えずに使ってください。

@@ -11,9 +11,10 @@ from pyspark.sql import functions as F
 from ..functions import text as tx
 from ..sources.workspace import materialise
 
-# Rows of (query, term, weight) in one broadcast: a few MB, some 500 queries of 50 words. A task sums
-# scores for (queries of a block) x (documents of a bucket), so the block also bounds that hash map.
-BROADCAST_TERMS = 25_000
+# Rows of (query, term, weight) in one broadcast: about 1 MB, some 200 queries of 50 words. A task sums
+# scores for (queries of a block) x (documents of a bucket), so the block also bounds that hash map; at
+# this size reading the postings once per block costs little beside scoring them.
+BROADCAST_TERMS = 10_000
 
 
 def valid_queries(queries: DataFrame) -> DataFrame:

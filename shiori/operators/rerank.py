@@ -44,17 +44,20 @@ def lexical_score(fields: Sequence[Column]) -> Column:
     return total
 
 
-def with_documents(index: Index, candidates: DataFrame, depth: int, columns: Sequence[str]) -> DataFrame:
+def with_documents(
+    index: Index, candidates: DataFrame, depth: int, columns: Sequence[str], broadcast_rows: int = BROADCAST_CANDIDATES
+) -> DataFrame:
     """Candidates joined with corpus columns.
 
-    Up to a checked number of candidates they are broadcast and the corpus is scanned in place, reading
-    only the corpus partitions some candidate falls into; beyond it the join shuffles.
+    Up to ``broadcast_rows`` candidates are broadcast and the corpus is scanned in place, reading only
+    the partitions some candidate falls into. More are shuffled to the corpus buckets, which stay put.
     """
-    parts = index.meta["doc_parts"]
-    keyed = candidates.filter(F.col("rk") <= depth).withColumn(DOC_PART, doc_part(F.col("doc_id"), parts))
-    if candidates.count() <= BROADCAST_CANDIDATES:
-        keyed = F.broadcast(keyed)
-    return index.corpus.select("doc_id", DOC_PART, *columns).join(keyed, ["doc_id", DOC_PART]).drop(DOC_PART)
+    kept = candidates.filter(F.col("rk") <= depth)
+    if candidates.count() <= broadcast_rows:
+        kept = F.broadcast(kept.withColumn(DOC_PART, doc_part(F.col("doc_id"), index.meta["buckets"])))
+        rows = index.corpus.select("doc_id", DOC_PART, *columns)
+        return rows.join(kept, ["doc_id", DOC_PART]).drop(DOC_PART)
+    return index.corpus.select("doc_id", *columns).join(kept.hint("shuffle_hash"), "doc_id")
 
 
 def rerank(candidates: DataFrame, k: int, fields: Sequence[str] = SEARCH_FIELDS) -> DataFrame:

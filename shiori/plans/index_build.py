@@ -14,23 +14,21 @@ from ..operators.vectors import Embedder, embed, hashing_embedder, unit_vectors
 from ..sources import index_store as store
 from ..sources.catalogue import search_text
 
-DOCS_PER_BUCKET = 50_000
-MAX_BUCKETS = 100_000  # Spark's own limit
-DOCS_PER_CORPUS_PART = 100_000
+DOCS_PER_BUCKET = 100_000
+DOCS_PER_TERM_PART = 10_000
 MIN_DOCS_PER_TASK = 200
+MAX_BUCKETS = 100_000  # Spark's own limit
 
 
-def _layout(n_docs: int, cores: int) -> tuple[int, int, int]:
-    """Buckets, term partitions and corpus partitions for a corpus of this size.
+def _layout(n_docs: int, cores: int) -> tuple[int, int]:
+    """Buckets and term partitions for a corpus of this size.
 
     A small corpus gets one bucket per core; a large one gets buckets of bounded size, each cut into
-    term partitions that still hold enough rows for an efficient file.
+    term partitions that still fill a file of some megabytes.
     """
-    buckets = max(1, min(cores, math.ceil(n_docs / MIN_DOCS_PER_TASK)), math.ceil(n_docs / DOCS_PER_BUCKET))
-    buckets = min(buckets, MAX_BUCKETS)
-    term_parts = max(1, min(32, n_docs // buckets // 5_000))
-    corpus_parts = min(20_000, max(buckets, math.ceil(n_docs / DOCS_PER_CORPUS_PART)))
-    return buckets, term_parts, corpus_parts
+    small = min(cores, math.ceil(n_docs / MIN_DOCS_PER_TASK))
+    buckets = min(MAX_BUCKETS, max(1, small, math.ceil(n_docs / DOCS_PER_BUCKET)))
+    return buckets, max(1, min(32, n_docs // buckets // DOCS_PER_TERM_PART))
 
 
 def build_index(
@@ -44,7 +42,6 @@ def build_index(
     stop_words: Sequence[str] = (),
     buckets: int | None = None,
     term_parts: int | None = None,
-    corpus_parts: int | None = None,
 ) -> store.Index:
     """Save corpus, token, BM25, TF-IDF and vector tables under ``path`` and open them.
 
@@ -54,26 +51,17 @@ def build_index(
     spark = corpus.sparkSession
     path = path.rstrip("/")
 
-    # The ids are fixed from here on: everything below reads the saved corpus. The search text repeats
-    # its fields, so it is put together when needed and not stored with them.
-    staged = f"{path}/corpus"
-    if corpus_parts is None or buckets is None or term_parts is None:
-        n_docs = corpus.count()
-        auto = _layout(n_docs, spark.sparkContext.defaultParallelism)
-        buckets, term_parts, corpus_parts = (
-            given or computed for given, computed in zip((buckets, term_parts, corpus_parts), auto)
-        )
-    (
-        corpus.drop("search_text")
-        .withColumn(store.DOC_PART, store.doc_part(F.col("doc_id"), corpus_parts))
-        .hint("rebalance", store.DOC_PART)
-        .write.partitionBy(store.DOC_PART)
-        .parquet(staged)
-    )
-    saved = spark.read.parquet(staged).withColumn("search_text", search_text())
+    if buckets is None or term_parts is None:
+        computed = _layout(corpus.count(), spark.sparkContext.defaultParallelism)
+        buckets, term_parts = buckets or computed[0], term_parts or computed[1]
+
+    # The one shuffle of the texts. The ids are fixed from here on: everything below reads the saved
+    # corpus. The search text repeats its fields, so it is put together when needed and not stored.
+    placed = corpus.withColumn(store.DOC_PART, store.doc_part(F.col("doc_id"), buckets))
+    store.save_table(placed.hint("rebalance", store.DOC_PART), path, "corpus", buckets)
+    saved = spark.table(store.table_name(path, "corpus")).withColumn("search_text", search_text())
 
-    # One shuffle of the texts; all later work per document stays inside its bucket.
-    tokens = saved.select("doc_id", "search_text").repartition(buckets, "doc_id").select(
+    tokens = saved.select(
         "doc_id",
         tx.space_tokens(F.col("search_text")).alias("spaced"),
         tx.word_tokens(F.col("search_text"), stop_words).alias("words"),
@@ -119,7 +107,6 @@ def build_index(
         F.lit(term_facts["n_terms"]).alias("n_terms"),
         F.lit(buckets).alias("buckets"),
         F.lit(term_parts).alias("term_parts"),
-        F.lit(corpus_parts).alias("doc_parts"),
         F.array(*[F.lit(i) for i in head]).alias("head"),
     )
     store.save_table(meta.coalesce(1), path, "meta")

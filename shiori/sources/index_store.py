@@ -1,8 +1,10 @@
-"""The saved index: parquet tables under one folder, two of them bucketed by document.
+"""The saved index: parquet tables under one folder, those with rows per document bucketed by it.
 
 Bucketing by ``doc_id`` puts all postings of a document into one task, so the sum of a document's term
-scores needs no shuffle. Postings are also split into term partitions, so a query reads only the
-partitions its terms fall into (dynamic partition pruning against the broadcast query terms).
+scores needs no shuffle, and neither does any step of the build after the corpus is saved. Postings are
+also split into term partitions, so a query reads only the partitions its terms fall into (dynamic
+partition pruning against the broadcast query terms). The corpus is partitioned along its own buckets:
+a few candidates read only their partitions, many are joined bucket by bucket.
 """
 
 from __future__ import annotations
@@ -15,11 +17,18 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .catalogue import CATALOGUE_COLUMNS
+
 TERM_PART = "term_part"
 DOC_PART = "doc_part"
 
 # Table name -> (columns, partition column, bucketed by doc_id).
 LAYOUT: dict[str, tuple[str, str | None, bool]] = {
+    "corpus": (
+        f"doc_id BIGINT, {', '.join(f'{c} STRING' for c in CATALOGUE_COLUMNS)}, definition STRING, doc_part INT",
+        DOC_PART,
+        True,
+    ),
     "tokens": ("doc_id BIGINT, spaced ARRAY<STRING>, words ARRAY<STRING>", None, True),
     "postings": ("doc_id BIGINT, term STRING, tf INT, dl INT, term_part INT", TERM_PART, True),
     "terms": ("term STRING, df BIGINT, cf BIGINT, raw DOUBLE, term_part INT", TERM_PART, False),
@@ -29,7 +38,7 @@ LAYOUT: dict[str, tuple[str, str | None, bool]] = {
     "meta": (
         "created_at TIMESTAMP, total_records BIGINT, embedding_model STRING, vector_dimension INT,"
         " n_vectors BIGINT, n_tokens BIGINT, avg_length DOUBLE, avg_raw DOUBLE, n_terms BIGINT,"
-        " buckets INT, term_parts INT, doc_parts INT, head ARRAY<BIGINT>",
+        " buckets INT, term_parts INT, head ARRAY<BIGINT>",
         None,
         False,
     ),
@@ -40,8 +49,9 @@ def term_part(term: Column, parts: int) -> Column:
     return F.pmod(F.xxhash64(term), F.lit(parts)).cast("int")
 
 
-def doc_part(doc_id: Column, parts: int) -> Column:
-    return F.pmod(F.xxhash64(doc_id), F.lit(parts)).cast("int")
+def doc_part(doc_id: Column, buckets: int) -> Column:
+    """The document's bucket number: Spark buckets a table by this same hash."""
+    return F.pmod(F.hash(doc_id), F.lit(buckets)).cast("int")
 
 
 @dataclass(frozen=True)
@@ -60,7 +70,7 @@ class Index:
 
     @property
     def corpus(self) -> DataFrame:
-        return self.spark.read.parquet(f"{self.path}/corpus")
+        return self.table("corpus")
 
     @property
     def n_docs(self) -> int:
@@ -91,7 +101,7 @@ def save_table(df: DataFrame, path: str, name: str, buckets: int = 0) -> None:
         writer = writer.bucketBy(buckets, "doc_id")
         if partition:
             # The writer sorts by partition anyway; equal terms side by side compress well.
-            writer = writer.sortBy("term")
+            writer = writer.sortBy("term" if partition == TERM_PART else "doc_id")
         writer.option("path", f"{path}/{name}").saveAsTable(table_name(path, name))
     else:
         writer.save(f"{path}/{name}")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from shiori.operators.bm25 import bm25_topk
 from shiori.operators.fusion import fuse
-from shiori.operators.rerank import lexical_score, prepared
+from shiori.operators.rerank import lexical_score, prepared, with_documents
 from shiori.operators.tfidf import tfidf_topk
 from shiori.operators.vectors import hashing_embedder
 from shiori.plans.hybrid import hybrid_search
@@ -74,7 +74,7 @@ def rows():
 @pytest.fixture(scope="module")
 def index(spark, rows):
     return build_index(
-        corpus_of(spark, rows), fresh_path(spark, "test-index"), vocabulary=VOCABULARY, buckets=3, term_parts=4, corpus_parts=3
+        corpus_of(spark, rows), fresh_path(spark, "test-index"), vocabulary=VOCABULARY, buckets=3, term_parts=4
     )
 
 
@@ -96,7 +96,7 @@ def close(got, want):
     assert [s for _, s in got] == pytest.approx([s for _, s in want], abs=2e-6)
 
 
-@pytest.mark.parametrize("terms", [25_000, 3])
+@pytest.mark.parametrize("terms", [10_000, 3])
 def test_bm25_padded(index, queries, rows, terms):
     texts = {r["doc_id"]: brute.text_of(r) for r in rows}
     got = lists(bm25_topk(index, queries, 12, broadcast_terms=terms))
@@ -113,7 +113,7 @@ def test_bm25_unpadded(index, queries, rows):
         close(got[q], [p for p in brute.top(brute.bm25(texts, QUERIES[q]), 12) if p[1] > 0])
 
 
-@pytest.mark.parametrize("terms", [25_000, 3])
+@pytest.mark.parametrize("terms", [10_000, 3])
 def test_tfidf_padded(index, queries, rows, terms):
     texts = {r["doc_id"]: brute.text_of(r) for r in rows}
     got = lists(tfidf_topk(index, queries, 12, broadcast_terms=terms))
@@ -143,17 +143,15 @@ def test_scoring_does_not_shuffle_pairs(index, queries):
     assert "dynamicpruning" in plan and "WindowGroupLimit" in plan
 
 
-def test_negative_idf(spark):
-    """Most words in most documents: the floor is negative, so matched documents rank below unmatched ones."""
+def test_floored_idf(spark):
+    """Words in more than half of the documents take the floor."""
     names = ["a b", "a b", "a b c", "a", "zz"]
     rows = [
         dict(doc_id=i, koumoku_name_full=n, bunya_name="", chuubunrui_name="", shoubunrui_name="", definition="", stat_name="")
         for i, n in enumerate(names)
     ]
-    index = build_index(corpus_of(spark, rows), fresh_path(spark, "negative"), term_parts=1, buckets=2, corpus_parts=1)
+    index = build_index(corpus_of(spark, rows), fresh_path(spark, "floored"), term_parts=1, buckets=2)
     texts = {i: n for i, n in enumerate(names)}
-    raws = brute.bm25(texts, "a")
-    assert index.meta["avg_raw"] > 0 or min(raws.values()) < 0
     queries = spark.createDataFrame([(1, "a"), (2, "a b c zz"), (3, "b")], "query_id int, query string")
     for depth in (2, 4, 9):
         got = lists(bm25_topk(index, queries, depth))
@@ -161,13 +159,14 @@ def test_negative_idf(spark):
             close(got[q], brute.top(brute.bm25(texts, text), depth))
 
 
-def test_really_negative_idf(spark):
+def test_negative_idf(spark):
+    """Most words in most documents: the floor is negative, so matched documents rank below unmatched ones."""
     names = ["a b", "a b", "b a", "a"]
     rows = [
         dict(doc_id=i, koumoku_name_full=n, bunya_name="", chuubunrui_name="", shoubunrui_name="", definition="", stat_name="")
         for i, n in enumerate([*names, "b b", "  "])
     ]
-    index = build_index(corpus_of(spark, rows), fresh_path(spark, "negative"), term_parts=1, buckets=2, corpus_parts=1)
+    index = build_index(corpus_of(spark, rows), fresh_path(spark, "negative"), term_parts=1, buckets=2)
     assert index.meta["avg_raw"] < 0
     texts = {r["doc_id"]: r["koumoku_name_full"] for r in rows}
     queries = spark.createDataFrame([(1, "a"), (2, "a b"), (3, "c")], "query_id int, query string")
@@ -252,3 +251,16 @@ def test_reopen(spark, index, queries):
     assert again.meta == index.meta
     assert lists(bm25_topk(again, queries, 5)) == before
     assert again.first_ids(2) == [5, 8]
+
+
+def test_documents_joined_on_both_paths(index, queries):
+    """Few candidates are broadcast and prune partitions; many are shuffled to the buckets, the corpus is not."""
+    listed = bm25_topk(index, queries, 12).persist()
+    few = with_documents(index, listed, 12, ["koumoku_name_full"])
+    many = with_documents(index, listed, 12, ["koumoku_name_full"], broadcast_rows=0)
+    columns = ["query_id", "doc_id", "koumoku_name_full", "rk"]
+    assert sorted(few.select(columns).collect()) == sorted(many.select(columns).collect())
+    plan = few._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "dynamicpruning" in plan
+    plan = many._jdf.queryExecution().executedPlan().toString()
+    assert "ShuffledHashJoin" in plan and plan.count("Exchange hashpartitioning(doc_id") == 1
