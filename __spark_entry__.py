@@ -113,7 +113,8 @@ def vector_dimension(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def hash_embed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    texts = given.table(spark, sf_dir, "documents").select("doc_id", tx.clean(F.col("text")).alias("text"))
+    corpus = given.index(spark, sf_dir, "documents").corpus
+    texts = corpus.select("doc_id", tx.clean(F.col("koumoku_name_full")).alias("text"))
     values = embed(texts, "doc_id", "text", hashing_embedder(64)).select(
         "doc_id", F.posexplode("embedding").alias("pos", "x")
     )

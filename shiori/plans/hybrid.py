@@ -14,7 +14,7 @@ from ..operators.tfidf import tfidf_topk
 from ..operators.vectors import Embedder, embed, hashing_embedder, vector_topk
 from ..sources.catalogue import SEARCH_FIELDS
 from ..sources.index_store import Index
-from ..sources.workspace import materialise
+from ..sources.workspace import materialise, together
 
 # The five text columns of a result.
 RESULT_COLUMNS = ["koumoku_name", "koumoku_name_full", "bunya_name", "chuubunrui_name", "shoubunrui_name"]
@@ -39,13 +39,12 @@ def candidates(
     """
     depth = 2 * top_k
     asked = vectors if vectors is not None else query_vectors(queries, embedder)
-    return fuse(
-        vector_topk(index.table("vectors"), asked, depth),
-        bm25_topk(index, queries, depth),
-        tfidf_topk(index, queries, depth),
-        depth,
-        vector_weight,
+    lists = together(
+        lambda: vector_topk(index.table("vectors"), asked, depth),
+        lambda: bm25_topk(index, queries, depth),
+        lambda: tfidf_topk(index, queries, depth),
     )
+    return fuse(*lists, depth, vector_weight)
 
 
 def hybrid_search(

@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
@@ -13,6 +13,7 @@ from ..operators import bm25, tfidf
 from ..operators.vectors import Embedder, embed, hashing_embedder, unit_vectors
 from ..sources import index_store as store
 from ..sources.catalogue import search_text
+from ..sources.workspace import together
 
 DOCS_PER_BUCKET = 100_000
 DOCS_PER_TERM_PART = 10_000
@@ -74,25 +75,27 @@ def build_index(
     ).first()
     n_docs, n_tokens = facts["total_records"], facts["n_tokens"]
 
-    store.save_table(bm25.postings(tokens, term_parts), path, "postings", buckets)
-    postings = spark.table(store.table_name(path, "postings"))
-    store.save_table(bm25.term_stats(postings, n_docs, term_parts), path, "terms")
-    terms = spark.read.schema(store.LAYOUT["terms"][0]).parquet(f"{path}/terms")
+    def keyword_tables() -> Row:
+        store.save_table(bm25.postings(tokens, term_parts), path, "postings", buckets)
+        postings = spark.table(store.table_name(path, "postings"))
+        store.save_table(bm25.term_stats(postings, n_docs, term_parts), path, "terms")
+        terms = spark.read.schema(store.LAYOUT["terms"][0]).parquet(f"{path}/terms")
+        return terms.agg(F.avg("raw").alias("avg_raw"), F.count("*").alias("n_terms")).first()
 
-    store.save_table(tfidf.vocabulary(tokens, n_docs, vocabulary), path, "vocab")
-    vocab = spark.read.schema(store.LAYOUT["vocab"][0]).parquet(f"{path}/vocab")
-    store.save_table(tfidf.weights(tokens, vocab, term_parts), path, "weights", buckets)
+    def tfidf_tables() -> None:
+        store.save_table(tfidf.vocabulary(tokens, n_docs, vocabulary), path, "vocab")
+        vocab = spark.read.schema(store.LAYOUT["vocab"][0]).parquet(f"{path}/vocab")
+        store.save_table(tfidf.weights(tokens, vocab, term_parts), path, "weights", buckets)
 
-    if vectors is None:
+    def vector_table() -> Row:
         texts = saved.select("doc_id", tx.clean(F.col("search_text")).alias("text"))
-        vectors = embed(texts, "doc_id", "text", embedder)
-    store.save_table(unit_vectors(vectors), path, "vectors")
-    stored = spark.read.schema(store.LAYOUT["vectors"][0]).parquet(f"{path}/vectors")
+        given = vectors if vectors is not None else embed(texts, "doc_id", "text", embedder)
+        store.save_table(unit_vectors(given), path, "vectors")
+        stored = spark.read.schema(store.LAYOUT["vectors"][0]).parquet(f"{path}/vectors")
+        size = F.size("embedding")
+        return stored.agg(F.count("*").alias("n"), F.min(size).alias("low"), F.max(size).alias("high")).first()
 
-    term_facts = terms.agg(F.avg("raw").alias("avg_raw"), F.count("*").alias("n_terms")).first()
-    vector_facts = stored.agg(
-        F.count("*").alias("n"), F.min(F.size("embedding")).alias("low"), F.max(F.size("embedding")).alias("high")
-    ).first()
+    term_facts, _, vector_facts = together(keyword_tables, tfidf_tables, vector_table)
     if vector_facts["low"] != vector_facts["high"]:
         raise ValueError(f"vectors of different dimensions: {vector_facts['low']} to {vector_facts['high']}")
     meta = spark.range(1).select(

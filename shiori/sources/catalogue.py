@@ -84,7 +84,7 @@ def build_corpus(catalogue: DataFrame, definitions: DataFrame, id_column: str |
     """Catalogue rows with their definition ('' where there is none) and search text.
 
     Left join, so every catalogue row stays and a code defined twice gives two rows. With ``id_column``
-    the caller's unique id becomes ``doc_id``; otherwise rows are numbered in file order, definitions
+    the caller's unique id becomes ``doc_id``; otherwise rows are numbered as read, definitions
     of one code in their own order. Such numbers become stable once the corpus is saved.
     """
     keep = [c for c in CATALOGUE_COLUMNS if c in catalogue.columns]
@@ -93,12 +93,14 @@ def build_corpus(catalogue: DataFrame, definitions: DataFrame, id_column: str |
         left = left.withColumn("_row", F.monotonically_increasing_id())
         right = right.withColumn("_def_row", F.monotonically_increasing_id())
     joined = left.join(right, "koumoku_code", "left")
-    if id_column is None:
+    if id_column is not None:
+        doc_id = F.col(id_column).cast("bigint")
+    elif right.groupBy("koumoku_code").count().filter("count > 1").isEmpty():
+        doc_id = F.col("_row")
+    else:
         # A total order over unique keys, then ids that grow along it: the same on every retry.
         joined = joined.orderBy("_row", F.asc_nulls_first("_def_row"))
         doc_id = F.monotonically_increasing_id()
-    else:
-        doc_id = F.col(id_column).cast("bigint")
     filled = joined.withColumn("definition", F.coalesce("definition", F.lit("")))
     if "koumoku_name" not in keep:
         filled = filled.withColumn("koumoku_name", F.col("koumoku_name_full"))

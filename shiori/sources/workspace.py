@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
+from concurrent.futures import ThreadPoolExecutor
+from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -24,6 +26,12 @@ def fresh_path(spark: SparkSession, label: str) -> str:
     return f"{shared_folder(spark)}/shiori/{label}-{uuid.uuid4().hex}"
 
 
+def together(*steps: Callable[[], Any]) -> list[Any]:
+    """Run independent steps, each starting jobs of its own, side by side; their results in order."""
+    with ThreadPoolExecutor(len(steps)) as pool:
+        return [running.result() for running in [pool.submit(step) for step in steps]]
+
+
 def materialise(df: DataFrame, label: str, partition_by: Sequence[str] = ()) -> DataFrame:
     """Write once and read back: later uses do not recompute, and a lost executor costs no lineage.
 
