@@ -22,7 +22,7 @@ BATCH = 100
 # Query vectors held by every task at once: at 1,536 dimensions about 50 MB.
 QUERY_BLOCK = 4_096
 # Documents per block of the two-sided plan.
-DOC_BLOCK = 50_000
+DOC_BLOCK = 20_000
 # Scores computed at once inside a task (32 MB of doubles).
 SCORE_CELLS = 4_000_000
 

@@ -8,6 +8,7 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from shiori.operators.trials import trial
 from shiori.plans.index_build import build_index
 from shiori.sources.catalogue import build_corpus
 from shiori.sources.index_store import Index
@@ -128,8 +129,7 @@ def event_trials(spark: SparkSession, sf_dir: str) -> DataFrame:
     return events.select(
         F.col("event_type").alias("query"),
         F.concat(F.lit("model-"), F.pmod("user_id", F.lit(3))).alias("model"),
-        F.when(valid, F.col("value")).alias("seconds"),
-        F.when(valid, F.from_json("props", "k INT")["k"]).otherwise(0).alias("n_indicators"),
+        *trial(valid, F.col("value"), F.from_json("props", "k INT")["k"]),
     )
 
 

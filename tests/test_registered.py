@@ -43,3 +43,19 @@ def test_same_rows(spark, duck, name):
     got = rows_of(df.columns, [tuple(r) for r in df.collect()])
     want = rows_of(relation.columns, relation.fetchall())
     assert len(got) > 0 and got == want
+
+
+def test_questions_in_one_call(spark):
+    """The composed flow gives what its registered steps give."""
+    import stand_ins as given
+    from shiori.plans.questions import ask
+
+    answered = ask(
+        given.index(spark, str(TABLES), "parts"),
+        given.part_queries(spark, str(TABLES)),
+        given.first_names_responder,
+        base_link=given.REPORT,
+        link_column=given.REPORT_COLUMN,
+    )
+    steps = registered.queries()["answer_cards"](spark, str(TABLES))
+    assert sorted(answered.cards.collect()) == sorted(steps.collect())
