@@ -17,7 +17,7 @@ from shiori.functions import labels  # noqa: E402
 from shiori.functions.scores import rounded  # noqa: E402
 from shiori.operators import answers, facets, lookup, trials  # noqa: E402
 from shiori.operators.bm25 import EPSILON, bm25_topk  # noqa: E402
-from shiori.operators.query_terms import valid_queries  # noqa: E402
+from shiori.operators.term_blocks import valid_queries  # noqa: E402
 from shiori.operators.rerank import prepared, rerank, with_documents  # noqa: E402
 from shiori.operators.tfidf import tfidf_topk  # noqa: E402
 from shiori.operators.vectors import dimension_check, embed, hashing_embedder, unit_vectors, vector_topk  # noqa: E402

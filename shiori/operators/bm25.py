@@ -9,8 +9,8 @@ from ..functions import text as tx
 from ..functions.scores import best, by_score, rounded
 from ..sources.index_store import TERM_PART, Index, term_part
 from ..sources.workspace import materialise
-from .query_terms import BROADCAST_TERMS, blocks, valid_queries
-from .ranking import padded, scored
+from .ranking import padded
+from .term_blocks import BLOCK_TERMS, blocks_topk, valid_queries
 
 # The customary parameters of the formula.
 K1, B, EPSILON = 1.5, 0.75, 0.25
@@ -68,30 +68,37 @@ def _with_stats(wanted: DataFrame, terms: DataFrame) -> DataFrame:
     return wanted.join(known, key)
 
 
-def _scores(index: Index, weighted: DataFrame) -> DataFrame:
+def _weighted_postings(index: Index) -> DataFrame:
     saturation = F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.lit(index.meta["avg_length"]))
-    part = F.col("qw") * F.col("tf") * (K1 + 1) / saturation
-    # The filter drops terms that add nothing; having one, the planner also prunes term partitions by the join.
+    weight = F.col("tf") * (K1 + 1) / saturation
+    return index.table("postings").select("doc_id", "term", TERM_PART, weight.alias("w"))
+
+
+def _signed_scores(index: Index, weighted: DataFrame) -> DataFrame:
+    """All non-zero scores. Only for a negative floor, which needs a vocabulary of very common words."""
     return (
-        index.table("postings")
-        .join(weighted.filter("qw <> 0"), ["term", TERM_PART])
+        _weighted_postings(index)
+        .join(weighted, ["term", TERM_PART])
         .groupBy("query_id", "doc_id")
-        .agg(rounded(F.sum(part)).alias("score"))
+        .agg(rounded(F.sum(F.col("w") * F.col("qw"))).alias("score"))
     )
 
 
 def bm25_topk(
-    index: Index, queries: DataFrame, depth: int, pad: bool = True, broadcast_terms: int = BROADCAST_TERMS
+    index: Index, queries: DataFrame, depth: int, pad: bool = True, block_terms: int = BLOCK_TERMS
 ) -> DataFrame:
     """(query_id, doc_id, score, rk): the ``depth`` best documents per query.
 
     ``pad`` fills lists with unmatched documents in id order; without it only positive scores are listed.
     """
     queries = valid_queries(queries)
-    # A floored idf below zero (tiny vocabularies only) makes negative scores possible.
-    negatives = pad and index.meta["avg_raw"] < 0
-    parts = (_scores(index, b) for b in blocks(query_weights(index, queries), broadcast_terms))
-    scores = scored(parts, depth, negatives)
+    weighted = query_weights(index, queries)
+    if index.meta["avg_raw"] < 0:
+        scores = _signed_scores(index, weighted)
+        if pad:
+            return padded(index, queries, scores, depth, negatives=True)
+        return best(scores.filter("score > 0"), depth, ["query_id"], by_score())
+    scores = blocks_topk(_weighted_postings(index), weighted, depth, block_terms)
     if pad:
-        return padded(index, queries, scores, depth, negatives)
+        return padded(index, queries, scores, depth)
     return best(scores, depth, ["query_id"], by_score())

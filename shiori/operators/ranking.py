@@ -1,30 +1,12 @@
-"""Turning per-document scores into ranked lists of a fixed depth."""
+"""Filling ranked lists up to a fixed depth."""
 
 from __future__ import annotations
 
-from collections.abc import Iterable
-from functools import reduce
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scores import best, by_score
 from ..sources.index_store import Index
-from ..sources.workspace import materialise
-
-
-def scored(parts: Iterable[DataFrame], depth: int, negatives: bool = False) -> DataFrame:
-    """Union of the blocks' scores, cut to what a list of ``depth`` rows can need.
-
-    Zero scores are dropped: such documents rank like unmatched ones, by id. Of several blocks each is
-    run and written before the next, which keeps one block's work in the cluster at a time.
-    """
-    parts = list(parts)
-    if not negatives:
-        parts = [best(p.filter("score > 0"), depth, ["query_id"], by_score()).drop("rk") for p in parts]
-    if len(parts) > 1:
-        parts = [materialise(p, "block-scores") for p in parts]
-    return reduce(DataFrame.unionByName, parts)
 
 
 def padded(index: Index, queries: DataFrame, scores: DataFrame, depth: int, negatives: bool = False) -> DataFrame:
@@ -41,6 +23,6 @@ def padded(index: Index, queries: DataFrame, scores: DataFrame, depth: int, nega
     fillers = queries.select(
         "query_id", F.explode(F.array(*[F.lit(i).cast("bigint") for i in ids])).alias("doc_id"), F.lit(0.0).alias("score")
     )
-    # One shuffle by query serves both the sum per document and the ranking; a query has few rows here.
-    merged = scores.unionByName(fillers).repartition("query_id").groupBy("query_id", "doc_id").agg(F.sum("score").alias("score"))
-    return best(merged, depth, ["query_id"], by_score())
+    # One shuffle by query serves both the sum per document and the ranking.
+    merged = scores.unionByName(fillers).repartition("query_id").groupBy("query_id", "doc_id")
+    return best(merged.agg(F.sum("score").alias("score")), depth, ["query_id"], by_score())

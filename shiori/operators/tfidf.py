@@ -7,11 +7,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from ..functions import text as tx
-from ..functions.scores import best, by_score, rounded
+from ..functions.scores import best, by_score
 from ..sources.index_store import TERM_PART, Index, term_part
 from ..sources.workspace import materialise
-from .query_terms import BROADCAST_TERMS, blocks, valid_queries
-from .ranking import padded, scored
+from .ranking import padded
+from .term_blocks import BLOCK_TERMS, blocks_topk, valid_queries
 
 # Above this many frequent words the pair filter would not pay for its broadcast.
 FREQUENT_WORDS = 1_000_000
@@ -85,22 +85,12 @@ def query_weights(index: Index, queries: DataFrame) -> DataFrame:
     return rows.select("query_id", "term", F.col("w").alias("qw"), part.alias(TERM_PART))
 
 
-def _scores(index: Index, weighted: DataFrame) -> DataFrame:
-    return (
-        index.table("weights")
-        .join(weighted.filter("qw <> 0"), ["term", TERM_PART])
-        .groupBy("query_id", "doc_id")
-        .agg(rounded(F.sum(F.col("w") * F.col("qw"))).alias("score"))
-    )
-
-
 def tfidf_topk(
-    index: Index, queries: DataFrame, depth: int, pad: bool = True, broadcast_terms: int = BROADCAST_TERMS
+    index: Index, queries: DataFrame, depth: int, pad: bool = True, block_terms: int = BLOCK_TERMS
 ) -> DataFrame:
     """(query_id, doc_id, score, rk): the ``depth`` documents of highest cosine similarity per query."""
     queries = valid_queries(queries)
-    parts = (_scores(index, b) for b in blocks(query_weights(index, queries), broadcast_terms))
-    scores = scored(parts, depth)
+    scores = blocks_topk(index.table("weights"), query_weights(index, queries), depth, block_terms)
     if pad:
         return padded(index, queries, scores, depth)
     return best(scores, depth, ["query_id"], by_score())

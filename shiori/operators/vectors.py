@@ -12,8 +12,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.scores import SCALE, best, by_score, unit
+from ..functions.scores import best, by_score, unit
 from ..sources.workspace import materialise
+from .task_topk import SCORE_CELLS, TaskBest
 
 # Texts in, one float vector per text out.
 Embedder = Callable[[list[str]], np.ndarray]
@@ -23,8 +24,6 @@ BATCH = 100
 QUERY_BLOCK = 4_096
 # Documents per block of the two-sided plan.
 DOC_BLOCK = 20_000
-# Scores computed at once inside a task (32 MB of doubles).
-SCORE_CELLS = 4_000_000
 
 
 def hashing_embedder(dimension: int) -> Embedder:
@@ -95,53 +94,18 @@ def _matrix(lists: pa.Array | pa.ChunkedArray, dimension: int) -> np.ndarray:
     return values.reshape(len(lists), dimension)
 
 
-class _Best:
-    """The k best (score, lower id first) documents of each query among those seen by one task."""
-
-    def __init__(self, n_queries: int, k: int):
-        self.k = k
-        self.query = np.empty(0, dtype=np.int64)
-        self.doc = np.empty(0, dtype=np.int64)
-        self.score = np.empty(0)
-        self.floor = np.full(n_queries, -np.inf)
-
-    def add(self, ids: np.ndarray, scores: np.ndarray) -> None:
-        """``scores`` is documents x queries."""
-        floor = self.floor
-        if len(ids) > self.k:
-            floor = np.maximum(floor, np.partition(scores, len(ids) - self.k, axis=0)[len(ids) - self.k])
-        doc, query = np.nonzero(scores >= floor)
-        query = np.concatenate([self.query, query])
-        score = np.concatenate([self.score, scores[doc, query[len(self.query) :]]])
-        doc = np.concatenate([self.doc, ids[doc]])
-        order = np.lexsort((doc, -score, query))
-        query, doc, score = query[order], doc[order], score[order]
-        first = np.searchsorted(query, query, side="left")
-        place = np.arange(len(query)) - first
-        last = place == self.k - 1
-        self.floor[query[last]] = score[last]
-        keep = place < self.k
-        self.query, self.doc, self.score = query[keep], doc[keep], score[keep]
-
-
 def _search(
     batches: Iterable[tuple[np.ndarray, pa.Array | pa.ChunkedArray]], queries: np.ndarray, k: int
-) -> _Best:
-    found = _Best(len(queries), k)
+) -> TaskBest:
+    found = TaskBest(len(queries), k)
     rows = max(1, SCORE_CELLS // max(1, len(queries)))
     for ids, lists in batches:
         for start in range(0, len(ids), rows):
             matrix = _matrix(lists.slice(start, rows), queries.shape[1])
-            scores = np.rint(matrix @ queries.T * SCALE) / SCALE
-            found.add(ids[start : start + rows], scores)
+            found.add(ids[start : start + rows], matrix @ queries.T)
     return found
 
 
-def _result(found: _Best, query_ids: pa.Array, names: list[str]) -> pa.Table:
-    columns = [query_ids.take(pa.array(found.query)), pa.array(found.doc), pa.array(found.score)]
-    return pa.table(columns, names=names)
-
-
 def vector_topk(
     vectors: DataFrame,
     queries: DataFrame,
@@ -184,7 +148,7 @@ def vector_topk(
                 return
             query_ids, matrix = shared.value
             rows = ((b.column(0).to_numpy(zero_copy_only=False), b.column(1)) for b in batches if b.num_rows)
-            yield from _result(_search(rows, matrix, k), query_ids, names).to_batches()
+            yield from _search(rows, matrix, k).table(query_ids, names).to_batches()
 
         found = vectors.mapInArrow(scan, schema)
     else:
@@ -202,11 +166,11 @@ def vector_topk(
         def multiply(left: pa.Table, right: pa.Table) -> pa.Table:
             query_ids = right.column("query_id").combine_chunks()
             if not left.num_rows or not right.num_rows:
-                return _result(_Best(0, k), query_ids, names)
+                return TaskBest(0, k).table(query_ids, names)
             matrix = _matrix(right.column("embedding"), len(right.column("embedding")[0]))
             batch = left.combine_chunks()
             rows = [(batch.column("doc_id").to_numpy(), batch.column("embedding"))]
-            return _result(_search(rows, matrix, k), query_ids, names)
+            return _search(rows, matrix, k).table(query_ids, names)
 
         found = docs.groupBy("d", "q").cogroup(asked.groupBy("d", "q")).applyInArrow(multiply, schema)
     return best(found, k, ["query_id"], by_score())

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import text as tx
 from ..operators.bm25 import bm25_topk
 from ..operators.fusion import fuse
-from ..operators.query_terms import valid_queries
+from ..operators.term_blocks import valid_queries
 from ..operators.rerank import MAX_RESULTS, prepared, rerank, with_documents
 from ..operators.tfidf import tfidf_topk
 from ..operators.vectors import Embedder, embed, hashing_embedder, vector_topk

@@ -7,7 +7,7 @@ from typing import NamedTuple
 from pyspark.sql import DataFrame
 
 from ..operators import answers, facets
-from ..operators.query_terms import valid_queries
+from ..operators.term_blocks import valid_queries
 from ..operators.vectors import Embedder, hashing_embedder
 from ..sources.index_store import Index
 from ..sources.workspace import materialise

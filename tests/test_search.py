@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from shiori.functions.scores import best, by_score
 from shiori.operators.bm25 import bm25_topk
 from shiori.operators.fusion import fuse
 from shiori.operators.rerank import lexical_score, prepared, with_documents
@@ -99,7 +100,7 @@ def close(got, want):
 @pytest.mark.parametrize("terms", [10_000, 3])
 def test_bm25_padded(index, queries, rows, terms):
     texts = {r["doc_id"]: brute.text_of(r) for r in rows}
-    got = lists(bm25_topk(index, queries, 12, broadcast_terms=terms))
+    got = lists(bm25_topk(index, queries, 12, block_terms=terms))
     assert set(got) == set(QUERIES)
     for q, text in QUERIES.items():
         close(got[q], brute.top(brute.bm25(texts, text), 12))
@@ -116,7 +117,7 @@ def test_bm25_unpadded(index, queries, rows):
 @pytest.mark.parametrize("terms", [10_000, 3])
 def test_tfidf_padded(index, queries, rows, terms):
     texts = {r["doc_id"]: brute.text_of(r) for r in rows}
-    got = lists(tfidf_topk(index, queries, 12, broadcast_terms=terms))
+    got = lists(tfidf_topk(index, queries, 12, block_terms=terms))
     for q, text in QUERIES.items():
         close(got[q], brute.top(brute.tfidf(texts, text, VOCABULARY), 12))
 
@@ -136,11 +137,31 @@ def test_depth_beyond_corpus(index, queries):
 
 
 def test_scoring_does_not_shuffle_pairs(index, queries):
-    """Scores are summed in the buckets: the only exchange by hash is the one by query."""
+    """Scores are made inside the buckets: the only exchange is by query, after each task's own top-k."""
     plan = bm25_topk(index, queries, 5, pad=False)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") == 1
     assert "Exchange hashpartitioning(query_id" in plan
-    assert "dynamicpruning" in plan and "WindowGroupLimit" in plan
+    assert "WindowGroupLimit" in plan and "Bucketed: true" in plan
+    assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
+
+
+def test_few_terms_prune_the_scan(spark, index):
+    """A short query reads only the term partitions of its words and pushes the words to the files."""
+    short = spark.createDataFrame([(1, "income")], "query_id int, query string")
+    plan = bm25_topk(index, short, 5, pad=False)._jdf.queryExecution().executedPlan().toString()
+    assert "term_part" in plan.split("PartitionFilters")[1].split("]")[0]
+    assert "EqualTo(term,income)" in plan or "In(term" in plan
+
+
+def test_many_blocks_give_the_same_lists(index, queries):
+    from shiori.operators.term_blocks import blocks_topk
+    from shiori.operators import bm25
+
+    weighted = bm25.query_weights(index, bm25.valid_queries(queries))
+    postings = bm25._weighted_postings(index)
+    one = best(blocks_topk(postings, weighted, 6), 6, ["query_id"], by_score())
+    many = best(blocks_topk(postings, weighted, 6, block_queries=1), 6, ["query_id"], by_score())
+    assert sorted(one.collect()) == sorted(many.collect())
 
 
 def test_floored_idf(spark):
