@@ -29,7 +29,6 @@ LAYOUT: dict[str, tuple[str, str | None, bool]] = {
         DOC_PART,
         True,
     ),
-    "tokens": ("doc_id BIGINT, spaced ARRAY<STRING>, words ARRAY<STRING>", None, True),
     "postings": ("doc_id BIGINT, term STRING, tf INT, dl INT, term_part INT", TERM_PART, True),
     "terms": ("term STRING, df BIGINT, cf BIGINT, raw DOUBLE, term_part INT", TERM_PART, False),
     "weights": ("doc_id BIGINT, term STRING, w DOUBLE, term_part INT", TERM_PART, True),

@@ -14,8 +14,8 @@ from shiori.operators.rerank import lexical_score, prepared, with_documents
 from shiori.operators.tfidf import tfidf_topk
 from shiori.operators.vectors import hashing_embedder
 from shiori.plans.hybrid import hybrid_search
-from shiori.plans.index_build import build_index
-from shiori.sources.catalogue import build_corpus
+from shiori.plans.index_build import build_index, document_tokens
+from shiori.sources.catalogue import build_corpus, search_text
 from shiori.sources.index_store import forget, open_index, table_name
 from shiori.sources.workspace import fresh_path
 
@@ -126,7 +126,7 @@ def test_tfidf_padded(index, queries, rows, terms):
 def test_vocabulary_cap(spark, index, rows, size):
     from shiori.operators.tfidf import vocabulary
 
-    tokens = spark.table(table_name(index.path, "tokens"))
+    tokens = document_tokens(index.corpus.withColumn("search_text", search_text()))
     got = {r["term"]: (r["df"], r["cf"], pytest.approx(r["idf"])) for r in vocabulary(tokens, 40, size).collect()}
     assert brute.vocabulary({r["doc_id"]: brute.text_of(r) for r in rows}, size) == got
 
