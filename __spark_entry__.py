@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import importlib.util
 import sys
 from collections.abc import Callable
 from pathlib import Path
@@ -291,7 +292,21 @@ def trial_winner(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trials.fastest(trial_models(spark, sf_dir))
 
 
+def _training_data():
+    """The queries over training data, or None where that subpackage is not installed."""
+    if importlib.util.find_spec("shiori.llm") is None:
+        return None
+    from shiori.llm import registered
+
+    return registered
+
+
 def queries() -> dict[str, Query]:
+    extra = _training_data()
+    return search_queries() | (extra.queries() if extra else {})
+
+
+def search_queries() -> dict[str, Query]:
     return {
         "bm25_topk": bm25,
         "bm25_topk_padded": bm25_padded,
@@ -340,4 +355,5 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return sql_checks.all_checks()
+    extra = _training_data()
+    return sql_checks.all_checks() | (extra.oracle_sql() if extra else {})
