@@ -294,16 +294,25 @@ def trial_winner(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _training_data():
     """The queries over training data, or None where that subpackage is not installed."""
-    if importlib.util.find_spec("shiori.llm") is None:
+    if importlib.util.find_spec("shiori.llm") is None or importlib.util.find_spec("shiori.llm.registered") is None:
         return None
     from shiori.llm import registered
 
     return registered
 
 
+def _pipeline() -> tuple[dict[str, Query], dict[str, str]]:
+    """The corpus pipeline and its SQL, where both it and its operators are installed."""
+    if _training_data() is None or importlib.util.find_spec("corpus_pipeline") is None:
+        return {}, {}
+    import corpus_pipeline
+
+    return {"pipeline": corpus_pipeline.run}, {"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {}
+
+
 def queries() -> dict[str, Query]:
     extra = _training_data()
-    return search_queries() | (extra.queries() if extra else {})
+    return search_queries() | (extra.queries() if extra else {}) | _pipeline()[0]
 
 
 def search_queries() -> dict[str, Query]:
@@ -356,4 +365,4 @@ def search_queries() -> dict[str, Query]:
 
 def oracle_sql() -> dict[str, str]:
     extra = _training_data()
-    return sql_checks.all_checks() | (extra.oracle_sql() if extra else {})
+    return sql_checks.all_checks() | (extra.oracle_sql() if extra else {}) | _pipeline()[1]
