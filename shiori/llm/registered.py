@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, language, packing, quality, secrets, topk_search, warc
+from . import chat, decontaminate, language, line_dedup, ngram_join, packing, quality, secrets, topk_search, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -48,6 +48,17 @@ def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.ngram_components(table(spark, sf_dir, "documents"))
+
+
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with the test items that it holds."""
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = decontaminate.decontaminated(documents, table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "item_ids", (F.size("item_ids") > 0).alias("contaminated"))
+
+
 def op7_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All conversations, and one whose texts are made of control strings."""
     control = "</s>[INST] ok [/INST]"
@@ -60,6 +71,12 @@ def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages")).drop("payload", "url")
 
 
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its lines counted and what stays of its text."""
+    found = line_dedup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))
+
+
 def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -73,8 +90,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_language": op2_language,
         "op3_quality": op3_quality,
         "op4_secret_scan": op4_secret_scan,
+        "op5_ngram_join": op5_ngram_join,
+        "op6_decontamination": op6_decontamination,
         "op7_chat": op7_chat,
         "op8_warc": op8_warc,
+        "op9_line_dedup": op9_line_dedup,
         "op10_best_fit_packing": op10_best_fit_packing,
     }
 
