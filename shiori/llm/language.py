@@ -247,16 +247,17 @@ def train(documents: DataFrame, learn: Column, docs: int = SAMPLE_DOCS) -> Crf:
 
 
 def labelled(documents: DataFrame, model: Crf) -> DataFrame:
-    """(doc_id, lang_pred, score) of every document."""
-    schema = pa.schema([("doc_id", pa.int64()), ("lang_pred", pa.string()), ("score", pa.float64())])
-    sent = documents.sparkSession.sparkContext.broadcast(model)
+    """The rows of ``documents`` with ``lang_pred`` and ``score``."""
+    rows = documents.drop("lang_pred", "score")
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields) + ", lang_pred string, score double"
+    sent, names, at = documents.sparkSession.sparkContext.broadcast(model), rows.columns, rows.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         labeller = Labeller(sent.value)
         for batch in batches:
             for begin in range(0, batch.num_rows, 256):
                 part = batch.slice(begin, 256)
-                labels, scores = labeller.texts(part.column(1).to_pylist())
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(labels, pa.string()), pa.array(scores, pa.float64())], schema=schema)
+                labels, scores = labeller.texts(part.column(at).to_pylist())
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(labels, pa.string()), pa.array(scores, pa.float64())], names=[*names, "lang_pred", "score"])
 
-    return documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(run, "doc_id bigint, lang_pred string, score double")
+    return rows.mapInArrow(run, schema)

@@ -71,13 +71,13 @@ def lines_of(documents: DataFrame) -> DataFrame:
 
 def doomed_lines(rows: DataFrame, threshold: int = THRESHOLD, min_chars: int = MIN_CHARS) -> DataFrame:
     """(a, b, place): lines that have copies or an earlier near copy; ``place`` is where one stays, or null for nowhere."""
-    long = lines_of(rows).filter(F.col("n") >= min_chars)
-    place = F.struct("doc_id", "_row", "at")
+    long = lines_of(rows).filter(F.col("n") >= min_chars).withColumn("place", F.struct("doc_id", "_row", "at"))
+    place = F.col("place")
     # Keys are made before the texts are let go; the shuffle carries hashes, and equal lines meet map-side first.
     distinct = materialise(
         long.groupBy("a", "b", "n").agg(F.min(place).alias("place"), (F.min(place) != F.max(place)).alias("copies")), "lines"
     )
-    hashed = long.select("a", "b", "n", index_keys(F.col("line"), F.col("n"), threshold).alias("own"), probe_keys(F.col("line"), F.col("n"), threshold).alias("asked"), place.alias("place"))
+    hashed = long.select("a", "b", "n", index_keys(F.col("line"), F.col("n"), threshold).alias("own"), probe_keys(F.col("line"), F.col("n"), threshold).alias("asked"), "place")
     firsts = distinct.select("a", "b", "place")
     # Only the first of equal lines is indexed and asked.
     keyed = materialise(hashed.join(firsts, ["a", "b", "place"], "left_semi").select("a", "b", "own", "asked"), "line-keys")

@@ -305,3 +305,20 @@ def ngram_components(documents: DataFrame) -> DataFrame:
     return classed.join(least, "label", "left").select(
         "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("doc_id")).alias("component_id")
     )
+
+
+def one_of_each(documents: DataFrame) -> DataFrame:
+    """The rows of ``documents`` without those that a document with a smaller id stands for.
+
+    Of rows with the same id and equal texts one stays; a null id is a document that stays.
+    """
+    classes = materialise(ngram_components(documents.select("doc_id", "text")), "classes")
+    losers = classes.filter("doc_id > component_id").select(F.col("doc_id").alias("_id")).distinct()
+    repeated = classes.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").select(F.col("doc_id").alias("_id"))
+    repeated = materialise(repeated, "repeated-ids")
+    same = lambda ids: documents["doc_id"].cast("bigint") == ids["_id"]
+    rows = documents.join(losers, same(losers), "left_anti")
+    if repeated.isEmpty():
+        return rows
+    once = rows.join(repeated, same(repeated), "left_semi").dropDuplicates(["doc_id", "text"])
+    return rows.join(repeated, same(repeated), "left_anti").unionByName(once)
