@@ -28,7 +28,7 @@ def _remainder(n: int):
 def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents")
     held = _remainder(4) == 2
-    return language.labelled(documents.select("doc_id", "text"), language.train(documents, ~held)).withColumn("held_out", held)
+    return language.labelled(documents.select("doc_id", "text"), language.train(documents, ~held)).select("doc_id", held.alias("held_out"), "lang_pred", "score")
 
 
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
