@@ -180,6 +180,8 @@ class Labeller:
         return (found * known[..., None]).sum(1)
 
     def texts(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
+        if not self.model.vocabulary:
+            return [UNDETERMINED] * len(texts), [0.0] * len(texts)
         totals = np.zeros((len(texts), len(self.model.languages)))
         words: list[str] = []
         lengths: list[int] = []
@@ -203,7 +205,7 @@ class Labeller:
         best = totals.argmax(1)
         labels, scores = [], []
         for i, text in enumerate(texts):
-            if not self.model.vocabulary or not text or not LETTER.search(text):
+            if not text or not LETTER.search(text):
                 labels.append(UNDETERMINED)
                 scores.append(0.0)
             else:
