@@ -69,6 +69,18 @@ def lines_of(documents: DataFrame) -> DataFrame:
     return rows.select("doc_id", "_row", "at", "line", F.xxhash64("line").alias("a"), F.xxhash64(F.lit(1), "line").alias("b"), F.length("line").cast("bigint").alias("n"))
 
 
+def _verified(pairs: DataFrame, long: DataFrame, firsts: DataFrame, threshold: int) -> DataFrame:
+    """(a, b): lines with a partner (a2, b2) in ``pairs`` within ``threshold`` edits."""
+    wanted = materialise(pairs.select("a", "b").union(pairs.select("a2", "b2")).distinct(), "line-wanted")
+    if wanted.count() <= BROADCAST_LINES:
+        wanted = F.broadcast(wanted)
+    found = long.join(wanted, ["a", "b"], "left_semi").join(firsts, ["a", "b", "place"], "left_semi").select("a", "b", "line")
+    texts = materialise(found.dropDuplicates(["a", "b"]), "line-texts")
+    other = texts.select(F.col("a").alias("a2"), F.col("b").alias("b2"), F.col("line").alias("line2"))
+    near = pairs.join(texts, ["a", "b"]).join(other, ["a2", "b2"]).filter(F.levenshtein("line", "line2", threshold) >= 0)
+    return near.select("a", "b").distinct()
+
+
 def doomed_lines(rows: DataFrame, threshold: int = THRESHOLD, min_chars: int = MIN_CHARS) -> DataFrame:
     """(a, b, place): lines that have copies or an earlier near copy; ``place`` is where one stays, or null for nowhere."""
     long = lines_of(rows).filter(F.col("n") >= min_chars).withColumn("place", F.struct("doc_id", "_row", "at"))
@@ -80,22 +92,27 @@ def doomed_lines(rows: DataFrame, threshold: int = THRESHOLD, min_chars: int = M
     hashed = long.select("a", "b", "n", index_keys(F.col("line"), F.col("n"), threshold).alias("own"), probe_keys(F.col("line"), F.col("n"), threshold).alias("asked"), "place")
     firsts = distinct.select("a", "b", "place")
     # Only the first of equal lines is indexed and asked.
-    keyed = materialise(hashed.join(firsts, ["a", "b", "place"], "left_semi").select("a", "b", "own", "asked"), "line-keys")
-    left = keyed.select("a", "b", F.explode("own").alias("key"))
-    right = keyed.select(F.col("a").alias("a2"), F.col("b").alias("b2"), F.explode("asked").alias("key"))
-    apart = (F.col("a") != F.col("a2")) | (F.col("b") != F.col("b2"))
-    pairs = materialise(left.join(right, "key").filter(apart).select("a", "b", "a2", "b2").distinct(), "line-pairs")
-    wanted = pairs.select("a", "b").union(pairs.select("a2", "b2")).distinct()
-    wanted = materialise(wanted, "line-wanted")
-    if wanted.count() <= BROADCAST_LINES:
-        wanted = F.broadcast(wanted)
-    texts = materialise(
-        long.join(wanted, ["a", "b"], "left_semi").join(firsts, ["a", "b", "place"], "left_semi").select("a", "b", "line", "place"), "line-texts"
-    )
-    other = texts.select(F.col("a").alias("a2"), F.col("b").alias("b2"), F.col("line").alias("line2"), F.col("place").alias("place2"))
-    near = pairs.join(texts, ["a", "b"]).join(other, ["a2", "b2"]).filter(F.levenshtein("line", "line2", threshold) >= 0)
-    later = F.when(F.col("place") < F.col("place2"), F.struct("a2", "b2")).otherwise(F.struct(F.col("a").alias("a2"), F.col("b").alias("b2")))
-    gone = near.select(later.alias("x")).select(F.col("x.a2").alias("a"), F.col("x.b2").alias("b")).distinct().withColumn("near", F.lit(True))
+    keyed = materialise(hashed.join(firsts, ["a", "b", "place"], "left_semi").select("place", "a", "b", "own", "asked"), "line-keys")
+    own = keyed.select("place", "a", "b", F.explode("own").alias("key"))
+    asks = keyed.select("place", "a", "b", F.explode("asked").alias("key"))
+    line = F.struct("place", "a", "b")
+
+    def against_first(some: DataFrame, others: DataFrame) -> DataFrame:
+        """Each line with the earliest of those it meets: as many rows as keys, however large the groups."""
+        first = others.groupBy("key").agg(F.min(line).alias("x"))
+        return some.join(first, "key").filter(F.col("x.place") < F.col("place")).select("a", "b", F.col("x.a").alias("a2"), F.col("x.b").alias("b2")).distinct()
+
+    def with_all(some: DataFrame, others: DataFrame) -> DataFrame:
+        earlier = others.select("key", F.col("place").alias("place2"), F.col("a").alias("a2"), F.col("b").alias("b2"))
+        return some.join(earlier, "key").filter(F.col("place2") < F.col("place")).select("a", "b", "a2", "b2").distinct()
+
+    # Most lines of a large group fall to its earliest one; only those that don't are held against the rest.
+    quick = materialise(against_first(own, asks).union(against_first(asks, own)).distinct(), "line-pairs")
+    gone = materialise(_verified(quick, long, firsts, threshold), "line-near")
+    left = lambda rows: rows.join(gone, ["a", "b"], "left_anti")
+    rest = with_all(left(own), asks).union(with_all(left(asks), own)).distinct().join(quick, ["a", "b", "a2", "b2"], "left_anti")
+    rest = materialise(rest, "line-pairs")
+    gone = gone.union(_verified(rest, long, firsts, threshold)).withColumn("near", F.lit(True))
     return (
         distinct.join(gone, ["a", "b"], "left")
         .filter(F.col("copies") | F.col("near").isNotNull())
