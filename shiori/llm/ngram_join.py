@@ -8,7 +8,7 @@
    with DivideSkip (short lists through a heap, long ones probed by binary search), and a node that reaches the
    required overlap with one already there is linked to it and not indexed itself.
 4. Groups are bounded and linked nodes not indexed, so links can be missed there. What is left is done exactly: nodes
-   that share a prefix shingle but not a class are paired, filtered by size and position, and verified on their sets.
+   that share a prefix shingle but not a class are paired, filtered by size, position and bitmaps, and verified on their sets.
 
 A group of copies of any size is one node; near copies cost a link each, not a pair for each two.
 
@@ -37,7 +37,9 @@ PERCENT = 80
 # Cells of the frequency table; sent to every task, 512 KiB.
 CELLS = 1 << 16
 # Early shared prefix shingles by which a node looks for others, and the most nodes that meet in one group.
-SEARCH_KEYS, GROUP_NODES = 2, 2_048
+SEARCH_KEYS, GROUP_NODES = 1, 2_048
+# Bits of a set's bitmap, by which most pairs are ruled out before sets are moved.
+BITS = 2_048
 REMEMBERED_WORDS = 400_000
 # Documents whose ids may be sent to every task; beyond it they are joined by a shuffle.
 BROADCAST_IDS = 100_000
@@ -85,6 +87,18 @@ def similar(a: np.ndarray, b: np.ndarray) -> bool:
     return 100 * common >= PERCENT * (len(a) + len(b) - common)
 
 
+def bitmap(hashes: np.ndarray) -> bytes:
+    bits = np.zeros(BITS, np.uint8)
+    bits[(hashes % np.uint64(BITS)).astype(np.int64)] = 1
+    return np.packbits(bits).tobytes()
+
+
+def may_be_similar(a: bytes, b: bytes, n: int, m: int) -> bool:
+    """Each bit that differs stands for a shingle of one set alone, so sets with many such bits overlap too little."""
+    differ = (int.from_bytes(a, "big") ^ int.from_bytes(b, "big")).bit_count()
+    return (n + m - differ) // 2 >= needed(n, m)
+
+
 def needed(n: int, m: int) -> int:
     """Least overlap of similar sets of n and m."""
     return -(-PERCENT * (n + m) // (100 + PERCENT))
@@ -157,21 +171,26 @@ def postings(documents: DataFrame, frequency) -> DataFrame:
 def shared_postings(documents: DataFrame, frequency) -> DataFrame:
     """The prefix postings of shingles that more than one node has, with the number of nodes that have it."""
     once = postings(documents, frequency).repartition("h").dropDuplicates(["h", "node"])
-    return once.withColumn("df", F.count("*").over(Window.partitionBy("h"))).filter("df > 1")
+    listed = once.withColumn("df", F.count("*").over(Window.partitionBy("h"))).filter("df > 1")
+    # The nearest sizes in the list tell whether any other node in it is of a fitting size.
+    by_size = Window.partitionBy("h").orderBy("n")
+    n, less, more = F.col("n"), F.lag("n").over(by_size), F.lead("n").over(by_size)
+    fits = (100 * less >= PERCENT * n) | (100 * n >= PERCENT * more)
+    return listed.withColumn("fits", fits).filter("fits").drop("fits")
 
 
 def sets_of(documents: DataFrame, ids: DataFrame) -> DataFrame:
-    """(node, s): the sets of the documents in ``ids`` (doc_id, node)."""
+    """(node, s, bits): the sets of the documents in ``ids`` (doc_id, node), and their bitmaps."""
     ids = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
     texts = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").join(ids, "doc_id").select("node", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler()
         for batch in batches:
-            found = [(n, s.tobytes()) for n, t in zip(batch.column(0).to_pylist(), batch.column(1), strict=True) if xxhash.xxh64_intdigest((s := shingler.of(t.as_py())).tobytes()) - (1 << 63) == n]
-            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int64()), pa.array([x for _, x in found], pa.binary())], names=["node", "s"])
+            found = [(n, s.tobytes(), bitmap(s)) for n, t in zip(batch.column(0).to_pylist(), batch.column(1), strict=True) if xxhash.xxh64_intdigest((s := shingler.of(t.as_py())).tobytes()) - (1 << 63) == n]
+            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], t) for i, t in enumerate((pa.int64(), pa.binary(), pa.binary()))], names=["node", "s", "bits"])
 
-    return texts.mapInArrow(run, "node bigint, s binary").dropDuplicates(["node"])
+    return texts.mapInArrow(run, "node bigint, s binary, bits binary")
 
 
 class Occurrences:
@@ -227,7 +246,7 @@ def searched(shared: DataFrame, sets: DataFrame) -> DataFrame:
     rank = F.row_number().over(Window.partitionBy("node").orderBy("pos"))
     keys = shared.withColumn("k", rank).filter(F.col("k") <= SEARCH_KEYS)
     salt = F.pmod(F.col("node"), F.ceil(F.col("df") / GROUP_NODES).cast("bigint"))
-    grouped = keys.select("h", salt.alias("salt"), "node").join(sets, "node")
+    grouped = keys.select("h", salt.alias("salt"), "node").join(sets.select("node", "s"), "node")
 
     def search(group: pa.Table) -> pa.Table:
         index, names, u, v = Occurrences(), [], [], []
@@ -275,8 +294,19 @@ def residual(shared: DataFrame, labels: DataFrame, sets: DataFrame) -> DataFrame
     least = F.ceil(PERCENT * (F.col("n") + F.col("n2")) / (100 + PERCENT))
     most = F.least("pos", "pos2") + F.least(F.col("n") - F.col("pos"), F.col("n2") - F.col("pos2"))
     pairs = mixed.join(other, "h").filter((F.col("node") < F.col("node2")) & (F.col("label") != F.col("label2")) & (most >= least))
-    pairs = pairs.filter(100 * F.least("n", "n2") >= PERCENT * F.greatest("n", "n2")).select("node", "node2").distinct()
-    both = pairs.join(sets, "node").join(sets.select(F.col("node").alias("node2"), F.col("s").alias("s2")), "node2").select("node", "node2", "s", "s2")
+    pairs = pairs.filter(100 * F.least("n", "n2") >= PERCENT * F.greatest("n", "n2")).select("node", "node2", "n", "n2").distinct()
+    bits = sets.select("node", "bits")
+    mapped = pairs.join(bits, "node").join(bits.select(F.col("node").alias("node2"), F.col("bits").alias("bits2")), "node2")
+
+    def sieve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = zip(*(c.to_pylist() for c in batch.columns), strict=True)
+            keep = [(x, y) for x, y, n, m, p, q in rows if may_be_similar(p, q, n, m)]
+            yield pa.RecordBatch.from_arrays([pa.array([k[i] for k in keep], pa.int64()) for i in (0, 1)], names=["node", "node2"])
+
+    likely = materialise(mapped.select("node", "node2", "n", "n2", "bits", "bits2").mapInArrow(sieve, "node bigint, node2 bigint"), "likely-pairs")
+    of_set = sets.select("node", "s")
+    both = likely.join(of_set, "node").join(of_set.select(F.col("node").alias("node2"), F.col("s").alias("s2")), "node2").select("node", "node2", "s", "s2")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
