@@ -76,6 +76,12 @@ def unit_vectors(vectors: DataFrame, column: str = "embedding") -> DataFrame:
     return vectors.withColumn(column, unit(F.col(column)))
 
 
+def query_units(vectors: DataFrame, column: str = "embedding") -> DataFrame:
+    """Query vectors at unit length; those that have it up to float rounding stay as they are."""
+    squares = F.aggregate(column, F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double"))
+    return vectors.withColumn(column, F.when(F.abs(F.sqrt(squares) - 1) > 1e-6, unit(F.col(column))).otherwise(F.col(column)))
+
+
 def dimension_check(vectors: DataFrame, column: str = "embedding") -> DataFrame:
     """Dimension of the vectors and whether all of them agree."""
     size = F.size(column)

@@ -11,7 +11,7 @@ from ..operators.fusion import fuse
 from ..operators.term_blocks import valid_queries
 from ..operators.rerank import MAX_RESULTS, prepared, rerank, with_documents
 from ..operators.tfidf import tfidf_topk
-from ..operators.vectors import Embedder, embed, hashing_embedder, vector_topk
+from ..operators.vectors import Embedder, embed, hashing_embedder, query_units, vector_topk
 from ..sources.catalogue import SEARCH_FIELDS
 from ..sources.index_store import Index
 from ..sources.workspace import materialise, together
@@ -35,10 +35,11 @@ def candidates(
 ) -> DataFrame:
     """(query_id, doc_id, score, rk): the fused list, twice as deep as the result.
 
-    ``vectors`` (query_id, embedding) takes the place of embedding the queries.
+    ``vectors`` (query_id, embedding) takes the place of embedding the queries. Query vectors of any length are asked
+    at unit length, as the documents are stored.
     """
     depth = 2 * top_k
-    asked = vectors if vectors is not None else query_vectors(queries, embedder)
+    asked = query_units(vectors if vectors is not None else query_vectors(queries, embedder))
     lists = together(
         lambda: vector_topk(index.table("vectors"), asked, depth),
         lambda: bm25_topk(index, queries, depth),

@@ -7,6 +7,7 @@ from shiori.operators.vectors import (
     embed,
     first_available,
     hashing_embedder,
+    query_units,
     unit_vectors,
     vector_topk,
 )
@@ -79,3 +80,9 @@ def test_first_available():
     a, b = hashing_embedder(2), hashing_embedder(3)
     assert first_available([("a", lambda: False, a), ("b", lambda: True, b)], "a") == ("b", b)
     assert first_available([("a", lambda: False, a), ("b", lambda: False, b)], "a") == ("a", a)
+
+
+def test_query_vectors_are_asked_at_unit_length(spark):
+    rows = query_units(frame(spark, [[0, 0], [3, 4], [0.6, 0.8]], "query_id")).orderBy("query_id").collect()
+    given = [list(map(float, r.embedding)) for r in rows]
+    assert given[0] == [0, 0] and all(abs(a - b) < 1e-6 for v in given[1:] for a, b in zip(v, [0.6, 0.8]))
