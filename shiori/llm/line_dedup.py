@@ -2,7 +2,8 @@
 
 Two lines within ``THRESHOLD`` edits share at least one of threshold-plus-one segments of the one, found in the other
 near the same place. Each distinct line is indexed by (length, segment, hash of the segment); each asks for the
-substrings it would share with a line as long or shorter. What meets is verified with banded edit distance.
+substrings it would share with a line as long or shorter. What meets is verified with banded edit distance. Between
+the steps lines go by a 64-bit hash; equality is by two.
 
 A line goes if an equal line, or one within ``THRESHOLD`` edits, comes earlier: in a document with a smaller id, or
 higher up in the same one. Lines shorter than ``MIN_CHARS`` stay.
@@ -11,7 +12,7 @@ The banded verification is Spark's ``levenshtein`` with a threshold: a bit-paral
 functions at that speed.
 
 Defined results: a null text stays null and has no lines. Rows with the same id follow each other by a hash of their
-texts; rows equal in both count as one and keep the same lines. Null ids come first. Other columns stay.
+texts; rows equal in both count as one and keep the same lines. Ids are integers, null ids come first. Other columns stay.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ from ..sources.workspace import materialise
 
 THRESHOLD = 2
 MIN_CHARS = 24
-# Lines whose texts may be sent to every task for verification; beyond it they are joined by a shuffle.
+# Lines whose hashes may be sent to every task; beyond it they are joined by a shuffle.
 BROADCAST_LINES = 50_000
 
 
@@ -42,12 +43,8 @@ def _key(line: Column, start: Column, size: Column, number: int, length: Column)
     return F.xxhash64(F.lit(number), length, F.substring(line, (start + 1).cast("int"), size.cast("int")))
 
 
-def index_keys(line: Column, n: Column, threshold: int = THRESHOLD) -> Column:
-    return F.array(*[_key(line, start, size, i, n) for i, (start, size) in enumerate(_segments(n, threshold + 1))])
-
-
-def probe_keys(line: Column, n: Column, threshold: int = THRESHOLD) -> Column:
-    """Keys of every substring that can match a segment of a line shorter by 0 to ``threshold``.
+def line_keys(line: Column, n: Column, threshold: int = THRESHOLD) -> Column:
+    """(key, own) of every substring that can match a segment of a line shorter by 0 to ``threshold``; ``own``: its own segments.
 
     By position: segment i (from 0) can have moved by at most i edits on its left, and by what is left on its right.
     """
@@ -59,8 +56,16 @@ def probe_keys(line: Column, n: Column, threshold: int = THRESHOLD) -> Column:
                 if abs(shift) <= i and abs(less - shift) <= threshold - i:
                     at = start + shift
                     inside = (at >= 0) & (at + size <= n) & (m > 0)
-                    keys.append(F.when(inside, _key(line, at, size, i, m)))
-    return F.array_distinct(F.array_compact(F.array(*keys)))
+                    own = less == 0 and shift == 0
+                    keys.append(F.struct(F.when(F.lit(own) | inside, _key(line, at, size, i, m)).alias("key"), F.lit(own).alias("own")))
+    return F.array(*keys)
+
+
+def _order(place: Column) -> Column:
+    """A long that never falls as the document's id grows; lines of one document in their order, as far as 21 bits go."""
+    most = 1 << 41
+    doc = F.greatest(F.lit(-most), F.least(F.lit(most - 1), F.coalesce(place["doc_id"].cast("bigint"), F.lit(-most))))
+    return F.shiftleft(doc, 21) + F.least(place["at"], F.lit((1 << 21) - 1))
 
 
 def lines_of(documents: DataFrame) -> DataFrame:
@@ -69,52 +74,50 @@ def lines_of(documents: DataFrame) -> DataFrame:
     return rows.select("doc_id", "_row", "at", "line", F.xxhash64("line").alias("a"), F.xxhash64(F.lit(1), "line").alias("b"), F.length("line").cast("bigint").alias("n"))
 
 
-def _verified(pairs: DataFrame, long: DataFrame, firsts: DataFrame, threshold: int) -> DataFrame:
-    """(a, b): lines with a partner (a2, b2) in ``pairs`` within ``threshold`` edits."""
-    wanted = materialise(pairs.select("a", "b").union(pairs.select("a2", "b2")).distinct(), "line-wanted")
-    if wanted.count() <= BROADCAST_LINES:
-        wanted = F.broadcast(wanted)
-    found = long.join(wanted, ["a", "b"], "left_semi").join(firsts, ["a", "b", "place"], "left_semi").select("a", "b", "line")
-    texts = materialise(found.dropDuplicates(["a", "b"]), "line-texts")
-    other = texts.select(F.col("a").alias("a2"), F.col("b").alias("b2"), F.col("line").alias("line2"))
-    near = pairs.join(texts, ["a", "b"]).join(other, ["a2", "b2"]).filter(F.levenshtein("line", "line2", threshold) >= 0)
-    return near.select("a", "b").distinct()
+def _verified(pairs: DataFrame, lines: DataFrame, threshold: int) -> DataFrame:
+    """(a, b): lines with an earlier partner a2 in ``pairs`` within ``threshold`` edits."""
+    wanted = pairs.select("a").union(pairs.select("a2")).distinct()
+    texts = materialise(lines.join(wanted, "a", "left_semi").select("a", "b", "place", "line"), "line-texts")
+    other = texts.select(F.col("a").alias("a2"), F.col("place").alias("place2"), F.col("line").alias("line2"))
+    near = pairs.join(texts, "a").join(other, "a2").filter(F.col("place2") < F.col("place"))
+    return near.filter(F.levenshtein("line", "line2", threshold) >= 0).select("a", "b").distinct()
 
 
 def doomed_lines(rows: DataFrame, threshold: int = THRESHOLD, min_chars: int = MIN_CHARS) -> DataFrame:
     """(a, b, place): lines that have copies or an earlier near copy; ``place`` is where one stays, or null for nowhere."""
-    long = lines_of(rows).filter(F.col("n") >= min_chars).withColumn("place", F.struct("doc_id", "_row", "at"))
-    place = F.col("place")
-    # Keys are made before the texts are let go; the shuffle carries hashes, and equal lines meet map-side first.
-    distinct = materialise(
-        long.groupBy("a", "b", "n").agg(F.min(place).alias("place"), (F.min(place) != F.max(place)).alias("copies")), "lines"
+    long = lines_of(rows).filter(F.col("n") >= min_chars)
+    # Equal lines meet map-side first; each text is moved once, and its keys are made after that.
+    spot = F.xxhash64("doc_id", "_row", "at")
+    lines = materialise(
+        long.groupBy("a", "b", "n").agg(
+            F.min(F.struct("doc_id", "_row", "at")).alias("place"), (F.min(spot) != F.max(spot)).alias("copies"), F.first("line").alias("line")
+        ),
+        "lines",
+    )
+    keyed = lines.select("a", _order(F.col("place")).alias("o"), F.inline(line_keys(F.col("line"), F.col("n"), threshold)))
+    # One exchange by key: its rows are read once to tell the keys that lines share, and once to pick out those lines.
+    keyed = keyed.filter("key is not null").repartition("key")
+    heads = keyed.groupBy("key").agg(
+        F.min_by("a", "o").alias("first"),
+        F.min_by("a", F.when(F.col("own"), F.col("o"))).alias("first_own"),
+        (F.min("a") != F.max("a")).alias("several"),
+        F.max("own").alias("indexed"),
     )
-    hashed = long.select("a", "b", "n", index_keys(F.col("line"), F.col("n"), threshold).alias("own"), probe_keys(F.col("line"), F.col("n"), threshold).alias("asked"), "place")
-    firsts = distinct.select("a", "b", "place")
-    # Only the first of equal lines is indexed and asked.
-    keyed = materialise(hashed.join(firsts, ["a", "b", "place"], "left_semi").select("place", "a", "b", "own", "asked"), "line-keys")
-    own = keyed.select("place", "a", "b", F.explode("own").alias("key"))
-    asks = keyed.select("place", "a", "b", F.explode("asked").alias("key"))
-    line = F.struct("place", "a", "b")
-
-    def against_first(some: DataFrame, others: DataFrame) -> DataFrame:
-        """Each line with the earliest of those it meets: as many rows as keys, however large the groups."""
-        first = others.groupBy("key").agg(F.min(line).alias("x"))
-        return some.join(first, "key").filter(F.col("x.place") < F.col("place")).select("a", "b", F.col("x.a").alias("a2"), F.col("x.b").alias("b2")).distinct()
-
-    def with_all(some: DataFrame, others: DataFrame) -> DataFrame:
-        earlier = others.select("key", F.col("place").alias("place2"), F.col("a").alias("a2"), F.col("b").alias("b2"))
-        return some.join(earlier, "key").filter(F.col("place2") < F.col("place")).select("a", "b", "a2", "b2").distinct()
-
-    # Most lines of a large group fall to its earliest one; only those that don't are held against the rest.
-    quick = materialise(against_first(own, asks).union(against_first(asks, own)).distinct(), "line-pairs")
-    gone = materialise(_verified(quick, long, firsts, threshold), "line-near")
-    left = lambda rows: rows.join(gone, ["a", "b"], "left_anti")
-    rest = with_all(left(own), asks).union(with_all(left(asks), own)).distinct().join(quick, ["a", "b", "a2", "b2"], "left_anti")
-    rest = materialise(rest, "line-pairs")
-    gone = gone.union(_verified(rest, long, firsts, threshold)).withColumn("near", F.lit(True))
+    heads = heads.filter("several and indexed").select("key", "first", "first_own")
+    met = materialise(keyed.join(heads, "key").select("key", "a", "o", "own", "first", "first_own"), "line-met")
+    # Each line with the earliest of those it meets: as many rows as keys, however large the groups. Most lines of a
+    # large group fall to its earliest one; only those that don't are held against the rest.
+    firsts = F.explode(F.array("first_own", F.when(F.col("own"), F.col("first")))).alias("a2")
+    quick = materialise(met.select("a", firsts).filter("a2 is not null and a2 <> a").distinct(), "line-pairs")
+    gone = materialise(_verified(quick, lines, threshold), "line-near")
+    left = met.join(gone.select("a"), "a", "left_anti").select("key", "a", "o", "own")
+    others = met.select("key", F.col("a").alias("a2"), F.col("o").alias("o2"), F.col("own").alias("own2"))
+    earlier = F.shiftright("o2", 21) <= F.shiftright("o", 21)
+    rest = left.join(others, "key").filter((F.col("own") | F.col("own2")) & (F.col("a") != F.col("a2")) & earlier).select("a", "a2").distinct()
+    rest = materialise(rest.join(quick, ["a", "a2"], "left_anti"), "line-pairs")
+    gone = gone.union(_verified(rest, lines, threshold)).withColumn("near", F.lit(True))
     return (
-        distinct.join(gone, ["a", "b"], "left")
+        lines.join(gone, ["a", "b"], "left")
         .filter(F.col("copies") | F.col("near").isNotNull())
         .select("a", "b", F.when(F.col("near").isNull(), F.col("place")).alias("place"))
     )
