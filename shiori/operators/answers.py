@@ -29,8 +29,7 @@ SYSTEM_PROMPT = """統計の専門家として質問に答え、関連する統
 {available}
 答えは次の形のJSONだけにしてください。
 {{"analysis_perspectives": [{{"perspective_title": "", "perspective_description": "",
-"recommended_indicators": [{{"indicator_name": "", "recommendation_reason": ""}}]}}]}}
-観点は4～5個、指標は観点ごとに10個ほど、全部で20～50個です。"""
+"recommended_indicators": [{{"indicator_name": "", "recommendation_reason": ""}}]}}]}}"""
 USER_PROMPT = "次の質問に関連する統計指標を挙げてください。\n\n{query}"
 
 
@@ -52,8 +51,21 @@ def prompts(
     )
 
 
+def _answered(responder: Responder, systems: list[str], users: list[str]) -> list[str]:
+    """One text per prompt; if the call fails, prompt by prompt, so that only those that fail carry their error."""
+    try:
+        texts = responder(systems, users)
+    except Exception as error:
+        if len(users) == 1:
+            return [FAILURE_PREFIX + str(error)]
+        return [_answered(responder, [s], [u])[0] for s, u in zip(systems, users, strict=True)]
+    if len(texts) != len(users):
+        raise ValueError(f"responder gave {len(texts)} texts for {len(users)} prompts")
+    return texts
+
+
 def respond(asked: DataFrame, responder: Responder, batch_size: int = 100) -> DataFrame:
-    """(query_id, response): the responder's text per prompt; a failed batch gives its error as text.
+    """(query_id, response): the responder's text per prompt; a failed prompt gives its error as text.
 
     Save the result before using it twice, so that the responder runs once.
     """
@@ -63,10 +75,7 @@ def respond(asked: DataFrame, responder: Responder, batch_size: int = 100) -> Da
         for batch in batches:
             for start in range(0, batch.num_rows, batch_size):
                 part = batch.slice(start, batch_size)
-                try:
-                    texts = responder(part.column(1).to_pylist(), part.column(2).to_pylist())
-                except Exception as error:
-                    texts = [FAILURE_PREFIX + str(error)] * part.num_rows
+                texts = _answered(responder, part.column(1).to_pylist(), part.column(2).to_pylist())
                 columns = [part.column(0), pa.array(texts, pa.string())]
                 yield pa.RecordBatch.from_arrays(columns, names=["query_id", "response"])
 
@@ -108,11 +117,9 @@ def recommended_count(answer: Column) -> Column:
 
 
 def counts(answers: DataFrame) -> DataFrame:
-    return answers.select(
-        "query_id",
-        F.col("answer").isNotNull().alias("is_valid"),
-        recommended_count(F.col("answer")).alias("n_indicators"),
-    )
+    """(query_id, is_valid, n_indicators): an answer counts as valid if all its perspectives have an indicator list."""
+    n = recommended_count(F.col("answer"))
+    return answers.select("query_id", n.isNotNull().alias("is_valid"), n.alias("n_indicators"))
 
 
 def flatten(answers: DataFrame) -> DataFrame:

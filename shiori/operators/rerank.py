@@ -12,7 +12,7 @@ from ..functions.scores import best
 from ..sources.catalogue import SEARCH_FIELDS
 from ..sources.index_store import DOC_PART, Index, doc_part
 
-# What a field holding the whole query adds, and the longest result list.
+# What a field holding the whole query adds, and the longest result list unless asked otherwise.
 WHOLE_QUERY = 2
 MAX_RESULTS = 80
 

@@ -78,7 +78,7 @@ def weights(tokens: DataFrame, vocab: DataFrame, term_parts: int) -> DataFrame:
 
 
 def query_weights(index: Index, queries: DataFrame) -> DataFrame:
-    words = materialise(queries.select("query_id", tx.word_tokens(F.col("query")).alias("words")), "query-words")
+    words = materialise(queries.select("query_id", tx.word_tokens(F.col("query"), index.meta["stop_words"] or ()).alias("words")), "query-words")
     grams = words.select("query_id", F.explode(tx.ngrams(F.col("words"))).alias("term"))
     rows = _unit_rows(_in_vocabulary(grams, index.table("vocab"), "query_id"), "query_id")
     part = term_part(F.col("term"), index.meta["term_parts"])

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -25,6 +26,13 @@ def query_vectors(queries: DataFrame, embedder: Embedder) -> DataFrame:
     return embed(cleaned, "query_id", "text", embedder)
 
 
+def dimension_agrees(index: Index, embedder: Embedder) -> None:
+    """Fails before any job if the embedder's vectors cannot be held against those of the index."""
+    stored, given = index.meta["vector_dimension"], np.asarray(embedder(["a"])).shape[-1]
+    if stored and stored != given:
+        raise ValueError(f"the embedder gives {given} dimensions; the index of {index.meta['embedding_model']} has {stored}")
+
+
 def candidates(
     index: Index,
     queries: DataFrame,
@@ -56,18 +64,23 @@ def hybrid_search(
     vectors: DataFrame | None = None,
     embedder: Embedder = hashing_embedder(64),
     reranked: bool = True,
+    max_results: int = MAX_RESULTS,
 ) -> DataFrame:
     """(query_id, rank, doc_id, five text columns, score, rerank_score) for every query at once.
 
-    ``score`` is the fused score. ``reranked=False`` keeps the fused order.
+    ``score`` is the fused score. ``reranked=False`` keeps the fused order. Either way a list has at most ``max_results``
+    rows.
     """
+    if vectors is None:
+        dimension_agrees(index, embedder)
+    length = min(top_k, max_results)
     queries = materialise(valid_queries(queries), "queries")
     fused = materialise(candidates(index, queries, top_k, vector_weight, vectors, embedder), "candidates")
     if reranked:
         columns = list(dict.fromkeys([*SEARCH_FIELDS, *RESULT_COLUMNS]))
         documents = with_documents(index, fused, 2 * top_k, columns).join(prepared(queries), "query_id")
-        results = rerank(documents, min(top_k, MAX_RESULTS))
+        results = rerank(documents, length)
     else:
-        results = with_documents(index, fused, top_k, RESULT_COLUMNS).withColumn("rank", F.col("rk"))
+        results = with_documents(index, fused, length, RESULT_COLUMNS).withColumn("rank", F.col("rk"))
         results = results.withColumn("rerank_score", F.lit(None).cast("int"))
     return results.select("query_id", "rank", "doc_id", *RESULT_COLUMNS, "score", "rerank_score")

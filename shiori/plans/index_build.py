@@ -111,6 +111,7 @@ def build_index(
         F.lit(buckets).alias("buckets"),
         F.lit(term_parts).alias("term_parts"),
         F.array(*[F.lit(i) for i in head]).alias("head"),
+        F.array(*[F.lit(w) for w in stop_words]).cast("array<string>").alias("stop_words"),
     )
     store.save_table(meta.coalesce(1), path, "meta")
     return store.open_index(spark, path)

@@ -38,12 +38,12 @@ def read_csv(
     columns: Sequence[str],
     *,
     null_values: Sequence[str] = (),
-    multi_line: bool = False,
+    multi_line: bool = True,
     optional: Sequence[str] = (),
 ) -> DataFrame:
     """CSV with a header, as strings, cut to ``columns``; fails on a missing one unless it is optional.
 
-    Quoted line breaks need ``multi_line``, which makes each file one task; leave it off for big files.
+    ``multi_line`` reads quoted line breaks and makes each file one task. Turn it off for big files whose records have none.
     """
     raw = spark.read.options(header=True, quote='"', escape='"', multiLine=multi_line).csv(path)
     return take_columns(raw, columns, null_values=null_values, optional=optional)

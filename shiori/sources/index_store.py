@@ -37,7 +37,7 @@ LAYOUT: dict[str, tuple[str, str | None, bool]] = {
     "meta": (
         "created_at TIMESTAMP, total_records BIGINT, embedding_model STRING, vector_dimension INT,"
         " n_vectors BIGINT, n_tokens BIGINT, avg_length DOUBLE, avg_raw DOUBLE, n_terms BIGINT,"
-        " buckets INT, term_parts INT, head ARRAY<BIGINT>",
+        " buckets INT, term_parts INT, head ARRAY<BIGINT>, stop_words ARRAY<STRING>",
         None,
         False,
     ),

@@ -66,9 +66,9 @@ size AS (SELECT count(*) AS n, sum(dl) / count(*) AS avgdl FROM dl),
 term_df AS MATERIALIZED (SELECT term, count(*) AS df, sum(tf) AS cf FROM post GROUP BY term),
 term_raw AS MATERIALIZED (
   SELECT term, df, cf, ln(n - df + 0.5::DOUBLE) - ln(df + 0.5::DOUBLE) AS raw FROM term_df, size),
+term_mean AS MATERIALIZED (SELECT avg(raw) AS mean_raw FROM term_raw),
 term_idf AS (
-  SELECT term, df, cf, CASE WHEN raw >= 0 THEN raw ELSE 0.25::DOUBLE * (SELECT avg(raw) FROM term_raw) END AS idf
-  FROM term_raw)"""
+  SELECT term, df, cf, CASE WHEN raw >= 0 THEN raw ELSE 0.25::DOUBLE * mean_raw END AS idf FROM term_raw, term_mean)"""
 
 BM25 = f"""
 q_space AS (

@@ -63,27 +63,22 @@ def tfidf(texts, query, size):
 
 
 def fuse(vector, keyword, tfidf_list, depth, w):
-    """Lists are [(doc_id, score)]; first-seen order decides ties."""
-    rest = (1 - w) / 2
-    total = {}
-    for d, s in vector:
-        total[d] = total.get(d, 0) + s * w
-    for ranked in (keyword, tfidf_list):
-        most = max((s for _, s in ranked), default=1)
-        for d, s in ranked:
-            total[d] = total.get(d, 0) + (s / most if most > 0 else 0) * rest
-    return sorted(((d, round(s, 6)) for d, s in total.items()), key=lambda p: -p[1])[:depth]
+    """Lists are [(doc_id, score)]. A table of documents, in the order in which they are first seen, by lists."""
+    lists = [dict(vector), dict(keyword), dict(tfidf_list)]
+    seen = list(dict.fromkeys(d for x in lists for d in x))
+    table = np.array([[x.get(d, 0.0) for x in lists] for d in seen]).reshape(-1, 3)
+    peak = np.append(1.0, table[:, 1:].max(axis=0, initial=0.0))
+    scaled = np.divide(table, peak, out=np.zeros_like(table), where=peak > 0)
+    total = np.round(scaled @ [w, (1 - w) / 2, (1 - w) / 2], 6)
+    return [(seen[i], float(total[i])) for i in np.argsort(-total, kind="stable")[:depth]]
 
 
 def lexical(row, query):
-    asked = query.lower()
-    score = 0
-    for f in FIELDS:
-        if row[f] is None:
-            continue
-        held = row[f].lower()
-        score += 2 * (asked in held) + len(set(asked.split()) & set(held.split()))
-    return score
+    """Shared (field, word) pairs, and two for each field that holds the whole query."""
+    filled = {f: row[f].lower() for f in FIELDS if row[f] is not None}
+    held = {(f, word) for f, text in filled.items() for word in text.split()}
+    asked = {(f, word) for f in filled for word in query.lower().split()}
+    return len(held & asked) + 2 * sum(query.lower() in text for text in filled.values())
 
 
 def vector(embeddings, query):
@@ -92,10 +87,7 @@ def vector(embeddings, query):
 
 def expand(hits, corpus, added=10):
     """hits [(facet, name)] by rank, corpus [(facet, name)] in order -> [(facet, [names])] by first hit."""
-    groups = {}
-    for facet, name in hits:
-        groups.setdefault(facet, []).append(name)
-    for facet, names in groups.items():
-        known = set(names)
-        names += [n for f, n in corpus if f == facet and f is not None and n not in known][:added]
-    return list(groups.items())
+    known = set(hits)
+    new = [pair for pair in corpus if pair not in known and pair[0] is not None]
+    names = lambda pairs, facet: [n for f, n in pairs if f == facet]
+    return [(f, names(hits, f) + names(new, f)[:added]) for f in dict.fromkeys(f for f, _ in hits)]

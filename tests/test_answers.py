@@ -63,7 +63,7 @@ def test_json_inside_text(spark):
 def test_counts(spark):
     no_list = json.dumps({"analysis_perspectives": [{"perspective_title": "x"}]})
     got = answers.counts(parsed(spark, json.dumps(ANSWER), "nothing", '{"analysis_perspectives": []}', no_list))
-    assert [tuple(r) for r in got.orderBy("query_id").collect()] == [(0, True, 5), (1, False, None), (2, True, 0), (3, True, None)]
+    assert [tuple(r) for r in got.orderBy("query_id").collect()] == [(0, True, 5), (1, False, None), (2, True, 0), (3, False, None)]
 
 
 def test_flatten(spark):
