@@ -142,3 +142,18 @@ def test_prompts_and_responder(spark):
     got = {r["query_id"]: r["response"] for r in answers.respond(asked_rows, responder, batch_size=1).collect()}
     assert got[1].endswith("{one}")
     assert got[2] == answers.FAILURE_PREFIX + "down"
+
+
+def test_failing_prompt_leaves_its_batch_alone():
+    def responder(systems, users):
+        if "bad" in users:
+            raise RuntimeError("no")
+        return [u.upper() for u in users]
+
+    assert answers._answered(responder, ["s"] * 3, ["a", "bad", "c"]) == ["A", answers.FAILURE_PREFIX + "no", "C"]
+    try:
+        answers._answered(lambda s, u: ["one"], ["s"] * 2, ["a", "b"])
+    except ValueError as error:
+        assert "1 texts for 2 prompts" in str(error)
+    else:
+        raise AssertionError("a wrong number of texts must fail")
