@@ -6,7 +6,9 @@ substrings it would share with a line as long or shorter. What meets is verified
 the steps lines go by a 64-bit hash; equality is by two.
 
 A line goes if an equal line, or one within ``THRESHOLD`` edits, comes earlier: in a document with a smaller id, or
-higher up in the same one. Lines shorter than ``MIN_CHARS`` stay.
+higher up in the same one. Near copies are looked for among lines of ``MIN_CHARS`` and more: in shorter ones two edits
+mean too much. Exact copies go from ``min_copy_chars`` on, which is ``MIN_CHARS`` too unless given; with ``ALL_COPIES``
+they go at every length. Empty lines stay.
 
 The banded verification is Spark's ``levenshtein`` with a threshold: a bit-parallel one cannot be written in built-in
 functions at that speed.
@@ -24,6 +26,8 @@ from ..sources.workspace import materialise
 
 THRESHOLD = 2
 MIN_CHARS = 24
+# The least ``min_copy_chars``: exact copies of all lines but empty ones.
+ALL_COPIES = 1
 # Lines whose hashes may be sent to every task; beyond it they are joined by a shuffle.
 BROADCAST_LINES = 50_000
 
@@ -83,18 +87,18 @@ def _verified(pairs: DataFrame, lines: DataFrame, threshold: int) -> DataFrame:
     return near.filter(F.levenshtein("line", "line2", threshold) >= 0).select("a", "b").distinct()
 
 
-def doomed_lines(rows: DataFrame, threshold: int = THRESHOLD, min_chars: int = MIN_CHARS) -> DataFrame:
+def doomed_lines(rows: DataFrame, threshold: int = THRESHOLD, min_chars: int = MIN_CHARS, min_copy_chars: int | None = None) -> DataFrame:
     """(a, b, place): lines that have copies or an earlier near copy; ``place`` is where one stays, or null for nowhere."""
-    long = lines_of(rows).filter(F.col("n") >= min_chars)
+    some = lines_of(rows).filter(F.col("n") >= (min_chars if min_copy_chars is None else min(min_chars, min_copy_chars)))
     # Equal lines meet map-side first; each text is moved once, and its keys are made after that.
     spot = F.xxhash64("doc_id", "_row", "at")
     lines = materialise(
-        long.groupBy("a", "b", "n").agg(
-            F.min(F.struct("doc_id", "_row", "at")).alias("place"), (F.min(spot) != F.max(spot)).alias("copies"), F.first("line").alias("line")
+        some.groupBy("a", "b", "n").agg(
+            F.min(F.struct("doc_id", "_row", "at")).alias("place"), (F.min(spot) != F.max(spot)).alias("copies"), F.first(F.when(F.col("n") >= min_chars, F.col("line"))).alias("line")
         ),
         "lines",
     )
-    keyed = lines.select("a", _order(F.col("place")).alias("o"), F.inline(line_keys(F.col("line"), F.col("n"), threshold)))
+    keyed = lines.filter(F.col("n") >= min_chars).select("a", _order(F.col("place")).alias("o"), F.inline(line_keys(F.col("line"), F.col("n"), threshold)))
     # One exchange by key: its rows are read once to tell the keys that lines share, and once to pick out those lines.
     keyed = keyed.filter("key is not null").repartition("key")
     heads = keyed.groupBy("key").agg(
@@ -123,18 +127,19 @@ def doomed_lines(rows: DataFrame, threshold: int = THRESHOLD, min_chars: int = M
     )
 
 
-def dedup_lines(documents: DataFrame, threshold: int = THRESHOLD, min_chars: int = MIN_CHARS) -> DataFrame:
+def dedup_lines(documents: DataFrame, threshold: int = THRESHOLD, min_chars: int = MIN_CHARS, min_copy_chars: int | None = None) -> DataFrame:
     """The rows of ``documents`` with their texts cut to the lines that stay, ``n_lines`` and ``n_removed``."""
+    least = min_chars if min_copy_chars is None else min(min_chars, min_copy_chars)
     others = [c for c in documents.columns if c not in ("doc_id", "text", "n_lines", "n_removed")]
     rows = documents.select(
         "doc_id", "text", F.struct(F.lit(0).alias("_0"), *[F.col(f"`{c}`") for c in others]).alias("_others"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("_row")
     )
-    doomed = materialise(doomed_lines(rows.select("doc_id", "_row", "text"), threshold, min_chars), "line-doomed")
+    doomed = materialise(doomed_lines(rows.select("doc_id", "_row", "text"), threshold, min_chars, min_copy_chars), "line-doomed")
     if doomed.count() <= BROADCAST_LINES:
         doomed = F.broadcast(doomed)
     here = F.struct("doc_id", "_row", "at")
     hit = (
-        lines_of(rows).filter(F.col("n") >= min_chars).select("a", "b", "doc_id", "_row", "at")
+        lines_of(rows).filter(F.col("n") >= least).select("a", "b", "doc_id", "_row", "at")
         .join(doomed, ["a", "b"])
         .filter(F.col("place").isNull() | (F.col("place") != here))
     )

@@ -73,7 +73,7 @@ def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with its lines counted and what stays of its text."""
-    found = line_dedup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    found = line_dedup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"), min_copy_chars=line_dedup.ALL_COPIES)
     return found.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))
 
 
