@@ -59,16 +59,17 @@ class WordIds(dict):
 
     A byte-level BPE splits a text before each single space and never merges over such a split, so a text without
     doubled white space is its first word followed by ' ' + word for each other one. A plain word is split by the
-    tokenizer's own pattern, and each part is looked up or given to its model; all else goes to the tokenizer whole.
+    tokenizer's own pattern, and each part is looked up or given to its model; all else goes to the tokenizer whole, and so
+    does a text that holds an added token: the tokenizer finds those before it splits.
     """
 
     def __init__(self, path: str):
         super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         kind = json.loads(self.tokenizer.to_str())
         split = kind["pre_tokenizer"] or {}
         self.by_word = kind["normalizer"] is None and split.get("type") == "ByteLevel" and split.get("use_regex") and not split["add_prefix_space"]
+        self.added = [t["content"] for t in kind["added_tokens"]]
         self.pieces = Pieces(self.tokenizer)
         self.doubled = re.compile(r"\s\s")
         self.plain = re.compile(r" ?[!-~À-ÖØ-öø-ÿ\n]+")
@@ -91,7 +92,7 @@ class WordIds(dict):
     def text(self, text: str) -> bytes:
         if not text:
             return b""
-        if not self.by_word or self.doubled.search(text):
+        if not self.by_word or self.doubled.search(text) or any(a in text for a in self.added):
             return self.whole(text)
         first, *words = text.split(" ")
         head = self[first] if first else b""
