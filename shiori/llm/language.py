@@ -1,11 +1,12 @@
 """Language of texts by a linear-chain conditional random field over their words.
 
-A word has features: itself (a lexicon of the sample's words), its affixes and the n-grams of its letters. Emission
+A word has features: itself (a lexicon of the sample's words), its affixes and the n-grams of its letters. A
+run longer than ``WORD_CHARS`` counts as consecutive words of that length, so scripts without spaces are read whole. Emission
 weights and transitions between languages are learned together, on chains that switch language: snippets of labelled
 documents set one after the other. A text is cut into chains of ``CHAIN`` words; forward-backward gives each word its
 share of every language, and a text gets the language with the largest mean share.
 
-Labels are learned from about ``SAMPLE_DOCS`` documents of each language, taken by a hash of their id; every whole text
+Labels are learned from about ``SAMPLE_DOCS`` documents of each labelled language, taken by a hash of their id; every whole text
 is labelled.
 
 Defined results: ``und`` with score 0 if the text is null or has no letter, or if nothing could be learned. Ties go to
@@ -24,9 +25,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Documents of each language to learn from, languages, and words taken from a document in snippets.
-SAMPLE_DOCS, LANGUAGES, SNIPPETS, SNIPPET = 250, 64, 6, 12
+# Documents of each language to learn from, and words taken from a document in snippets.
+SAMPLE_DOCS, SNIPPETS, SNIPPET = 250, 6, 12
 CHAIN = 32
+WORD_CHARS = 40
+# With more languages than these, fewer words are held at a time.
+FULL_BATCH_LANGUAGES = 64
 BATCH_WORDS = 200_000
 REMEMBERED_WORDS = 300_000
 EPOCHS, RATE, MIN_COUNT = 12, 0.15, 2
@@ -34,16 +38,23 @@ UNDETERMINED = "und"
 LETTER = re.compile(r"[^\W\d_]")
 
 
+def words_of(text: str) -> Iterator[str]:
+    for run in text.split():
+        if len(run) <= WORD_CHARS:
+            yield run
+        else:
+            yield from (run[i : i + WORD_CHARS] for i in range(0, len(run), WORD_CHARS))
+
+
 def word_features(word: str) -> set[str]:
     """Lexicon entry, affixes of up to three letters, n-grams of two and three letters."""
     w = word.strip("\"'.,;:!?()[]{}|*#$%&<>-_").lower()
     if not w or not LETTER.search(w):
         return set()
-    out = {"=" + w[:40]}
+    out = {"=" + w}
     for n in (1, 2, 3):
         out.add("^" + w[:n])
         out.add(w[-n:] + "$")
-    w = w[:40]
     out.update(w[i : i + n] for n in (2, 3) for i in range(len(w) - n + 1))
     return out
 
@@ -141,9 +152,9 @@ class Crf:
                 # Expected transitions from neighbouring shares, the usual pairwise marginals of the chain.
                 e = np.exp(scores - scores.max(2, keepdims=True))
                 inside = np.arange(1, t)[None, :] < lengths[:, None]
-                pair = shares[:, :-1, :, None] * np.exp(self.step)[None, None] * (shares[:, 1:] * e[:, 1:])[:, :, None, :]
-                pair /= pair.sum((2, 3), keepdims=True)
-                gs = (np.einsum("nti,ntj->ij", truth[:, :-1] * inside[..., None], truth[:, 1:]) - pair[inside].sum(0)) / len(some)
+                step, left, right = np.exp(self.step), shares[:, :-1][inside], (shares[:, 1:] * e[:, 1:])[inside]
+                pair = step * ((left / ((left @ step) * right).sum(1, keepdims=True)).T @ right)
+                gs = (np.einsum("nti,ntj->ij", truth[:, :-1] * inside[..., None], truth[:, 1:]) - pair) / len(some)
                 step_squares += gs**2
                 self.step += RATE * gs / np.sqrt(step_squares)
                 gb = (truth[:, 0] - shares[:, 0]).mean(0)
@@ -157,11 +168,13 @@ class Labeller:
 
     def __init__(self, model: Crf):
         self.model, self.row = model, {}
+        share = min(1.0, FULL_BATCH_LANGUAGES / max(1, len(model.languages)))
+        self.batch, self.remembered = int(BATCH_WORDS * share), int(REMEMBERED_WORDS * share)
         self.table = np.zeros((0, len(model.languages)), np.float32)
         self.step, self.start = np.exp(model.step).astype(np.float32), np.exp(model.start).astype(np.float32)
 
     def scores(self, words: list[str]) -> np.ndarray:
-        if len(self.row) > REMEMBERED_WORDS:
+        if len(self.row) > self.remembered:
             self.row, self.table = {}, self.table[:0]
         if new := [w for w in dict.fromkeys(words) if w not in self.row]:
             self.row.update(zip(new, range(len(self.row), len(self.row) + len(new)), strict=True))
@@ -193,12 +206,12 @@ class Labeller:
                 words.clear(), lengths.clear(), owners.clear()
 
         for i, text in enumerate(texts):
-            of = iter((text or "").split())
+            of = words_of(text or "")
             while part := list(islice(of, CHAIN)):
                 words += part
                 lengths.append(len(part))
                 owners.append(i)
-                if len(words) >= BATCH_WORDS:
+                if len(words) >= self.batch:
                     put()
         put()
         sums = totals.sum(1)
@@ -215,24 +228,22 @@ class Labeller:
 
 
 def train(documents: DataFrame, learn: Column, docs: int = SAMPLE_DOCS) -> Crf:
-    """Fit on about ``docs`` documents of each of the ``LANGUAGES`` most frequent languages."""
+    """Fit on about ``docs`` documents of each language."""
     known = documents.filter(learn).filter("lang is not null and text is not null")
-    counts = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()
+    counts = known.groupBy("lang").count().collect()
     languages = sorted(r["lang"] for r in counts)
     model = Crf(languages)
     if not languages:
         return model
-    share = F.lit(None).cast("double")
-    for r in counts:
-        share = F.when(F.col("lang") == r["lang"], F.lit(1.5 * docs / r["count"])).otherwise(share)
+    shares = documents.sparkSession.createDataFrame([(r["lang"], 1.5 * docs / r["count"]) for r in counts], "lang string, share double")
     drawn = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / float(1 << 30)
-    rows = known.filter(drawn < share).select("lang", "text", drawn.alias("drawn"))
+    rows = known.join(F.broadcast(shares), "lang").filter(drawn < F.col("share")).select("lang", "text", drawn.alias("drawn"))
 
     def snippets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
             for text in batch.column(1):
-                words = text.as_py().split()
+                words = list(words_of(text.as_py()))
                 starts = range(0, len(words), max(SNIPPET, len(words) // SNIPPETS))
                 out.append([" ".join(words[s : s + SNIPPET]) for s in islice(starts, SNIPPETS)])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.list_(pa.string())), batch.column(2)], names=["lang", "snippets", "drawn"])
