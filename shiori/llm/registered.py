@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import align, chat, decontaminate, language, line_dedup, ngram_join, packing, quality, secrets, topk_search, warc
+from . import align, chat, conversation, decontaminate, language, line_dedup, ngram_join, packing, quality, secrets, topk_search, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -84,6 +84,10 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed_documents(documents, public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation.damage_and_repair(table(spark, sf_dir, "conversations"))
+
+
 def op13_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with the digest of its token groups and how common its links are."""
     import public_tokenizers
@@ -104,6 +108,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_warc": op8_warc,
         "op9_line_dedup": op9_line_dedup,
         "op10_best_fit_packing": op10_best_fit_packing,
+        "op11_conversation_repair": op11_conversation_repair,
         "op13_tokenizer_alignment": op13_tokenizer_alignment,
     }
 
