@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import align, chat, conversation, decontaminate, language, line_dedup, ngram_join, packing, quality, secrets, topk_search, warc
+from . import align, chat, conversation, decontaminate, language, line_dedup, ngram_join, packing, quality, secrets, substring_dedup, topk_search, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -88,6 +88,11 @@ def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversation.damage_and_repair(table(spark, sf_dir, "conversations"))
 
 
+def op12_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = substring_dedup.deduplicated(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
+
+
 def op13_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with the digest of its token groups and how common its links are."""
     import public_tokenizers
@@ -109,6 +114,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_line_dedup": op9_line_dedup,
         "op10_best_fit_packing": op10_best_fit_packing,
         "op11_conversation_repair": op11_conversation_repair,
+        "op12_substring_dedup": op12_substring_dedup,
         "op13_tokenizer_alignment": op13_tokenizer_alignment,
     }
 
