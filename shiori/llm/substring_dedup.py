@@ -401,7 +401,9 @@ def repeated_windows(
     """(doc_id, text_hash, starts): the first words of all windows that also start in a document with a smaller id."""
     pieces = materialise(pieces_of(hashed_words(documents), window, anchor), "pieces")
     spread = pieces.groupBy("anchor").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"))
-    repeated = materialise(pieces.join(spread.filter("low < high").select("anchor"), "anchor", "left_semi"), "repeated-pieces")
+    # Stored, so that the join has an exchange of its own on both sides and a common anchor's pieces can be split.
+    shared = materialise(spread.filter("low < high").select("anchor"), "shared-anchors")
+    repeated = materialise(pieces.join(shared, "anchor", "left_semi"), "repeated-pieces")
     standing = materialise(_standing(documents, repeated, window, anchor), "standing-pieces")
     found = materialise(_resolved(standing, window, hot_pieces, shard_words), "found")
     held = repeated.select("doc_id", "text_hash", "content", "first").join(found, "content")
