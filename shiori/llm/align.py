@@ -18,8 +18,9 @@ from __future__ import annotations
 
 import json
 import re
+import struct
 from collections import Counter
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterator
 from functools import cached_property
 from itertools import accumulate
 
@@ -87,7 +88,8 @@ class Vocabularies:
 class Encoder(dict):
     """Ids of a text under both tokenizers from those of its remembered parts; None where bytes are not given back.
 
-    Texts with white space beside white space are encoded whole, as are all texts where parts could influence each other.
+    Ids are kept as little-endian 32-bit numbers. Texts with white space beside white space are encoded whole, as are all
+    texts where parts could influence each other.
     """
 
     def __init__(self, vocabularies: Vocabularies):
@@ -95,48 +97,65 @@ class Encoder(dict):
         self.v = vocabularies
         self.parts = re.compile(r" [^ \n]+|\n|[^ \n]+").findall
         self.doubled = re.compile(r"\s\s|\s\Z").search
-
-    def _ids(self, text: str) -> tuple[list[int], list[int]] | None:
-        """``text`` starts with its space."""
-        a = self.v.a.encode(text, add_special_tokens=False).ids
-        b = self.v.b.encode(text[1:])
-        return self._checked(text, a, b)
-
-    def _checked(self, text: str, a: list[int], b: list[int]) -> tuple[list[int], list[int]] | None:
+        # Fixed value: the splitting pattern of byte-level BPE, here for plain characters only.
+        self.split = re.compile(r"'(?:s|t|re|ve|m|ll|d)| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\n").findall
+        self.plain = re.compile(r"[ -~À-ÖØ-öø-ÿ\n]+").fullmatch
+        self.letters = str.maketrans({chr(b): c for c, b in byte_letters().items()})
+        self.known_a: dict[str, list[int]] = {}
+
+    def _a(self, part: str) -> list[int]:
+        """Ids of A; a plain part is split by A's own pattern, and its pieces are remembered."""
+        if not (self.v.by_part and self.plain(part)):
+            return self.v.a.encode(part, add_special_tokens=False).ids
+        ids: list[int] = []
+        for piece in self.split(part):
+            found = self.known_a.get(piece)
+            if found is None:
+                if len(self.known_a) >= REMEMBERED:
+                    self.known_a.clear()
+                entry = piece.encode().decode("latin-1").translate(self.letters)
+                found = self.known_a[piece] = [t.id for t in self.v.a.model.tokenize(entry)]
+            ids += found
+        return ids
+
+    def _checked(self, text: str, a: list[int], b: list[int]) -> tuple[bytes, bytes] | None:
         want = text.encode()
         same = want == b"".join(map(self.v.a_bytes.__getitem__, a)) == b"".join(map(self.v.b_bytes.__getitem__, b))
-        return (a, b) if same else None
+        return (struct.pack(f"<{len(a)}I", *a), struct.pack(f"<{len(b)}I", *b)) if same else None
 
-    def __missing__(self, part: str) -> tuple[list[int], list[int]] | None:
-        if len(self) >= REMEMBERED:
-            self.clear()
-        if part[0] == " ":
-            found = self._ids(part)
-        else:
-            # The model puts a space before a text; what stands behind a line break has none.
-            a = self.v.a.encode(part, add_special_tokens=False).ids
-            found = self._checked(part, a, self.v.b.encode(part if part == "\n" else "\n" + part)[1 if part == "\n" else 2 :])
-        self[part] = found
-        return found
+    def whole(self, text: str) -> tuple[bytes, bytes] | None:
+        """``text`` starts with its space."""
+        return self._checked(text, self.v.a.encode(text, add_special_tokens=False).ids, self.v.b.encode(text[1:]))
+
+    def _learn(self, parts: list[str]) -> None:
+        """The model puts a space before a text; what stands behind a line break has none, so the break is encoded too."""
+        given = [p[1:] if p[0] == " " else p if p == "\n" else "\n" + p for p in parts]
+        for part, b in zip(parts, self.v.b.encode(given, num_threads=1), strict=True):
+            skipped = 0 if part[0] == " " else 1 if part == "\n" else 2
+            self[part] = self._checked(part, self._a(part), b[skipped:])
 
-    def text(self, text: str | None) -> tuple[list[int], list[int]] | None:
+    def text(self, text: str | None) -> tuple[bytes, bytes] | None:
         if not text:
             return None
         spaced = " " + text
         if not self.v.by_part or self.doubled(spaced):
-            return self._ids(spaced)
-        a: list[int] = []
-        b: list[int] = []
-        for part in self.parts(spaced):
-            found = self[part]
-            if found is None:
-                return None
-            a += found[0]
-            b += found[1]
-        return a, b
+            return self.whole(spaced)
+        parts = self.parts(spaced)
+        distinct = set(parts)
+        if len(distinct) > REMEMBERED:
+            return self.whole(spaced)
+        if new := [p for p in distinct if p not in self]:
+            if len(self) + len(new) > REMEMBERED:
+                self.clear()
+                new = list(distinct)
+            self._learn(new)
+        found = list(map(self.__getitem__, parts))
+        if None in found:
+            return None
+        return b"".join([a for a, _ in found]), b"".join([b for _, b in found])
 
 
-def common_ends(a: Sequence[int], b: Sequence[int]) -> tuple[list[int], list[int]]:
+def common_ends(a: list[int], b: list[int]) -> tuple[list[int], list[int]]:
     """For each group the place of its last token in ``a`` and in ``b``, two lists of ascending ends with the same last one."""
     last_a: list[int] = []
     last_b: list[int] = []
@@ -169,17 +188,23 @@ def common_ends(a: Sequence[int], b: Sequence[int]) -> tuple[list[int], list[int
     return last_a, last_b
 
 
-def written(a: list[int], b: list[int], last_a: list[int], last_b: list[int], names: list[str]) -> str:
+class Written:
     """``a1,a2|b1;a3|b2,b3``: the ids of each group."""
-    groups = []
-    i = j = 0
-    for p, q in zip(last_a, last_b, strict=True):
-        if p == i and q == j:
-            groups.append(names[a[p]] + "|" + names[b[q]])
-        else:
-            groups.append(",".join([names[x] for x in a[i : p + 1]]) + "|" + ",".join([names[x] for x in b[j : q + 1]]))
-        i, j = p + 1, q + 1
-    return ";".join(groups)
+
+    def __init__(self, ids: int):
+        self.ids = ids
+        self.strings = np.array([f"{i}{mark}" for mark in ",|;" for i in range(ids)], dtype=object)
+
+    def __call__(self, a: np.ndarray, b: np.ndarray, last_a: np.ndarray, last_b: np.ndarray) -> str:
+        """Ids and, for each group, the places of its last ones."""
+        out = np.empty(len(a) + len(b), np.int64)
+        mark_a, mark_b = np.zeros(len(a), np.int64), np.zeros(len(b), np.int64)
+        mark_a[last_a], mark_b[last_b] = self.ids, 2 * self.ids
+        # A token stands behind all tokens of its own side before it and those of the other side in earlier groups.
+        before_a = np.concatenate([[0], last_b[:-1] + 1])
+        out[np.arange(len(a)) + np.repeat(before_a, np.diff(last_a, prepend=-1))] = a + mark_a
+        out[np.arange(len(b)) + np.repeat(last_a + 1, np.diff(last_b, prepend=-1))] = b + mark_b
+        return "".join(self.strings[out].tolist())[:-1]
 
 
 def aligned(documents: DataFrame, a_path: str, b_path: str) -> DataFrame:
@@ -191,18 +216,17 @@ def aligned(documents: DataFrame, a_path: str, b_path: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = Vocabularies(a_path, b_path)
         encoder = Encoder(v)
-        size_a, size_b = [len(x) for x in v.a_bytes], [len(x) for x in v.b_bytes]
-        names = [str(i) for i in range(max(len(size_a), len(size_b)))]
+        size_a, size_b = (np.array([len(x) for x in side], np.int64) for side in (v.a_bytes, v.b_bytes))
+        written = Written(max(len(size_a), len(size_b)))
 
         def one(doc_id: int | None, text: str | None) -> tuple:
             ids = encoder.text(text)
             if ids is None:
                 return doc_id, 0, 0, 0, "", b""
-            a, b = ids
-            ends = [list(accumulate(map(size.__getitem__, x))) for x, size in ((a, size_a), (b, size_b))]
-            last_a, last_b = common_ends(*ends)
-            links = np.array(a, np.uint32)[last_a] * np.uint32(len(size_b)) + np.array(b, np.uint32)[last_b]
-            return doc_id, len(a), len(b), len(last_a), written(a, b, last_a, last_b, names), links.astype("<u4").tobytes()
+            a, b = (np.frombuffer(x, "<u4").astype(np.int64) for x in ids)
+            last_a, last_b = map(np.array, common_ends(np.cumsum(size_a[a]).tolist(), np.cumsum(size_b[b]).tolist()))
+            links = (a[last_a] * len(size_b) + b[last_b]).astype("<u4")
+            return doc_id, len(a), len(b), len(last_a), written(a, b, last_a, last_b), links.tobytes()
 
         types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary()]
         header = ["doc_id", "n_a", "n_b", "n_groups", "groups", "links"]
