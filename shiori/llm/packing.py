@@ -181,25 +181,30 @@ class Bins:
         return made
 
     def _improve(self, small: int) -> bool:
-        """The exchange that helps most: one or two pieces leave ``small``, none or one comes back from their new bin."""
+        """The exchange that helps most, if any does: one or two pieces leave ``small``, none or one comes back from their new bin.
+
+        Every exchange made increases the sum of squared fills, so the search ends.
+        """
         own = np.flatnonzero(self.bin == small)
         room = self.capacity - self.fill
         room[small] = -1
         room[self.fill == 0] = -1
-        gain = np.where(room[self.bin] > 0, self.lengths, self.capacity + 1)  # pieces that may come back
+        pieces = np.flatnonzero(room[self.bin] > 0)  # those that may come back
+        home = self.bin[pieces]
+        gap, space, gain = self.fill[home] - self.fill[small], room[home], self.lengths[pieces]
         outs = [(i,) for i in own] + [(i, j) for n, i in enumerate(own) for j in own[n + 1 :]]
         best, found = 0, None
         for out in outs:
             x = int(self.lengths[list(out)].sum())
             if len(out) == 1 and (room >= x).any():
                 b = int(np.argmax(np.where(room >= x, self.fill, -1)))
-                return self._exchange(small, out, b, None)
+                if (value := x * int(self.fill[b] - self.fill[small] + x)) > best:
+                    best, found = value, (out, b, None)
             more = x - gain
-            value = np.where((more > 0) & (more <= room[self.bin]), more * (self.fill[self.bin] - self.fill[small] + more), 0)
-            y = int(np.argmax(value))
-            if value[y] > best:
-                best, found = value[y], (out, y)
-        return bool(found) and self._exchange(small, found[0], int(self.bin[found[1]]), found[1])
+            value = np.where((more > 0) & (more <= space), more * (gap + more), 0)
+            if len(value) and value[y := int(np.argmax(value))] > best:
+                best, found = int(value[y]), (out, int(home[y]), int(pieces[y]))
+        return bool(found) and self._exchange(small, *found)
 
     def _exchange(self, small: int, out: tuple, b: int, back: int | None) -> bool:
         moved = int(self.lengths[list(out)].sum()) - (int(self.lengths[back]) if back is not None else 0)
