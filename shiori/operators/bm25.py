@@ -74,31 +74,21 @@ def _weighted_postings(index: Index) -> DataFrame:
     return index.table("postings").select("doc_id", "term", TERM_PART, weight.alias("w"))
 
 
-def _signed_scores(index: Index, weighted: DataFrame) -> DataFrame:
-    """All non-zero scores. Only for a negative floor, which needs a vocabulary of very common words."""
-    return (
-        _weighted_postings(index)
-        .join(weighted, ["term", TERM_PART])
-        .groupBy("query_id", "doc_id")
-        .agg(rounded(F.sum(F.col("w") * F.col("qw"))).alias("score"))
-    )
-
-
 def bm25_topk(
     index: Index, queries: DataFrame, depth: int, pad: bool = True, block_terms: int = BLOCK_TERMS
 ) -> DataFrame:
     """(query_id, doc_id, score, rk): the ``depth`` best documents per query.
 
-    ``pad`` fills lists with unmatched documents in id order; without it only positive scores are listed.
+    ``pad`` fills lists with unmatched documents in id order; without it only positive scores are listed. Where the floor of
+    the idf is negative, matched documents can rank below unmatched ones: then every task ranks all of its documents.
     """
     queries = valid_queries(queries)
     weighted = query_weights(index, queries)
-    if index.meta["avg_raw"] < 0:
-        scores = _signed_scores(index, weighted)
-        if pad:
-            return padded(index, queries, scores, depth, negatives=True)
-        return best(scores.filter("score > 0"), depth, ["query_id"], by_score())
-    scores = blocks_topk(_weighted_postings(index), weighted, depth, block_terms)
-    if pad:
-        return padded(index, queries, scores, depth)
-    return best(scores, depth, ["query_id"], by_score())
+    if index.meta["avg_raw"] >= 0 or not pad:
+        scores = blocks_topk(_weighted_postings(index), weighted, depth, block_terms)
+        return padded(index, queries, scores, depth) if pad else best(scores, depth, ["query_id"], by_score())
+    weighted = materialise(weighted, "weighted")
+    scores = blocks_topk(_weighted_postings(index), weighted, depth, block_terms, documents=index.corpus)
+    unknown = queries.join(weighted.select("query_id").distinct(), "query_id", "left_anti")
+    rest = padded(index, unknown, scores.filter(F.lit(False)), depth)
+    return best(scores, depth, ["query_id"], by_score()).unionByName(rest)

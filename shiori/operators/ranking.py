@@ -9,17 +9,13 @@ from ..functions.scores import best, by_score
 from ..sources.index_store import Index
 
 
-def padded(index: Index, queries: DataFrame, scores: DataFrame, depth: int, negatives: bool = False) -> DataFrame:
+def padded(index: Index, queries: DataFrame, scores: DataFrame, depth: int) -> DataFrame:
     """Every list gets min(depth, N) rows: unmatched documents follow in id order with score 0.
 
-    Only the first documents by id can be fillers, ``depth`` of them plus as many as one query has
-    negative scores. Adding a filler's 0 to a matched document's score leaves that score as it was.
+    Scores are positive, so only the first ``depth`` documents by id can be fillers. Adding a filler's 0 to a matched
+    document's score leaves that score as it was.
     """
-    reach = depth
-    if negatives:
-        worst = scores.filter("score < 0").groupBy("query_id").count().agg(F.max("count")).first()[0]
-        reach += worst or 0
-    ids = index.first_ids(reach)
+    ids = index.first_ids(depth)
     fillers = queries.select(
         "query_id", F.explode(F.array(*[F.lit(i).cast("bigint") for i in ids])).alias("doc_id"), F.lit(0.0).alias("score")
     )

@@ -51,6 +51,7 @@ queries AS MATERIALIZED (
 
 PASSAGES = queries_from("SELECT item_id AS query_id, text AS query FROM benchmark")
 SUPPLIERS = queries_from("SELECT s_suppkey AS query_id, s_name AS query FROM supplier")
+CONVERSATIONS = queries_from("SELECT conv_id * 1000000 + turn AS query_id, text AS query FROM conversations")
 PART_NAMES = queries_from(
     """SELECT min(p_partkey) AS query_id,
               p_name || ' ' || arg_min(p_type, p_partkey) || ' ' || arg_min(p_brand, p_partkey) AS query
@@ -353,6 +354,7 @@ def all_checks() -> dict[str, str]:
     return {
         "bm25_topk": statement([DOCUMENTS, PASSAGES, *bm, matched("bm_score", "l", 10)], "SELECT * FROM l"),
         "bm25_topk_padded": statement([PARTS, SUPPLIERS, *bm, ranked("bm_score", "l", 80)], "SELECT * FROM l"),
+        "bm25_conversations": statement([DOCUMENTS, CONVERSATIONS, *bm, matched("bm_score", "l", 10)], "SELECT * FROM l"),
         "bm25_term_stats": statement(
             [DOCUMENTS, BM25_INDEX], "SELECT term, df, CAST(cf AS BIGINT) AS cf, round(idf, 6) AS idf FROM term_idf"
         ),

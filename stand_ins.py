@@ -87,6 +87,12 @@ def passage_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
 
 
+def conversation_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every row of every conversation as a query."""
+    number = F.col("conv_id") * 1_000_000 + F.col("turn")
+    return table(spark, sf_dir, "conversations").select(number.alias("query_id"), F.col("text").alias("query"))
+
+
 def part_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every distinct part name with its type and brand words, numbered by its first part."""
     return (
