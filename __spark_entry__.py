@@ -23,7 +23,9 @@ from shiori.operators.rerank import prepared, rerank, with_documents  # noqa: E4
 from shiori.operators.tfidf import tfidf_topk  # noqa: E402
 from shiori.operators.vectors import dimension_check, embed, hashing_embedder, unit_vectors, vector_topk  # noqa: E402
 from shiori.plans.hybrid import candidates, hybrid_search  # noqa: E402
+from shiori.plans.index_build import build_index  # noqa: E402
 from shiori.sources import catalogue  # noqa: E402
+from shiori.sources.index_store import Index, open_index, remove_versions  # noqa: E402
 from shiori.sources.workspace import fresh_path, materialise  # noqa: E402
 import shiori.functions.text as tx  # noqa: E402
 
@@ -88,6 +90,26 @@ def tfidf_padded(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tfidf_topk(given.index(spark, sf_dir, "parts"), supplier_queries(spark, sf_dir), 80)
 
 
+def tfidf_stop_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words left out of the index are left out of the queries too."""
+    return tfidf_topk(given.index(spark, sf_dir, "parts-stops"), given.part_queries(spark, sf_dir), 40)
+
+
+def index_rebuild(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An index built anew in place: what a reader of the first version and one of the second see, before and after removal."""
+    path = fresh_path(spark, "index-rebuilt")
+    old = build_index(given.bare_part_corpus(spark, sf_dir), path, keyword_only=True)
+    new = build_index(given.part_corpus(spark, sf_dir), path, keyword_only=True)
+    before = materialise(_facts(old, "old").unionByName(_facts(new, "new")), "versions")
+    remove_versions(spark, path)
+    return before.unionByName(_facts(open_index(spark, path), "opened"))
+
+
+def _facts(index: Index, reader: str) -> DataFrame:
+    postings = index.table("postings").agg(F.count("*").alias("n_postings"), F.sum("tf").alias("n_tokens"))
+    return postings.select(F.lit(reader).alias("reader"), F.lit(index.n_docs).cast("bigint").alias("n_docs"), "n_postings", "n_tokens")
+
+
 def tfidf_vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
     vocab = given.index(spark, sf_dir, "documents").table("vocab")
     return vocab.select("term", "df", "cf", rounded(F.col("idf")).alias("idf"))
@@ -328,6 +350,7 @@ def search_queries() -> dict[str, Query]:
         "bm25_term_stats": bm25_term_stats,
         "tfidf_topk": tfidf,
         "tfidf_topk_padded": tfidf_padded,
+        "tfidf_stop_words": tfidf_stop_words,
         "tfidf_vocabulary": tfidf_vocabulary,
         "tfidf_weights": tfidf_weights,
         "vector_topk": vectors(4_096),
@@ -362,6 +385,7 @@ def search_queries() -> dict[str, Query]:
         "clean_text_stats": clean_text_stats,
         "row_counts": row_counts,
         "index_stats": index_stats,
+        "index_rebuild": index_rebuild,
         "json_block": json_block,
         "trial_stats": trial_stats,
         "trial_models": trial_models,

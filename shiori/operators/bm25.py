@@ -9,6 +9,7 @@ from ..functions import text as tx
 from ..functions.scores import best, by_score, rounded
 from ..sources.index_store import TERM_PART, Index, term_part
 from ..sources.workspace import materialise
+from . import counted as counted_tokens
 from .ranking import padded
 from .term_blocks import BLOCK_TERMS, blocks_topk, valid_queries
 
@@ -19,14 +20,9 @@ K1, B, EPSILON = 1.5, 0.75, 0.25
 BROADCAST_ASKED = 500_000
 
 
-def postings(tokens: DataFrame, term_parts: int) -> DataFrame:
-    """(doc_id, term, tf, dl): counted inside each document's bucket, without a shuffle."""
-    return (
-        tokens.select("doc_id", F.size("spaced").alias("dl"), F.explode("spaced").alias("term"))
-        .groupBy("doc_id", "dl", "term")
-        .agg(F.count("*").alias("tf"))
-        .withColumn(TERM_PART, term_part(F.col("term"), term_parts))
-    )
+def postings(counted: DataFrame, term_parts: int) -> DataFrame:
+    """(doc_id, term, tf, dl) from the counted-token table, without a shuffle."""
+    return counted_tokens.postings(counted).withColumn(TERM_PART, term_part(F.col("term"), term_parts))
 
 
 def term_stats(posting_rows: DataFrame, n_docs: int, term_parts: int) -> DataFrame:

@@ -10,51 +10,30 @@ from ..functions import text as tx
 from ..functions.scores import best, by_score
 from ..sources.index_store import TERM_PART, Index, term_part
 from ..sources.workspace import materialise
+from . import counted as counts
 from .ranking import padded
 from .term_blocks import BLOCK_TERMS, blocks_topk, valid_queries
+from .top_counts import count_floor, top_by_count
 
-# Above this many frequent words the pair filter would not pay for its broadcast.
-FREQUENT_WORDS = 1_000_000
 
-
-def _counts(occurrences: DataFrame) -> DataFrame:
-    """(term, df, cf) from (doc_id, term) occurrences; per document first, inside its bucket."""
-    return (
-        occurrences.groupBy("doc_id", "term")
-        .agg(F.count("*").alias("tf"))
-        .groupBy("term")
-        .agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
-    )
-
-
-def vocabulary(tokens: DataFrame, n_docs: int, size: int) -> DataFrame:
+def vocabulary(counted: DataFrame, n_docs: int, size: int) -> DataFrame:
     """The ``size`` most frequent terms by corpus count (ties by term) with their smooth idf.
 
     A pair is never more frequent than either of its words. So once the words alone fill the
     vocabulary, pairs holding a word below the last kept count cannot enter it, and are not counted.
     """
-    words = materialise(_counts(tokens.select("doc_id", F.explode("words").alias("term"))), "words")
-    top = words.orderBy(F.desc("cf")).limit(size)
-    filled = top.agg(F.count("*").alias("n"), F.min("cf").alias("floor")).first()
-    pairs = tokens.select("doc_id", F.explode(tx.neighbours(F.col("words"), join=False)).alias("pair")).select(
-        "doc_id", "pair.a", "pair.b"
-    )
-    floor = filled["floor"] if filled["n"] == size else 0
+    words = materialise(counts.word_counts(counted), "words")
+    floor, _ = count_floor(words, "cf", size)
+    pairs = counts.pair_rows(counted)
     if floor > 1:
-        frequent = words.filter(F.col("cf") >= floor).select("term")
-        if frequent.count() <= FREQUENT_WORDS:
-            for side in ("a", "b"):
-                known = F.broadcast(frequent.withColumnRenamed("term", side))
-                pairs = pairs.join(known, side, "left_semi")
-    pair_counts = _counts(pairs.select("doc_id", F.concat_ws(" ", "a", "b").alias("term")))
+        frequent = materialise(words.filter(F.col("cf") >= floor).select("term"), "frequent-words")
+        for side in ("a", "b"):
+            pairs = pairs.join(frequent.withColumnRenamed("term", side), side, "left_semi")
+    pair_counts = pairs.groupBy("a", "b").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
+    terms = words.unionByName(pair_counts.select(F.concat_ws(" ", "a", "b").alias("term"), "df", "cf"))
+    kept = top_by_count(materialise(terms.filter(F.col("cf") >= floor), "term-counts"), "cf", "term", size)
     idf = F.ln((1.0 + F.lit(n_docs)) / (1.0 + F.col("df"))) + 1.0
-    return (
-        words.unionByName(pair_counts)
-        .filter(F.col("cf") >= floor)
-        .orderBy(F.desc("cf"), F.asc("term"))
-        .limit(size)
-        .select("term", "df", "cf", idf.alias("idf"))
-    )
+    return kept.select("term", "df", "cf", idf.alias("idf"))
 
 
 def _unit_rows(counted: DataFrame, key: str) -> DataFrame:
@@ -70,11 +49,9 @@ def _in_vocabulary(grams: DataFrame, vocab: DataFrame, key: str) -> DataFrame:
     return grams.join(terms, "term").groupBy(key, "term", "idf").agg(F.count("*").alias("tf"))
 
 
-def weights(tokens: DataFrame, vocab: DataFrame, term_parts: int) -> DataFrame:
-    """(doc_id, term, w): unit-length rows, computed inside each document's bucket."""
-    grams = tokens.select("doc_id", F.explode(tx.ngrams(F.col("words"))).alias("term"))
-    rows = _unit_rows(_in_vocabulary(grams, vocab, "doc_id"), "doc_id")
-    return rows.withColumn(TERM_PART, term_part(F.col("term"), term_parts))
+def weights(counted: DataFrame, vocab: DataFrame, term_parts: int) -> DataFrame:
+    """(doc_id, term, w): unit-length rows, made document by document from the counted-token table."""
+    return counts.unit_rows(counted, vocab).withColumn(TERM_PART, term_part(F.col("term"), term_parts))
 
 
 def query_weights(index: Index, queries: DataFrame) -> DataFrame:

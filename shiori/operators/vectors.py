@@ -51,6 +51,19 @@ def first_available(providers: Sequence[tuple[str, Callable[[], bool], Embedder]
     return next((name, embedder) for name, _, embedder in providers if name == default)
 
 
+def embedded(texts: list[str], embedder: Embedder, batch_size: int = BATCH) -> pa.ListArray:
+    """The vectors of ``texts``, asked for in batches; one that gives another shape fails."""
+    parts = []
+    for start in range(0, len(texts), batch_size):
+        chosen = texts[start : start + batch_size]
+        vectors = np.asarray(embedder(chosen), dtype=np.float32)
+        if vectors.ndim != 2 or vectors.shape[0] != len(chosen) or vectors.shape[1] == 0:
+            raise ValueError(f"embedder gave shape {vectors.shape} for {len(chosen)} texts")
+        offsets = np.arange(len(chosen) + 1, dtype=np.int32) * vectors.shape[1]
+        parts.append(pa.ListArray.from_arrays(pa.array(offsets), pa.array(vectors.ravel())))
+    return pa.concat_arrays(parts) if parts else pa.array([], pa.list_(pa.float32()))
+
+
 def embed(df: DataFrame, key: str, text: str, embedder: Embedder, batch_size: int = BATCH) -> DataFrame:
     """(key, embedding): ``embedder`` over batches of texts. A batch that fails fails the job."""
     key_type = df.schema[key].dataType
@@ -59,11 +72,7 @@ def embed(df: DataFrame, key: str, text: str, embedder: Embedder, batch_size: in
         for batch in batches:
             for start in range(0, batch.num_rows, batch_size):
                 part = batch.slice(start, batch_size)
-                vectors = np.asarray(embedder(part.column(1).to_pylist()), dtype=np.float32)
-                if vectors.ndim != 2 or vectors.shape[0] != part.num_rows or vectors.shape[1] == 0:
-                    raise ValueError(f"embedder gave shape {vectors.shape} for {part.num_rows} texts")
-                offsets = np.arange(part.num_rows + 1, dtype=np.int32) * vectors.shape[1]
-                lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(vectors.ravel()))
+                lists = embedded(part.column(1).to_pylist(), embedder, batch_size)
                 yield pa.RecordBatch.from_arrays([part.column(0), lists], names=[key, "embedding"])
 
     schema = T.StructType(

@@ -8,9 +8,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
-from ..functions import text as tx
-from ..operators import bm25, tfidf
-from ..operators.vectors import Embedder, embed, hashing_embedder, unit_vectors
+from ..operators import bm25, counted, tfidf
+from ..operators.vectors import Embedder, hashing_embedder, unit_vectors
 from ..sources import index_store as store
 from ..sources.catalogue import search_text
 from ..sources.workspace import together
@@ -32,10 +31,9 @@ def _layout(n_docs: int, cores: int) -> tuple[int, int]:
     return buckets, max(1, min(32, n_docs // buckets // DOCS_PER_TERM_PART))
 
 
-def document_tokens(corpus: DataFrame, stop_words: Sequence[str] = ()) -> DataFrame:
-    """(doc_id, spaced, words). Worked out where used: that takes less time than reading stored tokens back."""
-    text = F.col("search_text")
-    return corpus.select("doc_id", tx.space_tokens(text).alias("spaced"), tx.word_tokens(text, stop_words).alias("words"))
+def document_tokens(corpus: DataFrame, stop_words: Sequence[str] = (), embedder: Embedder | None = None) -> DataFrame:
+    """The counted-token table of a corpus with its search text."""
+    return counted.counted_tokens(corpus, stop_words, embedder)
 
 
 def build_index(
@@ -49,14 +47,18 @@ def build_index(
     stop_words: Sequence[str] = (),
     buckets: int | None = None,
     term_parts: int | None = None,
+    keyword_only: bool = False,
 ) -> store.Index:
-    """Save corpus, BM25, TF-IDF and vector tables under ``path`` and open them.
+    """Save corpus, BM25, TF-IDF and vector tables as a new version under ``path``, publish it and open it.
 
     ``corpus`` has a unique ``doc_id`` and the catalogue columns. ``vectors`` (doc_id, embedding) takes
-    the place of running ``embedder`` over the search texts.
+    the place of running ``embedder`` over the search texts. The texts are read once: everything else is made from the
+    counted-token table. ``keyword_only`` leaves out TF-IDF and vectors.
     """
     spark = corpus.sparkSession
     path = path.rstrip("/")
+    number, version = store.new_version(spark, path)
+    folder = f"{path}/{version}"
 
     if buckets is None or term_parts is None:
         computed = _layout(corpus.count(), spark.sparkContext.defaultParallelism)
@@ -65,34 +67,38 @@ def build_index(
     # The one shuffle of the texts. The ids are fixed from here on: everything below reads the saved
     # corpus. The search text repeats its fields, so it is put together when needed and not stored.
     placed = corpus.withColumn(store.DOC_PART, store.doc_part(F.col("doc_id"), buckets))
-    store.save_table(placed.hint("rebalance", store.DOC_PART), path, "corpus", buckets)
-    saved = spark.table(store.table_name(path, "corpus")).withColumn("search_text", search_text())
+    store.save_table(placed.hint("rebalance", store.DOC_PART), folder, "corpus", buckets)
+    saved = spark.table(store.table_name(folder, "corpus")).withColumn("search_text", search_text())
 
-    tokens = document_tokens(saved, stop_words)
-    n_docs = saved.count()
-    head = [r[0] for r in saved.select("doc_id").orderBy("doc_id").limit(store.HEAD_ROWS).collect()]
+    embedding = vectors is None and not keyword_only
+    tokens = document_tokens(saved, stop_words, embedder if embedding else None)
+    if not embedding:
+        tokens = tokens.withColumn("embedding", F.lit(None).cast("array<float>"))
+    store.save_table(tokens, folder, "counted", buckets)
+    tokens = spark.table(store.table_name(folder, "counted"))
+    n_docs = tokens.count()
+    head = [r[0] for r in tokens.select("doc_id").orderBy("doc_id").limit(store.HEAD_ROWS).collect()]
+
+    def stored(name: str) -> DataFrame:
+        return spark.read.schema(store.LAYOUT[name][0]).parquet(f"{folder}/{name}")
 
     def keyword_tables() -> Row:
-        store.save_table(bm25.postings(tokens, term_parts), path, "postings", buckets)
-        postings = spark.table(store.table_name(path, "postings"))
-        store.save_table(bm25.term_stats(postings, n_docs, term_parts), path, "terms")
-        terms = spark.read.schema(store.LAYOUT["terms"][0]).parquet(f"{path}/terms")
-        return terms.agg(
+        store.save_table(bm25.postings(tokens, term_parts), folder, "postings", buckets)
+        postings = spark.table(store.table_name(folder, "postings"))
+        store.save_table(bm25.term_stats(postings, n_docs, term_parts), folder, "terms")
+        return stored("terms").agg(
             F.avg("raw").alias("avg_raw"), F.count("*").alias("n_terms"), F.sum("cf").alias("n_tokens")
         ).first()
 
     def tfidf_tables() -> None:
-        store.save_table(tfidf.vocabulary(tokens, n_docs, vocabulary), path, "vocab")
-        vocab = spark.read.schema(store.LAYOUT["vocab"][0]).parquet(f"{path}/vocab")
-        store.save_table(tfidf.weights(tokens, vocab, term_parts), path, "weights", buckets)
+        kept = tokens.limit(0) if keyword_only else tokens
+        store.save_table(tfidf.vocabulary(kept, n_docs, vocabulary), folder, "vocab")
+        store.save_table(tfidf.weights(kept, stored("vocab"), term_parts), folder, "weights", buckets)
 
     def vector_table() -> Row:
-        texts = saved.select("doc_id", tx.clean(F.col("search_text")).alias("text"))
-        given = vectors if vectors is not None else embed(texts, "doc_id", "text", embedder)
-        store.save_table(unit_vectors(given), path, "vectors")
-        stored = spark.read.schema(store.LAYOUT["vectors"][0]).parquet(f"{path}/vectors")
+        store.save_table(unit_vectors(vectors if vectors is not None else tokens.select("doc_id", "embedding")).filter("embedding is not null"), folder, "vectors")
         size = F.size("embedding")
-        return stored.agg(F.count("*").alias("n"), F.min(size).alias("low"), F.max(size).alias("high")).first()
+        return stored("vectors").agg(F.count("*").alias("n"), F.min(size).alias("low"), F.max(size).alias("high")).first()
 
     term_facts, _, vector_facts = together(keyword_tables, tfidf_tables, vector_table)
     if vector_facts["low"] != vector_facts["high"]:
@@ -113,5 +119,6 @@ def build_index(
         F.array(*[F.lit(i) for i in head]).alias("head"),
         F.array(*[F.lit(w) for w in stop_words]).cast("array<string>").alias("stop_words"),
     )
-    store.save_table(meta.coalesce(1), path, "meta")
-    return store.open_index(spark, path)
+    store.save_table(meta.coalesce(1), folder, "meta")
+    store.publish(spark, path, number, version)
+    return store.open_index(spark, path, version)

@@ -6,7 +6,7 @@ Scores are rounded to six places before ranking, as in the engine.
 
 from __future__ import annotations
 
-from stand_ins import REPORT, REPORT_COLUMN
+from stand_ins import REPORT, REPORT_COLUMN, STOP_WORDS
 
 # White space as Python's str.split() sees it.
 WS = (
@@ -105,11 +105,15 @@ def matched(scores: str, name: str, depth: int) -> str:
   WHERE rk <= {depth})"""
 
 
-def grams(table: str, key: str, text: str, name: str) -> str:
+def grams(table: str, key: str, text: str, name: str, stop_words: tuple[str, ...] = ()) -> str:
+    words = f"regexp_extract_all(lower({text}), '{WORD}')"
+    if stop_words:
+        listed = ", ".join(f"'{w}'" for w in stop_words)
+        words = f"list_filter({words}, lambda w: w NOT IN ({listed}))"
     return f"""
 {name}_words AS MATERIALIZED (
   SELECT {key}, unnest(l) AS term, generate_subscripts(l, 1) AS pos
-  FROM (SELECT {key}, regexp_extract_all(lower({text}), '{WORD}') AS l FROM {table})),
+  FROM (SELECT {key}, {words} AS l FROM {table})),
 {name} AS MATERIALIZED (
   SELECT {key}, term, count(*) AS tf FROM (
     SELECT {key}, term FROM {name}_words
@@ -127,24 +131,31 @@ def unit_rows(counted: str, key: str, name: str) -> str:
   FROM (SELECT {key}, term, tf * idf AS raw FROM {counted} JOIN vocab USING (term)))"""
 
 
-TFIDF_INDEX = (
-    grams("docs", "doc_id", "search_text", "gram")
-    + """,
+def tfidf_index(stop_words: tuple[str, ...] = ()) -> str:
+    return (
+        grams("docs", "doc_id", "search_text", "gram", stop_words)
+        + """,
 vocab AS MATERIALIZED (
   SELECT term, df, cf, ln((1 + (SELECT count(*) FROM docs)) / (1 + df)::DOUBLE) + 1 AS idf
   FROM (SELECT term, count(*) AS df, CAST(sum(tf) AS BIGINT) AS cf FROM gram GROUP BY term)
   ORDER BY cf DESC, term LIMIT 10000),"""
-    + unit_rows("gram", "doc_id", "weight")
-)
-TFIDF = (
-    grams("queries", "query_id", "query", "q_gram")
-    + ","
-    + unit_rows("q_gram", "query_id", "q_weight")
-    + """,
+        + unit_rows("gram", "doc_id", "weight")
+    )
+
+
+def tfidf_scores(stop_words: tuple[str, ...] = ()) -> str:
+    return (
+        grams("queries", "query_id", "query", "q_gram", stop_words)
+        + ","
+        + unit_rows("q_gram", "query_id", "q_weight")
+        + """,
 tf_score AS MATERIALIZED (
   SELECT query_id, doc_id, round(sum(a.w * b.w), 6) AS score
   FROM q_weight a JOIN weight b USING (term) GROUP BY query_id, doc_id)"""
-)
+    )
+
+
+TFIDF_INDEX, TFIDF = tfidf_index(), tfidf_scores()
 
 
 def hashed(table: str, key: str, text: str, name: str) -> str:
@@ -356,10 +367,14 @@ def all_checks() -> dict[str, str]:
         "bm25_topk_padded": statement([PARTS, SUPPLIERS, *bm, ranked("bm_score", "l", 80)], "SELECT * FROM l"),
         "bm25_conversations": statement([DOCUMENTS, CONVERSATIONS, *bm, matched("bm_score", "l", 10)], "SELECT * FROM l"),
         "bm25_term_stats": statement(
-            [DOCUMENTS, BM25_INDEX], "SELECT term, df, CAST(cf AS BIGINT) AS cf, round(idf, 6) AS idf FROM term_idf"
+            [DOCUMENTS.replace(" MATERIALIZED", ""), BM25_INDEX.replace(" MATERIALIZED", "")], "SELECT term, df, CAST(cf AS BIGINT) AS cf, round(idf, 6) AS idf FROM term_idf"
         ),
         "tfidf_topk": statement([DOCUMENTS, PASSAGES, *tf, matched("tf_score", "l", 10)], "SELECT * FROM l"),
         "tfidf_topk_padded": statement([PARTS, SUPPLIERS, *tf, ranked("tf_score", "l", 80)], "SELECT * FROM l"),
+        "tfidf_stop_words": statement(
+            [PARTS, PART_NAMES, tfidf_index(tuple(STOP_WORDS)), tfidf_scores(tuple(STOP_WORDS)), ranked("tf_score", "l", 40)],
+            "SELECT * FROM l",
+        ),
         "tfidf_vocabulary": statement(
             [DOCUMENTS, TFIDF_INDEX], "SELECT term, df, cf, round(idf, 6) AS idf FROM vocab"
         ),
@@ -476,6 +491,16 @@ FROM (SELECT text FROM documents UNION ALL SELECT text FROM conversations UNION
        (SELECT CAST(sum(dl) AS BIGINT) FROM dl) AS n_tokens, round(avgdl, 6) AS avg_length,
        (SELECT round(avg(raw), 6) FROM term_raw) AS avg_raw, (SELECT count(*) FROM term_raw) AS n_terms FROM size""",
         ),
+        "index_rebuild": " UNION ALL ".join(
+            "SELECT * FROM ("
+            + statement(
+                [PARTS.replace("coalesce(s_name, '')", definition), BM25_INDEX],
+                f"SELECT '{reader}' AS reader, (SELECT count(*) FROM docs) AS n_docs, count(*) AS n_postings,"
+                " CAST(sum(tf) AS BIGINT) AS n_tokens FROM post",
+            )
+            + ")"
+            for reader, definition in (("old", "''"), ("new", "coalesce(s_name, '')"), ("opened", "coalesce(s_name, '')"))
+        ),
         "json_block": f"""
 SELECT source, id, {JSON_BLOCK} AS block
 FROM (SELECT 'pages' AS source, page_id AS id, html AS text FROM pages

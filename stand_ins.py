@@ -20,6 +20,8 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 REPORT = "https://reports.example/open?mode=view"
 REPORT_COLUMN = "catalogue/code"
 
+STOP_WORDS = ["brand", "steel", "copper", "small"]
+
 _indexes: dict[tuple[str, str, str], Index] = {}
 
 
@@ -70,6 +72,11 @@ def document_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     return build_corpus(document_catalogue(spark, sf_dir), label_definitions(spark, sf_dir), "doc_id")
 
 
+def bare_part_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The parts before anyone has described them."""
+    return build_corpus(part_catalogue(spark, sf_dir), part_definitions(spark, sf_dir).limit(0), "p_partkey")
+
+
 def part_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     return build_corpus(part_catalogue(spark, sf_dir), part_definitions(spark, sf_dir), "p_partkey")
 
@@ -78,8 +85,9 @@ def index(spark: SparkSession, sf_dir: str, kind: str) -> Index:
     """The saved index of a corpus: built at first use, then read by every query of the session."""
     key = (spark.sparkContext.applicationId, sf_dir, kind)
     if key not in _indexes:
-        corpus = {"documents": document_corpus, "parts": part_corpus}[kind](spark, sf_dir)
-        _indexes[key] = build_index(corpus, fresh_path(spark, f"index-{kind}"))
+        corpus = {"documents": document_corpus, "parts": part_corpus, "parts-stops": part_corpus}[kind](spark, sf_dir)
+        stop_words = STOP_WORDS if kind == "parts-stops" else ()
+        _indexes[key] = build_index(corpus, fresh_path(spark, f"index-{kind}"), stop_words=stop_words)
     return _indexes[key]
 
 
