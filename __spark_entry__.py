@@ -19,7 +19,7 @@ from shiori.functions.scores import rounded  # noqa: E402
 from shiori.operators import answers, facets, lookup, trials  # noqa: E402
 from shiori.operators.bm25 import EPSILON, bm25_topk  # noqa: E402
 from shiori.operators.term_blocks import valid_queries  # noqa: E402
-from shiori.operators.rerank import prepared, rerank, with_documents  # noqa: E402
+from shiori.operators.rerank import reranked  # noqa: E402
 from shiori.operators.tfidf import tfidf_topk  # noqa: E402
 from shiori.operators.vectors import dimension_check, embed, hashing_embedder, unit_vectors, vector_topk  # noqa: E402
 from shiori.plans.hybrid import candidates, hybrid_search  # noqa: E402
@@ -158,15 +158,14 @@ def rerank_only(spark: SparkSession, sf_dir: str) -> DataFrame:
     index = given.index(spark, sf_dir, "documents")
     queries = materialise(valid_queries(given.passage_queries(spark, sf_dir)), "queries")
     listed = materialise(bm25_topk(index, queries, 80, pad=False), "bm25-list")
-    documents = with_documents(index, listed, 80, catalogue.SEARCH_FIELDS).join(prepared(queries), "query_id")
-    return rerank(documents, 40).select("query_id", "rank", "doc_id", "score", "rerank_score")
+    return reranked(index, listed, queries, 80, 40).select("query_id", "rank", "doc_id", "score", "rerank_score")
 
 
-def hybrid(top_k: int, weight: float = 0.6, reranked: bool = True) -> Query:
+def hybrid(top_k: int, weight: float = 0.6, by_words: bool = True) -> Query:
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
         index = given.index(spark, sf_dir, "documents")
-        results = hybrid_search(index, given.passage_queries(spark, sf_dir), top_k, weight, reranked=reranked)
-        return results if reranked else results.drop("rerank_score")
+        results = hybrid_search(index, given.passage_queries(spark, sf_dir), top_k, weight, reranked=by_words)
+        return results if by_words else results.drop("rerank_score")
 
     return query
 
@@ -238,7 +237,8 @@ def lookup_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def lookup_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lookup.find_names(given.passage_names(spark, sf_dir), given.index(spark, sf_dir, "documents").corpus)
+    index = given.index(spark, sf_dir, "documents")
+    return lookup.find_names(given.passage_names(spark, sf_dir), index.corpus, buckets=index.meta["buckets"])
 
 
 def lookup_fallback_regex(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -363,7 +363,7 @@ def search_queries() -> dict[str, Query]:
         "hybrid_search": hybrid(40),
         "hybrid_search_keywords": hybrid(50, 0.0),
         "hybrid_search_vectors": hybrid(50, 1.0),
-        "hybrid_search_fused_order": hybrid(20, reranked=False),
+        "hybrid_search_fused_order": hybrid(20, by_words=False),
         "hybrid_search_parts": hybrid_parts,
         "facet_distribution": facet_distribution,
         "facet_expand": items,

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -16,6 +20,9 @@ ADDED_NAMES = 10
 SUMMARY_NAMES = 15
 DETAIL_NAMES = 12
 
+# Names of all fields that a task holds at once.
+HELD_NAMES = 1_000_000
+
 
 def distribution(results: DataFrame) -> DataFrame:
     """How many results of each query fall into each field."""
@@ -30,6 +37,34 @@ def _grouped_hits(results: DataFrame) -> DataFrame:
     return first.withColumn("facet_pos", number).drop("first_rank")
 
 
+def first_names(rows: DataFrame, n: int) -> DataFrame:
+    """(facet, name, doc_id): per task the first ``n`` distinct names of each field, with the first row of each.
+
+    The first ``n`` names of all rows are among these: where a name's first row lies, fewer than ``n`` names come before it.
+    """
+
+    def cut(table: pa.Table) -> pa.Table:
+        table = table.group_by(["facet", "name"], use_threads=False).aggregate([("doc_id", "min")]).rename_columns(["facet", "name", "doc_id"])
+        field = table.column("facet").combine_chunks().dictionary_encode().indices.to_numpy()
+        order = np.lexsort((table.column("doc_id").to_numpy(), field))
+        place = np.arange(len(order)) - np.searchsorted(field[order], field[order], side="left")
+        return table.take(pa.array(order[place < n]))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: pa.Table | None = None
+        for batch in batches:
+            new = pa.Table.from_batches([batch])
+            held = cut(new if held is None else pa.concat_tables([held, new.cast(held.schema)]))
+            if held.num_rows > HELD_NAMES:
+                # So many fields that they do not fit: what is known so far goes on as it is.
+                yield from held.to_batches()
+                held = None
+        if held is not None:
+            yield from held.to_batches()
+
+    return rows.select("facet", "name", F.col("doc_id").cast("bigint").alias("doc_id")).mapInArrow(run, "facet string, name string, doc_id bigint")
+
+
 def facet_heads(corpus: DataFrame, facets: DataFrame, hit_names: int, added: int = ADDED_NAMES) -> DataFrame:
     """(facet, name, doc_id): the only catalogue rows that can widen a group, a bounded number per field.
 
@@ -39,7 +74,7 @@ def facet_heads(corpus: DataFrame, facets: DataFrame, hit_names: int, added: int
     """
     rows = corpus.select(F.col(FACET).alias("facet"), F.col(NAME).alias("name"), "doc_id")
     rows = rows.filter(F.col("name").isNotNull()).join(facets, "facet", "left_semi")
-    firsts = rows.groupBy("facet", "name").agg(F.min("doc_id").alias("doc_id"))
+    firsts = first_names(rows, hit_names + added).groupBy("facet", "name").agg(F.min("doc_id").alias("doc_id"))
     names = best(firsts, hit_names + added, ["facet"], [F.asc("doc_id")]).select("facet", "name")
     names = materialise(names, "facet-names")
     kept = rows.join(names, ["facet", "name"], "left_semi")

@@ -60,6 +60,48 @@ def with_documents(
     return index.corpus.select("doc_id", *columns).join(kept.hint("shuffle_hash"), "doc_id")
 
 
+def _word_ids(text: Column) -> Column:
+    """64-bit ids of the distinct words of a text."""
+    return F.array_distinct(F.transform(tx.space_tokens(text), lambda w: F.xxhash64(w)))
+
+
+def scored(
+    index: Index, candidates: DataFrame, queries: DataFrame, depth: int, fields: Sequence[str] = SEARCH_FIELDS, broadcast_rows: int = BROADCAST_CANDIDATES
+) -> DataFrame:
+    """(query_id, doc_id, score, rk, rerank_score) of the candidates (query_id, doc_id, score, rk), no text among them.
+
+    Each document that is a candidate at all is lowered and cut into word ids once per field, beside its bucket, however many
+    queries ask for it; ids of query words are intersected with them there. What is ranked afterwards are numbers.
+    """
+    lowered = queries.select("query_id", F.lower("query").alias("asked"))
+    asked = lowered.withColumn("asked_ids", _word_ids(F.col("asked")))
+    kept = candidates.filter(F.col("rk") <= depth).select("query_id", "doc_id", "score", "rk")
+    rows = kept.count()
+    few = rows <= broadcast_rows
+    kept = kept.join(asked, "query_id")
+    numbered = list(enumerate(fields))
+    texts = [F.lower(f).alias(f"_text{k}") for k, f in numbered]
+    corpus = index.corpus
+    if few:
+        wanted = candidates.filter(F.col("rk") <= depth).select("doc_id").distinct()
+        wanted = wanted.withColumn(DOC_PART, doc_part(F.col("doc_id"), index.meta["buckets"]))
+        corpus = corpus.join(F.broadcast(wanted), ["doc_id", DOC_PART], "left_semi")
+    documents = corpus.select("doc_id", *texts)
+    documents = documents.select("*", *[_word_ids(F.col(f"_text{k}")).alias(f"_ids{k}") for k, _ in numbered])
+    both = documents.join(F.broadcast(kept) if few else kept.hint("shuffle_hash"), "doc_id")
+    total = F.lit(0)
+    for k, _ in numbered:
+        text = F.col(f"_text{k}")
+        whole = F.when(F.contains(text, F.col("asked")), WHOLE_QUERY).otherwise(0)
+        total = total + F.when(text.isNull(), 0).otherwise(whole + F.size(F.array_intersect(F.col("asked_ids"), F.col(f"_ids{k}"))))
+    return both.select("query_id", "doc_id", "score", "rk", total.alias("rerank_score"))
+
+
+def reranked(index: Index, candidates: DataFrame, queries: DataFrame, depth: int, k: int, fields: Sequence[str] = SEARCH_FIELDS) -> DataFrame:
+    """(query_id, rank, doc_id, score, rk, rerank_score): the ``k`` best of ``depth`` candidates, without texts."""
+    return best(scored(index, candidates, queries, depth, fields), k, ["query_id"], [F.desc("rerank_score"), F.asc("rk")], rank="rank")
+
+
 def rerank(candidates: DataFrame, k: int, fields: Sequence[str] = SEARCH_FIELDS) -> DataFrame:
     """Candidates (query_id, asked, asked_words, doc_id, rk, fields) by lexical score, then as they were."""
     marked = candidates.withColumn("rerank_score", lexical_score([F.col(f) for f in fields]))

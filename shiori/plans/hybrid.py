@@ -10,10 +10,10 @@ from ..functions import text as tx
 from ..operators.bm25 import bm25_topk
 from ..operators.fusion import fuse
 from ..operators.term_blocks import valid_queries
-from ..operators.rerank import MAX_RESULTS, prepared, rerank, with_documents
+from ..operators.rerank import MAX_RESULTS, with_documents
+from ..operators.rerank import reranked as rerank_lists
 from ..operators.tfidf import tfidf_topk
-from ..operators.vectors import Embedder, embed, hashing_embedder, query_units, vector_topk
-from ..sources.catalogue import SEARCH_FIELDS
+from ..operators.vectors import Embedder, dimension_check, embed, hashing_embedder, query_units, vector_topk
 from ..sources.index_store import Index
 from ..sources.workspace import materialise, together
 
@@ -26,11 +26,26 @@ def query_vectors(queries: DataFrame, embedder: Embedder) -> DataFrame:
     return embed(cleaned, "query_id", "text", embedder)
 
 
-def dimension_agrees(index: Index, embedder: Embedder) -> None:
-    """Fails before any job if the embedder's vectors cannot be held against those of the index."""
-    stored, given = index.meta["vector_dimension"], np.asarray(embedder(["a"])).shape[-1]
+def vectors_agree(index: Index, embedder: Embedder, vectors: DataFrame | None = None, model: str | None = None) -> None:
+    """Fails before any search if query vectors cannot be held against those of the index.
+
+    The dimension is that of ``vectors`` (query_id, embedding) if given, else of what ``embedder`` makes. ``model`` names
+    the model that the query vectors come from.
+    """
+    stored, name = index.meta["vector_dimension"], index.meta["embedding_model"]
+    if model is not None and model != name:
+        raise ValueError(f"query vectors of {model}; the index was made with {name}")
+    if vectors is None:
+        given = np.asarray(embedder(["a"])).shape[-1]
+    else:
+        facts = dimension_check(vectors).first()
+        if not facts["n_vectors"]:
+            return
+        if not facts["uniform"]:
+            raise ValueError("query vectors of different dimensions")
+        given = facts["dimension"]
     if stored and stored != given:
-        raise ValueError(f"the embedder gives {given} dimensions; the index of {index.meta['embedding_model']} has {stored}")
+        raise ValueError(f"query vectors of {given} dimensions; the index of {name} has {stored}")
 
 
 def candidates(
@@ -65,21 +80,21 @@ def hybrid_search(
     embedder: Embedder = hashing_embedder(64),
     reranked: bool = True,
     max_results: int = MAX_RESULTS,
+    model: str | None = None,
 ) -> DataFrame:
     """(query_id, rank, doc_id, five text columns, score, rerank_score) for every query at once.
 
     ``score`` is the fused score. ``reranked=False`` keeps the fused order. Either way a list has at most ``max_results``
-    rows.
+    rows. With ``model``, the model of the query vectors must be the one that the index was made with.
     """
-    if vectors is None:
-        dimension_agrees(index, embedder)
+    vectors_agree(index, embedder, vectors, model)
     length = min(top_k, max_results)
     queries = materialise(valid_queries(queries), "queries")
     fused = materialise(candidates(index, queries, top_k, vector_weight, vectors, embedder), "candidates")
     if reranked:
-        columns = list(dict.fromkeys([*SEARCH_FIELDS, *RESULT_COLUMNS]))
-        documents = with_documents(index, fused, 2 * top_k, columns).join(prepared(queries), "query_id")
-        results = rerank(documents, length)
+        # Texts are read beside their buckets to be scored, and again for the rows that stay.
+        kept = materialise(rerank_lists(index, fused, queries, 2 * top_k, length), "reranked")
+        results = with_documents(index, kept.drop("rk").withColumn("rk", F.col("rank")), length, RESULT_COLUMNS)
     else:
         results = with_documents(index, fused, length, RESULT_COLUMNS).withColumn("rank", F.col("rk"))
         results = results.withColumn("rerank_score", F.lit(None).cast("int"))
