@@ -82,6 +82,17 @@ def bm25_term_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return index.table("terms").select("term", "df", "cf", rounded(idf).alias("idf"))
 
 
+def bm25_term_spectrum(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many terms share each pair of frequencies and its idf."""
+    terms = bm25_term_stats(spark, sf_dir)
+    return terms.groupBy("df", "cf", "idf").agg(
+        F.count("*").alias("n_terms"),
+        F.min("term").alias("first_term"),
+        F.max("term").alias("last_term"),
+        F.sum(F.length("term")).alias("n_chars"),
+    )
+
+
 def tfidf(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tfidf_topk(given.index(spark, sf_dir, "documents"), given.passage_queries(spark, sf_dir), 10, pad=False)
 
@@ -268,6 +279,20 @@ def corpus_from_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
     return catalogue.save_corpus(corpus, f"{path}/corpus").drop("doc_id")
 
 
+def corpus_csv_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of a corpus read from many CSV files, some codes of which are defined twice: by file, then place in the file."""
+    path = fresh_path(spark, "csv-files")
+    parts, suppliers = given.part_catalogue(spark, sf_dir), given.part_definitions(spark, sf_dir)
+    again = suppliers.select("koumoku_code", F.concat(F.lit("again "), "definition").alias("definition"))
+    parts.repartitionByRange(7, "p_partkey").sortWithinPartitions("p_partkey").write.option("header", True).csv(f"{path}/catalogue")
+    for number, definitions in enumerate((suppliers, again)):
+        ordered = definitions.coalesce(1).sortWithinPartitions("koumoku_code")
+        ordered.write.option("header", True).csv(f"{path}/definitions/{number}")
+    rows = catalogue.read_numbered_csv(spark, f"{path}/catalogue", catalogue.CATALOGUE_COLUMNS, multi_line=False)
+    definitions = catalogue.read_numbered_csv(spark, f"{path}/definitions/*", catalogue.DEFINITION_COLUMNS, multi_line=False)
+    return catalogue.build_corpus(rows, definitions).select("doc_id", "koumoku_code", "definition")
+
+
 def clean_text_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     texts = given.table(spark, sf_dir, "documents").select("text")
     for name, column in (("conversations", "text"), ("pages", "html")):
@@ -348,6 +373,7 @@ def search_queries() -> dict[str, Query]:
         "bm25_topk_padded": bm25_padded,
         "bm25_conversations": bm25_conversations,
         "bm25_term_stats": bm25_term_stats,
+        "bm25_term_spectrum": bm25_term_spectrum,
         "tfidf_topk": tfidf,
         "tfidf_topk_padded": tfidf_padded,
         "tfidf_stop_words": tfidf_stop_words,
@@ -382,6 +408,7 @@ def search_queries() -> dict[str, Query]:
         "catalogue_labels": catalogue_labels,
         "corpus_build": given.document_corpus,
         "corpus_from_csv": corpus_from_csv,
+        "corpus_csv_numbers": corpus_csv_numbers,
         "clean_text_stats": clean_text_stats,
         "row_counts": row_counts,
         "index_stats": index_stats,

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
+from .workspace import materialise
 
 # Column names of the data model and the field order of the search text.
 CATALOGUE_COLUMNS = [
@@ -31,6 +32,12 @@ SEARCH_FIELDS = [
 FACET = "bunya_name"
 NAME = "koumoku_name_full"
 
+# Columns that say where a record stands: its number, and while that is worked out its file, split and place in the task.
+ROW_NUMBER = "row_number"
+FILE, BLOCK, SEQUENCE = "_file", "_file_block", "_sequence"
+# Rows that are numbered together where codes are defined more than once.
+NUMBERED_ROWS = 100_000
+
 
 def read_csv(
     spark: SparkSession,
@@ -40,13 +47,37 @@ def read_csv(
     null_values: Sequence[str] = (),
     multi_line: bool = True,
     optional: Sequence[str] = (),
+    places: bool = False,
 ) -> DataFrame:
     """CSV with a header, as strings, cut to ``columns``; fails on a missing one unless it is optional.
 
     ``multi_line`` reads quoted line breaks and makes each file one task. Turn it off for big files whose records have none.
     """
     raw = spark.read.options(header=True, quote='"', escape='"', multiLine=multi_line).csv(path)
-    return take_columns(raw, columns, null_values=null_values, optional=optional)
+    if not places:
+        return take_columns(raw, columns, null_values=null_values, optional=optional)
+    place = [F.col("_metadata.file_path").alias(FILE), F.col("_metadata.file_block_start").alias(BLOCK)]
+    known = [c for c in columns if c in raw.columns]
+    return take_columns(raw.select(*known, *place), [*columns, FILE], null_values=null_values, optional=optional, kept=[BLOCK])
+
+
+def read_numbered_csv(spark: SparkSession, path: str, columns: Sequence[str], **options) -> DataFrame:
+    """``read_csv`` with ``row_number``: the place of each record, counted from 0, by file name and place in the file.
+
+    The number depends on the files alone: not on how Spark cuts them into splits, nor on how it packs splits into tasks.
+    The rows are stored once with the split they came from. Records of a split lie one behind another, so a record's
+    place is that of its split, a prefix sum over all splits, and its distance from the first record of the split.
+    """
+    rows = read_csv(spark, path, columns, places=True, **options)
+    stored = materialise(rows.withColumn(SEQUENCE, F.monotonically_increasing_id()), "csv-rows")
+    splits = stored.groupBy(FILE, BLOCK).agg(F.count("*").alias("_n"), F.min(SEQUENCE).alias("_first"))
+    # A row per split: prefix sums within each file, then over the files.
+    files = splits.groupBy(FILE).agg(F.sum("_n").alias("_in_file"))
+    before_file = F.coalesce(F.sum("_in_file").over(Window.orderBy(FILE).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    before_split = F.coalesce(F.sum("_n").over(Window.partitionBy(FILE).orderBy(BLOCK).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    bases = splits.withColumn("_in", before_split).join(files.select(FILE, before_file.alias("_before")), FILE)
+    numbered = stored.join(bases.select(FILE, BLOCK, "_first", (F.col("_before") + F.col("_in")).alias("_base")), [FILE, BLOCK])
+    return numbered.select(*[c for c in columns if c in rows.columns], (F.col("_base") + F.col(SEQUENCE) - F.col("_first")).alias(ROW_NUMBER))
 
 
 def take_columns(
@@ -55,6 +86,7 @@ def take_columns(
     *,
     null_values: Sequence[str] = (),
     optional: Sequence[str] = (),
+    kept: Sequence[str] = (),
 ) -> DataFrame:
     missing = [c for c in columns if c not in df.columns and c not in optional]
     if missing:
@@ -64,7 +96,7 @@ def take_columns(
         value = F.col(name).cast("string")
         return (F.when(~value.isin(list(null_values)), value) if null_values else value).alias(name)
 
-    return df.select([cell(c) for c in columns if c in df.columns])
+    return df.select([cell(c) for c in columns if c in df.columns] + list(kept))
 
 
 def row_counts(**tables: DataFrame) -> DataFrame:
@@ -80,27 +112,51 @@ def search_text(fields: Sequence[str] = SEARCH_FIELDS) -> Column:
     return F.concat_ws(" ", *[tx.or_blank(F.col(f)) for f in fields])
 
 
+def _row_places(catalogue: DataFrame, definitions: DataFrame) -> DataFrame:
+    """The catalogue joined with its definitions; ``doc_id`` counts the joined rows by catalogue row, then definition row.
+
+    Where no code is defined twice that is the catalogue's row number. Each further definition of a row moves what follows by
+    one: summed up per block of rows, then over the blocks, then inside each block.
+    """
+
+    def numbered(df: DataFrame, name: str) -> DataFrame:
+        number = F.col(ROW_NUMBER) if ROW_NUMBER in df.columns else F.monotonically_increasing_id()
+        return df.withColumn(name, number).drop(ROW_NUMBER)
+
+    left, right = numbered(catalogue, "_row"), numbered(definitions, "_def_row")
+    by_code = Window.partitionBy("koumoku_code")
+    right = right.withColumn("_k", F.row_number().over(by_code.orderBy("_def_row")) - 1).withColumn("_times", F.count("*").over(by_code))
+    joined = left.join(right, "koumoku_code", "left").withColumn("_k", F.coalesce("_k", F.lit(0)))
+    more = F.when(F.col("_k") == 0, F.coalesce("_times", F.lit(1)) - 1).otherwise(0)
+    joined = joined.withColumn("_block", F.floor(F.col("_row") / NUMBERED_ROWS)).withColumn("_more", more)
+    blocks = materialise(joined.filter("_more > 0").groupBy("_block").agg(F.sum("_more").alias("_in")), "further-definitions")
+    if blocks.isEmpty():
+        return joined.withColumn("doc_id", F.col("_row"))
+    every = joined.select("_block").distinct().join(blocks, "_block", "left")
+    before = F.coalesce(F.sum("_in").over(Window.orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    inside = Window.partitionBy("_block").orderBy("_row", "_k").rowsBetween(Window.unboundedPreceding, -1)
+    placed = joined.withColumn("_moved", F.coalesce(F.sum("_more").over(inside), F.lit(0)))
+    placed = placed.join(every.select("_block", before.alias("_before")), "_block")
+    # What a row's own first definition adds lies before its further ones already.
+    own = F.when(F.col("_k") > 0, F.col("_times") - 1).otherwise(0)
+    return placed.withColumn("doc_id", F.col("_row") + F.col("_before") + F.col("_moved") - own + F.col("_k"))
+
+
 def build_corpus(catalogue: DataFrame, definitions: DataFrame, id_column: str | None = None) -> DataFrame:
     """Catalogue rows with their definition ('' where there is none) and search text.
 
-    Left join, so every catalogue row stays and a code defined twice gives two rows. With ``id_column``
-    the caller's unique id becomes ``doc_id``; otherwise rows are numbered as read, definitions
-    of one code in their own order. Such numbers become stable once the corpus is saved.
+    Left join, so every catalogue row stays and a code defined twice gives two rows. With ``id_column`` the caller's unique
+    id becomes ``doc_id``; otherwise rows are counted: by the ``row_number`` of both tables if they have one, as
+    ``read_numbered_csv`` gives it, and then ids are the same however the files are split; else as read.
     """
     keep = [c for c in CATALOGUE_COLUMNS if c in catalogue.columns]
-    left, right = catalogue, definitions.select(*DEFINITION_COLUMNS)
     if id_column is None:
-        left = left.withColumn("_row", F.monotonically_increasing_id())
-        right = right.withColumn("_def_row", F.monotonically_increasing_id())
-    joined = left.join(right, "koumoku_code", "left")
-    if id_column is not None:
-        doc_id = F.col(id_column).cast("bigint")
-    elif right.groupBy("koumoku_code").count().filter("count > 1").isEmpty():
-        doc_id = F.col("_row")
+        numbers = [ROW_NUMBER] if ROW_NUMBER in definitions.columns else []
+        joined = _row_places(catalogue, definitions.select(*DEFINITION_COLUMNS, *numbers))
+        doc_id = F.col("doc_id").cast("bigint")
     else:
-        # A total order over unique keys, then ids that grow along it: the same on every retry.
-        joined = joined.orderBy("_row", F.asc_nulls_first("_def_row"))
-        doc_id = F.monotonically_increasing_id()
+        joined = catalogue.join(definitions.select(*DEFINITION_COLUMNS), "koumoku_code", "left")
+        doc_id = F.col(id_column).cast("bigint")
     filled = joined.withColumn("definition", F.coalesce("definition", F.lit("")))
     if "koumoku_name" not in keep:
         filled = filled.withColumn("koumoku_name", F.col("koumoku_name_full"))

@@ -53,9 +53,8 @@ PASSAGES = queries_from("SELECT item_id AS query_id, text AS query FROM benchmar
 SUPPLIERS = queries_from("SELECT s_suppkey AS query_id, s_name AS query FROM supplier")
 CONVERSATIONS = queries_from("SELECT conv_id * 1000000 + turn AS query_id, text AS query FROM conversations")
 PART_NAMES = queries_from(
-    """SELECT min(p_partkey) AS query_id,
-              p_name || ' ' || arg_min(p_type, p_partkey) || ' ' || arg_min(p_brand, p_partkey) AS query
-       FROM part GROUP BY p_name"""
+    """SELECT min(p_partkey) AS query_id, p_name || ' ' || p_type || ' ' || p_brand AS query
+       FROM part GROUP BY p_name, p_type, p_brand"""
 )
 
 BM25_INDEX = f"""
@@ -71,6 +70,17 @@ term_mean AS MATERIALIZED (SELECT avg(raw) AS mean_raw FROM term_raw),
 term_idf AS (
   SELECT term, df, cf, CASE WHEN raw >= 0 THEN raw ELSE 0.25::DOUBLE * mean_raw END AS idf FROM term_raw, term_mean)"""
 
+# The same statistics straight from the texts, nothing but the terms kept.
+TERM_STATS = f"""
+term_df AS (
+  SELECT term, count(*) AS df, CAST(sum(tf) AS BIGINT) AS cf
+  FROM (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest({spaced("search_text")}) AS term FROM docs)
+        GROUP BY doc_id, term)
+  GROUP BY term),
+term_log AS (
+  SELECT term, df, cf, ln((SELECT count(*) FROM docs) - df + 0.5::DOUBLE) - ln(df + 0.5::DOUBLE) AS raw FROM term_df),
+term_raw AS (SELECT term, df, cf, raw, avg(raw) OVER () AS mean_raw FROM term_log)"""
+
 BM25 = f"""
 q_space AS (
   SELECT query_id, term, count(*) AS qtf FROM (SELECT query_id, unnest({spaced("query")}) AS term FROM queries)
@@ -367,7 +377,14 @@ def all_checks() -> dict[str, str]:
         "bm25_topk_padded": statement([PARTS, SUPPLIERS, *bm, ranked("bm_score", "l", 80)], "SELECT * FROM l"),
         "bm25_conversations": statement([DOCUMENTS, CONVERSATIONS, *bm, matched("bm_score", "l", 10)], "SELECT * FROM l"),
         "bm25_term_stats": statement(
-            [DOCUMENTS.replace(" MATERIALIZED", ""), BM25_INDEX.replace(" MATERIALIZED", "")], "SELECT term, df, CAST(cf AS BIGINT) AS cf, round(idf, 6) AS idf FROM term_idf"
+            [DOCUMENTS.replace(" MATERIALIZED", ""), TERM_STATS],
+            "SELECT term, df, cf, round(CASE WHEN raw >= 0 THEN raw ELSE 0.25::DOUBLE * mean_raw END, 6) AS idf FROM term_raw",
+        ),
+        "bm25_term_spectrum": statement(
+            [DOCUMENTS.replace(" MATERIALIZED", ""), TERM_STATS],
+            """SELECT df, cf, round(CASE WHEN raw >= 0 THEN raw ELSE 0.25::DOUBLE * mean_raw END, 6) AS idf, count(*) AS n_terms,
+       min(term) AS first_term, max(term) AS last_term, CAST(sum(length(term)) AS BIGINT) AS n_chars
+FROM term_raw GROUP BY df, cf, raw, mean_raw""",
         ),
         "tfidf_topk": statement([DOCUMENTS, PASSAGES, *tf, matched("tf_score", "l", 10)], "SELECT * FROM l"),
         "tfidf_topk_padded": statement([PARTS, SUPPLIERS, *tf, ranked("tf_score", "l", 80)], "SELECT * FROM l"),
@@ -477,6 +494,10 @@ FROM items WHERE item_pos <= 12""",
         ),
         "corpus_build": statement([DOCUMENTS], CORPUS_ROWS),
         "corpus_from_csv": statement([PARTS], CORPUS_ROWS.replace("doc_id, ", "", 1)),
+        "corpus_csv_numbers": """
+SELECT row_number() OVER (ORDER BY p_partkey, again) - 1 AS doc_id, CAST(p_partkey AS VARCHAR) AS koumoku_code,
+       coalesce(CASE again WHEN 0 THEN s_name ELSE 'again ' || s_name END, '') AS definition
+FROM part LEFT JOIN (SELECT s_suppkey, s_name, unnest([0, 1]) AS again FROM supplier) ON p_partkey = s_suppkey""",
         "clean_text_stats": f"""
 SELECT count(*) AS n_texts, count(*) FILTER (WHERE text IS NULL) AS n_null,
        count(*) FILTER (WHERE {stripped} = '') AS n_blank,

@@ -102,16 +102,9 @@ def conversation_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def part_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every distinct part name with its type and brand words, numbered by its first part."""
-    return (
-        table(spark, sf_dir, "part")
-        .groupBy("p_name")
-        .agg(F.min_by(F.struct("p_partkey", "p_type", "p_brand"), "p_partkey").alias("first"))
-        .select(
-            F.col("first.p_partkey").alias("query_id"),
-            F.concat_ws(" ", "p_name", "first.p_type", "first.p_brand").alias("query"),
-        )
-    )
+    """Every distinct part name with its type and brand, numbered by the first part that has them."""
+    named = table(spark, sf_dir, "part").groupBy("p_name", "p_type", "p_brand").agg(F.min("p_partkey").alias("query_id"))
+    return named.select("query_id", F.concat_ws(" ", "p_name", "p_type", "p_brand").alias("query"))
 
 
 def passage_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
