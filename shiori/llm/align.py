@@ -18,7 +18,6 @@ from __future__ import annotations
 
 import json
 import re
-import struct
 from collections import Counter
 from collections.abc import Iterator
 from functools import cached_property
@@ -31,7 +30,7 @@ from pyspark.sql import functions as F
 
 from ..sources.workspace import materialise
 
-# Parts of texts whose ids a worker remembers; the memory is emptied when it is full.
+# Pieces of texts whose ids a worker remembers; the memory is emptied when it is full.
 REMEMBERED = 400_000
 # Results passed on together, in characters of text.
 BATCH_CHARS = 2_000_000
@@ -71,12 +70,11 @@ class Vocabularies:
         return bytes([int(piece[3:-1], 16)]) if self.b.is_byte(number) else piece.replace("▁", " ").encode()
 
     @cached_property
-    def by_part(self) -> bool:
-        """Whether A cuts before every single space and line break and no piece of B reaches over one."""
+    def by_piece(self) -> bool:
+        """Whether A splits texts by the pattern of byte-level BPE and by nothing else."""
         kind = json.loads(self.a.to_str())
         split = kind["pre_tokenizer"] or {}
-        cuts = kind["normalizer"] is None and split.get("type") == "ByteLevel" and split.get("use_regex") and not split["add_prefix_space"]
-        return bool(cuts) and not any((b" " in x[1:] and x.strip(b" ")) or (b"\n" in x and len(x) > 1) for x in self.b_bytes)
+        return bool(kind["normalizer"] is None and split.get("type") == "ByteLevel" and split.get("use_regex") and not split["add_prefix_space"])
 
     def pair_bound(self) -> int:
         """How many pairs can be linked at most: pairs of which one is the end of the other."""
@@ -85,74 +83,42 @@ class Vocabularies:
         return ends_in + sum(n * a[x[k:]] for x, n in b.items() for k in range(1, len(x)))
 
 
-class Encoder(dict):
-    """Ids of a text under both tokenizers from those of its remembered parts; None where bytes are not given back.
+class Encoder:
+    """Ids of a text under both tokenizers; None where its bytes are not given back.
 
-    Ids are kept as little-endian 32-bit numbers. Texts with white space beside white space are encoded whole, as are all
-    texts where parts could influence each other.
+    A text of plain characters is split by A's own pattern, and the ids of its pieces are remembered. All else A encodes whole.
     """
 
     def __init__(self, vocabularies: Vocabularies):
-        super().__init__()
         self.v = vocabularies
-        self.parts = re.compile(r" [^ \n]+|\n|[^ \n]+").findall
-        self.doubled = re.compile(r"\s\s|\s\Z").search
         # Fixed value: the splitting pattern of byte-level BPE, here for plain characters only.
-        self.split = re.compile(r"'(?:s|t|re|ve|m|ll|d)| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\n").findall
+        self.split = re.compile(r"'(?:s|t|re|ve|m|ll|d)| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+").findall
         self.plain = re.compile(r"[ -~À-ÖØ-öø-ÿ\n]+").fullmatch
         self.letters = str.maketrans({chr(b): c for c, b in byte_letters().items()})
-        self.known_a: dict[str, list[int]] = {}
+        self.pieces: dict[str, list[int]] = {}
 
-    def _a(self, part: str) -> list[int]:
-        """Ids of A; a plain part is split by A's own pattern, and its pieces are remembered."""
-        if not (self.v.by_part and self.plain(part)):
-            return self.v.a.encode(part, add_special_tokens=False).ids
+    def _a(self, text: str) -> list[int]:
+        if not (self.v.by_piece and self.plain(text)):
+            return self.v.a.encode(text, add_special_tokens=False).ids
         ids: list[int] = []
-        for piece in self.split(part):
-            found = self.known_a.get(piece)
+        pieces = self.pieces
+        for piece in self.split(text):
+            found = pieces.get(piece)
             if found is None:
-                if len(self.known_a) >= REMEMBERED:
-                    self.known_a.clear()
+                if len(pieces) >= REMEMBERED:
+                    pieces.clear()
                 entry = piece.encode().decode("latin-1").translate(self.letters)
-                found = self.known_a[piece] = [t.id for t in self.v.a.model.tokenize(entry)]
+                found = pieces[piece] = [t.id for t in self.v.a.model.tokenize(entry)]
             ids += found
         return ids
 
-    def _checked(self, text: str, a: list[int], b: list[int]) -> tuple[bytes, bytes] | None:
-        want = text.encode()
-        same = want == b"".join(map(self.v.a_bytes.__getitem__, a)) == b"".join(map(self.v.b_bytes.__getitem__, b))
-        return (struct.pack(f"<{len(a)}I", *a), struct.pack(f"<{len(b)}I", *b)) if same else None
-
-    def whole(self, text: str) -> tuple[bytes, bytes] | None:
-        """``text`` starts with its space."""
-        return self._checked(text, self.v.a.encode(text, add_special_tokens=False).ids, self.v.b.encode(text[1:]))
-
-    def _learn(self, parts: list[str]) -> None:
-        """The model puts a space before a text; what stands behind a line break has none, so the break is encoded too."""
-        given = [p[1:] if p[0] == " " else p if p == "\n" else "\n" + p for p in parts]
-        for part, b in zip(parts, self.v.b.encode(given, num_threads=1), strict=True):
-            skipped = 0 if part[0] == " " else 1 if part == "\n" else 2
-            self[part] = self._checked(part, self._a(part), b[skipped:])
-
-    def text(self, text: str | None) -> tuple[bytes, bytes] | None:
+    def text(self, text: str | None) -> tuple[list[int], list[int]] | None:
         if not text:
             return None
-        spaced = " " + text
-        if not self.v.by_part or self.doubled(spaced):
-            return self.whole(spaced)
-        parts = self.parts(spaced)
-        distinct = set(parts)
-        if len(distinct) > REMEMBERED:
-            return self.whole(spaced)
-        if new := [p for p in distinct if p not in self]:
-            if len(self) + len(new) > REMEMBERED:
-                self.clear()
-                new = list(distinct)
-            self._learn(new)
-        found = list(map(self.__getitem__, parts))
-        if None in found:
-            return None
-        return b"".join([a for a, _ in found]), b"".join([b for _, b in found])
+        a, b = self._a(" " + text), self.v.b.encode(text)
+        want = (" " + text).encode()
+        same = want == b"".join(map(self.v.a_bytes.__getitem__, a)) == b"".join(map(self.v.b_bytes.__getitem__, b))
+        return (a, b) if same else None
 
 
 def common_ends(a: list[int], b: list[int]) -> tuple[list[int], list[int]]:
@@ -223,7 +189,7 @@ def aligned(documents: DataFrame, a_path: str, b_path: str) -> DataFrame:
             ids = encoder.text(text)
             if ids is None:
                 return doc_id, 0, 0, 0, "", b""
-            a, b = (np.frombuffer(x, "<u4").astype(np.int64) for x in ids)
+            a, b = (np.array(x, np.int64) for x in ids)
             last_a, last_b = map(np.array, common_ends(np.cumsum(size_a[a]).tolist(), np.cumsum(size_b[b]).tolist()))
             links = (a[last_a] * len(size_b) + b[last_b]).astype("<u4")
             return doc_id, len(a), len(b), len(last_a), written(a, b, last_a, last_b), links.tobytes()
