@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from ..sources.workspace import materialise
 
 # Pieces of texts whose ids a worker remembers; the memory is emptied when it is full.
-REMEMBERED = 400_000
+REMEMBERED = 600_000
 # Results passed on together, in characters of text.
 BATCH_CHARS = 2_000_000
 
@@ -107,7 +107,7 @@ class Encoder:
             if found is None:
                 if len(pieces) >= REMEMBERED:
                     pieces.clear()
-                entry = piece.encode().decode("latin-1").translate(self.letters)
+                entry = piece.replace(" ", "Ġ").replace("\n", "Ċ") if piece.isascii() else piece.encode().decode("latin-1").translate(self.letters)
                 found = pieces[piece] = [t.id for t in self.v.a.model.tokenize(entry)]
             ids += found
         return ids

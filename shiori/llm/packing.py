@@ -28,7 +28,7 @@ CAPACITY = 2048
 # Pieces packed together in one task.
 GROUP_PIECES = 20_000
 # Words whose ids a worker remembers; the memory is emptied when it is full.
-REMEMBERED_WORDS = 400_000
+REMEMBERED_WORDS = 600_000
 # Texts given to the worker's tokenizer before their ids are passed on, in characters.
 BATCH_CHARS = 4_000_000
 
@@ -49,13 +49,14 @@ class Pieces(dict):
     def __missing__(self, piece: str) -> bytes:
         if len(self) >= REMEMBERED_WORDS:
             self.clear()
-        ids = [t.id for t in self.tokenize(piece.encode().decode("latin-1").translate(self.letters))]
+        plain = piece.replace(" ", "Ġ").replace("\n", "Ċ") if piece.isascii() else piece.encode().decode("latin-1").translate(self.letters)
+        ids = [t.id for t in self.tokenize(plain)]
         found = self[piece] = struct.pack(f"<{len(ids)}I", *ids)
         return found
 
 
 class WordIds(dict):
-    """Ids of whole texts from the ids of their words.
+    """Ids of whole texts from the ids of their words; a text of plain characters is split by the tokenizer's own pattern at once.
 
     A byte-level BPE splits a text before each single space and never merges over such a split, so a text without
     doubled white space is its first word followed by ' ' + word for each other one. A plain word is split by the
@@ -73,6 +74,7 @@ class WordIds(dict):
         self.pieces = Pieces(self.tokenizer)
         self.doubled = re.compile(r"\s\s")
         self.plain = re.compile(r" ?[!-~À-ÖØ-öø-ÿ\n]+")
+        self.plain_text = re.compile(r"[ -~À-ÖØ-öø-ÿ\n]+")
         # Fixed value: the splitting pattern of byte-level BPE, here for plain characters only.
         self.parts = re.compile(r"'(?:s|t|re|ve|m|ll|d)| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+").findall
 
@@ -92,7 +94,11 @@ class WordIds(dict):
     def text(self, text: str) -> bytes:
         if not text:
             return b""
-        if not self.by_word or self.doubled.search(text) or any(a in text for a in self.added):
+        if not self.by_word or any(a in text for a in self.added):
+            return self.whole(text)
+        if self.plain_text.fullmatch(text):
+            return b"".join(map(self.pieces.__getitem__, self.parts(text)))
+        if self.doubled.search(text):
             return self.whole(text)
         first, *words = text.split(" ")
         head = self[first] if first else b""
