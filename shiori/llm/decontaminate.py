@@ -26,6 +26,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterable, Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -137,16 +138,18 @@ class Sized:
 
     def retrieve(self, window: np.ndarray, term: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
         """(window, item) of the items that reach their threshold; (window, term) are distinct, by window, of ``n`` windows."""
-        known = self.top[term] > 0
-        window, term = window[known], term[known]
         none = np.empty(0, np.int64)
+        # Windows whose terms can't reach the floor together are passed over.
+        known = (self.top[term] > 0) & (np.bincount(window, self.top[term], minlength=n) >= NEARLY)[window]
+        window, term = window[known], term[known]
         if not len(window):
             return none, none
         order = np.lexsort((self.top[term], window))
         window, term = window[order], term[order]
         top = self.top[term]
         total = np.cumsum(top)
-        start = np.searchsorted(window, window)
+        size = np.bincount(window, minlength=n)
+        start = (np.cumsum(size) - size)[window]
         sums = total - total[start] + top[start]
         heavy = sums >= NEARLY
         if not heavy.any():
@@ -161,8 +164,8 @@ class Sized:
         if not len(pairs):
             return none, none
         # Those blocks with all terms of their windows: sums of block maxima, then of the items themselves.
-        first, last = (np.searchsorted(window, pairs // self.blocks, side=s) for s in ("left", "right"))
-        place, owner = _spread(first, last)
+        last = np.cumsum(size)[pairs // self.blocks]
+        place, owner = _spread(last - size[pairs // self.blocks], last)
         wanted = term[place] * self.blocks + pairs[owner] % self.blocks
         entry = np.minimum(np.searchsorted(self.key, wanted), len(self.key) - 1)
         there = self.key[entry] == wanted
@@ -228,7 +231,7 @@ class Index:
         total = 0
         for n, text in enumerate(texts):
             words = words_of(text)
-            numbers = np.fromiter((self.number.get(w, self.none) for w in words), np.int64, len(words))
+            numbers = np.fromiter(map(self.number.get, words, repeat(self.none)), np.int64, len(words))
             held.append((n, numbers))
             total += len(numbers)
             if total >= CHUNK_WORDS:
@@ -243,17 +246,23 @@ class Index:
         numbers = np.concatenate([x for _, x in held])
         lengths = np.array([len(x) for _, x in held])
         ends_of = np.cumsum(lengths)
+        # Where each word stood last, so that a window counts its words once.
+        order = np.argsort(numbers, kind="stable")
+        before = np.full(len(numbers), -1)
+        same = numbers[order[1:]] == numbers[order[:-1]]
+        before[order[1:][same]] = order[:-1][same]
         for sized in self.sized:
             starts, ends = windows(lengths, sized.size)
+            mass = np.concatenate([[0.0], np.cumsum(sized.top[numbers])])
+            may = mass[ends] - mass[starts] >= NEARLY
+            starts, ends = starts[may], ends[may]
             # A very long text's windows are taken some at a time.
             per = max(1, CHUNK_WORDS // sized.size)
             for a in range(0, len(starts), per):
                 s, e = starts[a : a + per], ends[a : a + per]
                 place, owner = _spread(s, e)
-                terms = numbers[place]
-                owner, terms = owner[terms != self.none], terms[terms != self.none]
-                key = np.unique(owner * (self.none + 1) + terms)
-                w, items = sized.retrieve(key // (self.none + 1), key % (self.none + 1), len(s))
+                once = before[place] < s[owner]
+                w, items = sized.retrieve(owner[once], numbers[place[once]], len(s))
                 for x, item in zip(w.tolist(), items.tolist(), strict=True):
                     into = out[held[int(np.searchsorted(ends_of, s[x], side="right"))][0]]
                     if sized.ids[item] not in into and sized.holds(item, numbers[s[x] : e[x]]):
