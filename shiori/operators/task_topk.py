@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 import numpy as np
 import pyarrow as pa
 
@@ -14,7 +16,7 @@ SCORE_CELLS = 4_000_000
 class TaskBest:
     """The k best (score, lower id first) documents of each query among those seen by one task."""
 
-    def __init__(self, n_queries: int, k: int, floor: float = -np.inf):
+    def __init__(self, n_queries: int, k: int, floor: float | np.ndarray = -np.inf):
         self.k = k
         self.query = np.empty(0, dtype=np.int64)
         self.doc = np.empty(0, dtype=np.int64)
@@ -44,3 +46,27 @@ class TaskBest:
         return pa.table(
             [query_ids.take(pa.array(self.query)), pa.array(self.doc), pa.array(self.score)], names=names
         )
+
+
+def matrix_of(lists: pa.Array | pa.ChunkedArray, dimension: int) -> np.ndarray:
+    flat = lists.flatten() if isinstance(lists, pa.Array) else pa.chunked_array(lists.chunks).combine_chunks().flatten()
+    values = flat.to_numpy(zero_copy_only=False).astype(np.float64)
+    if values.size != len(lists) * dimension:
+        raise ValueError("vectors of different dimensions")
+    return values.reshape(len(lists), dimension)
+
+
+def search_rows(
+    batches: Iterable[tuple[np.ndarray, pa.Array | pa.ChunkedArray]],
+    queries: np.ndarray,
+    k: int,
+    floor: float | np.ndarray = -np.inf,
+) -> TaskBest:
+    """The k best documents of each query among those of the batches (ids, vectors)."""
+    found = TaskBest(len(queries), k, floor)
+    rows = max(1, SCORE_CELLS // max(1, len(queries)))
+    for ids, lists in batches:
+        for start in range(0, len(ids), rows):
+            matrix = matrix_of(lists.slice(start, rows), queries.shape[1])
+            found.add(ids[start : start + rows], matrix @ queries.T)
+    return found

@@ -3,8 +3,7 @@
 from __future__ import annotations
 
 import hashlib
-import math
-from collections.abc import Callable, Iterable, Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -14,7 +13,8 @@ from pyspark.sql import types as T
 
 from ..functions.scores import best, by_score, unit
 from ..sources.workspace import materialise
-from .task_topk import SCORE_CELLS, TaskBest
+from .cluster_topk import Plan
+from .task_topk import matrix_of, search_rows
 
 # Texts in, one float vector per text out.
 Embedder = Callable[[list[str]], np.ndarray]
@@ -22,7 +22,7 @@ Embedder = Callable[[list[str]], np.ndarray]
 BATCH = 100
 # Query vectors held by every task at once: at 1,536 dimensions about 50 MB.
 QUERY_BLOCK = 4_096
-# Documents per block of the two-sided plan.
+# Documents per block of a cluster, where queries are too many for that.
 DOC_BLOCK = 20_000
 
 
@@ -101,26 +101,6 @@ def dimension_check(vectors: DataFrame, column: str = "embedding") -> DataFrame:
     )
 
 
-def _matrix(lists: pa.Array | pa.ChunkedArray, dimension: int) -> np.ndarray:
-    flat = lists.flatten() if isinstance(lists, pa.Array) else pa.chunked_array(lists.chunks).combine_chunks().flatten()
-    values = flat.to_numpy(zero_copy_only=False).astype(np.float64)
-    if values.size != len(lists) * dimension:
-        raise ValueError("vectors of different dimensions")
-    return values.reshape(len(lists), dimension)
-
-
-def _search(
-    batches: Iterable[tuple[np.ndarray, pa.Array | pa.ChunkedArray]], queries: np.ndarray, k: int
-) -> TaskBest:
-    found = TaskBest(len(queries), k)
-    rows = max(1, SCORE_CELLS // max(1, len(queries)))
-    for ids, lists in batches:
-        for start in range(0, len(ids), rows):
-            matrix = _matrix(lists.slice(start, rows), queries.shape[1])
-            found.add(ids[start : start + rows], matrix @ queries.T)
-    return found
-
-
 def vector_topk(
     vectors: DataFrame,
     queries: DataFrame,
@@ -133,7 +113,7 @@ def vector_topk(
     ``vectors`` is (doc_id, embedding), ``queries`` is (query_id, embedding). Each task multiplies its
     documents with a block of queries and hands on only its k best per query, so score pairs are never
     rows and never shuffled. Up to ``query_block`` queries go to every task as one broadcast matrix and
-    the documents stay where they are; more are paired with the documents block by block.
+    the documents stay where they are; more meet the blocks of documents, by cluster, that can still reach their k-th score.
     """
     spark = vectors.sparkSession
     vectors = vectors.select(F.col("doc_id").cast("bigint").alias("doc_id"), "embedding").filter(
@@ -155,7 +135,7 @@ def vector_topk(
         block = queries.toArrow()
         dimension = len(block.column(1)[0]) if block.num_rows else 0
         shared = spark.sparkContext.broadcast(
-            (block.column(0).combine_chunks(), _matrix(block.column(1), dimension)) if block.num_rows else None
+            (block.column(0).combine_chunks(), matrix_of(block.column(1), dimension)) if block.num_rows else None
         )
 
         def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -163,29 +143,10 @@ def vector_topk(
                 return
             query_ids, matrix = shared.value
             rows = ((b.column(0).to_numpy(zero_copy_only=False), b.column(1)) for b in batches if b.num_rows)
-            yield from _search(rows, matrix, k).table(query_ids, names).to_batches()
+            yield from search_rows(rows, matrix, k).table(query_ids, names).to_batches()
 
         found = vectors.mapInArrow(scan, schema)
     else:
-        query_blocks = math.ceil(n_queries / query_block)
-        doc_blocks = math.ceil(vectors.count() / doc_block) or 1
-
-        def every(n: int):
-            return F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-
-        docs = vectors.withColumn("d", F.pmod(F.xxhash64("doc_id"), F.lit(doc_blocks)).cast("int"))
-        docs = docs.withColumn("q", every(query_blocks))
-        asked = queries.withColumn("q", F.pmod(F.xxhash64("query_id"), F.lit(query_blocks)).cast("int"))
-        asked = asked.withColumn("d", every(doc_blocks))
-
-        def multiply(left: pa.Table, right: pa.Table) -> pa.Table:
-            query_ids = right.column("query_id").combine_chunks()
-            if not left.num_rows or not right.num_rows:
-                return TaskBest(0, k).table(query_ids, names)
-            matrix = _matrix(right.column("embedding"), len(right.column("embedding")[0]))
-            batch = left.combine_chunks()
-            rows = [(batch.column("doc_id").to_numpy(), batch.column("embedding"))]
-            return _search(rows, matrix, k).table(query_ids, names)
-
-        found = docs.groupBy("d", "q").cogroup(asked.groupBy("d", "q")).applyInArrow(multiply, schema)
+        plan = Plan(vectors, queries, k, query_block, doc_block, schema)
+        found = spark.createDataFrame([], schema) if plan.empty else plan.rows()
     return best(found, k, ["query_id"], by_score())
