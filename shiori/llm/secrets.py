@@ -1,7 +1,8 @@
 """Secret scan with multipart credential linking, in DataFrame functions only.
 
-Base kinds are found as they stand. Weak parts (a long mixed token, an endpoint) say little alone: they are reported
-only if an access identifier lies in the same scope, found by an interval join on blocks of ``SCOPE`` code points.
+Base kinds are found as they stand. Weak parts (a long mixed token, an endpoint) say little alone. A token is reported if
+an access identifier or an endpoint lies at most ``SCOPE`` code points away, an endpoint if a token does; an endpoint beside
+an identifier alone is none. An interval join finds them: a part goes to every block of ``SCOPE`` code points that it covers.
 
 Defined results: a null text is an empty one. Rows with the same id are scanned each for itself. Offsets count code
 points, the end is exclusive. Other columns are ignored.
@@ -21,7 +22,7 @@ HEX = r"[0-9a-f]{32,}"
 KINDS = ("assign", "access", "hex", "secret_part", "endpoint")
 
 SECRET_PART = r"(?<![A-Za-z0-9+/])(?=[a-z0-9+/]*[A-Z])(?=[A-Z0-9+/]*[a-z])(?=[A-Za-z+/]*[0-9])[A-Za-z0-9+/]{40}(?![A-Za-z0-9+/=])"
-ENDPOINT = r"(?:https?://)?[a-z0-9-]+(?:\.[a-z0-9-]+)*\.amazonaws\.com"
+ENDPOINT = r"(?:https?://|(?<![a-z0-9-]))[a-z0-9-]+(?:\.[a-z0-9-]+)*\.amazonaws\.com"
 # Code points between the parts of one credential.
 SCOPE = 400
 
@@ -55,31 +56,33 @@ def scanned(documents: DataFrame) -> DataFrame:
         _spans(text, "access", ACCESS, F.transform(F.regexp_extract_all(text, F.lit(ACCESS), F.lit(0)), lambda v: F.length(v) >= 16)),
         _spans(text, "hex", HEX),
     ]
-    # Weak parts can only count in a text with an access identifier.
+    # Tokens count beside an identifier or an endpoint only, endpoints beside a token; texts without either are left.
     none = F.array().cast("array<struct<start:bigint,kind:int,end:bigint>>")
     weak = F.concat(_spans(text, "secret_part", SECRET_PART), _spans(text, "endpoint", ENDPOINT))
     return rows.select(
         F.monotonically_increasing_id().alias("row"),
         "doc_id",
         F.array_sort(F.concat(*base)).alias("base"),
-        F.when(text.rlike(ACCESS), weak).otherwise(none).alias("weak"),
+        F.when(text.rlike(ACCESS) | text.contains(".amazonaws.com"), weak).otherwise(none).alias("weak"),
     )
 
 
 def linked(parts: DataFrame, scope: int = SCOPE) -> DataFrame:
-    """(row, start, kind, end) of weak parts with an access identifier at most ``scope`` code points away."""
-    block = lambda c: F.floor(F.col(c) / scope)
-    weak = parts.select("row", F.inline("weak")).withColumn("block", block("start"))
-    access = (
-        parts.filter(F.size("weak") > 0)
-        .select("row", F.inline("base"))
-        .filter(F.col("kind") == KINDS.index("access"))
-        .select("row", F.col("start").alias("a"), F.col("end").alias("b"))
-    )
-    # Neighbouring blocks hold every start at most scope + one part's length away; longer parts are tested exactly.
-    near = access.select("row", "a", "b", F.explode(F.sequence(F.floor((F.col("a") - scope) / scope) - 1, F.floor((F.col("b") + scope) / scope))).alias("block"))
-    close = (F.col("start") <= F.col("b") + scope) & (F.col("end") >= F.col("a") - scope)
-    return weak.join(near, ["row", "block"]).filter(close).select("row", "start", "kind", "end").distinct()
+    """(row, start, kind, end) of weak parts with a complementary part at most ``scope`` code points away."""
+    part = F.struct("start", "kind", "end")
+
+    def blocks(first: Column, last: Column) -> Column:
+        return F.explode(F.sequence(F.floor(first / scope), F.floor(last / scope))).alias("block")
+
+    some = parts.filter(F.size("weak") > 0)
+    every = some.select("row", F.inline(F.concat("base", "weak")))
+    tokens = every.filter(F.col("kind") == KINDS.index("secret_part")).select("row", part.alias("token"), blocks(F.col("start"), F.col("end")))
+    others = every.filter(F.col("kind").isin(KINDS.index("access"), KINDS.index("endpoint")))
+    others = others.select("row", part.alias("other"), blocks(F.col("start") - scope, F.col("end") + scope))
+    close = (F.col("token.start") <= F.col("other.end") + scope) & (F.col("token.end") >= F.col("other.start") - scope)
+    endpoint = F.when(F.col("other.kind") == KINDS.index("endpoint"), F.col("other"))
+    found = tokens.join(others, ["row", "block"]).filter(close).select("row", F.explode(F.array("token", endpoint)).alias("part"))
+    return found.filter("part is not null").select("row", "part.*").distinct()
 
 
 def secret_spans(documents: DataFrame, scope: int = SCOPE) -> DataFrame:
