@@ -5,7 +5,8 @@ Archives are files in the shared folder; each task writes its own, so a repeated
 
 Defined results: a null html is an empty payload. Rows with the same id are records of their own; of equal payloads
 under the same id only the first written would be told apart, so all of them are responses. Rows without an id are
-left out. Other columns are ignored. The reader raises ValueError on a bad header, length or digest.
+records without a number: revisits of the response with an id if their payload has one, else responses that nothing refers
+to. Other columns are ignored. The reader raises ValueError on a bad or missing header, length or digest.
 """
 
 from __future__ import annotations
@@ -31,6 +32,9 @@ ARCHIVE_BYTES = 64 << 20
 # Bounded sample from which each archive's dictionary is made.
 DICTIONARY_PAGES, DICTIONARY_BYTES = 64, 32 << 10
 
+# Header fields that the reader needs.
+REQUIRED = ("WARC-Record-ID", "WARC-Target-URI", "WARC-Type", "WARC-Payload-Digest", "WARC-Block-Digest", "Content-Length")
+
 RECORDS = "page_id bigint, url string, record_type string, refers_to bigint, payload_bytes bigint, payload_digest string, payload binary"
 
 
@@ -38,11 +42,11 @@ def digest(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()
 
 
-def _name(page_id: int) -> str:
-    return f"<urn:page:{page_id}>"
+def _name(page_id: int | None) -> str:
+    return "<urn:page:none>" if page_id is None else f"<urn:page:{page_id}>"
 
 
-def record(page_id: int, url: str, payload: bytes, refers_to: int | None) -> bytes:
+def record(page_id: int | None, url: str, payload: bytes, refers_to: int | None) -> bytes:
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
     block = http if refers_to is not None else http + payload
     lines = [
@@ -67,6 +71,9 @@ def parsed(data: bytes) -> tuple:
     if first != "WARC/1.1" or not mark:
         raise ValueError("not a WARC record")
     fields = dict(line.split(": ", 1) for line in lines if ": " in line)
+    missing = [name for name in REQUIRED if name not in fields]
+    if missing:
+        raise ValueError(f"the record has no {', '.join(missing)}")
     length = int(fields["Content-Length"])
     block = rest[:length]
     if len(rest) != length + 4 or rest[length:] != b"\r\n\r\n":
@@ -81,7 +88,7 @@ def parsed(data: bytes) -> tuple:
         raise ValueError("the payload is not that of its header")
     if kind not in ("response", "revisit"):
         raise ValueError(f"unexpected record type {kind}")
-    number = lambda key: int(fields[key][len("<urn:page:") : -1]) if key in fields else None
+    number = lambda key: int(fields[key][len("<urn:page:") : -1]) if fields.get(key, _name(None)) != _name(None) else None
     return number("WARC-Record-ID"), fields["WARC-Target-URI"], kind, number("WARC-Refers-To"), size, said, payload if kind == "response" else None
 
 
@@ -104,13 +111,13 @@ def _archive(fs, path: str, rows: list[tuple]) -> None:
 def with_revisits(pages: DataFrame) -> DataFrame:
     """(page_id, url, html, refers_to)."""
     html = F.coalesce("html", F.lit(""))
-    rows = pages.filter("page_id is not null").select(F.col("page_id").cast("bigint").alias("page_id"), F.coalesce("url", F.lit("")).alias("url"), html.alias("html"))
+    rows = pages.select(F.col("page_id").cast("bigint").alias("page_id"), F.coalesce("url", F.lit("")).alias("url"), html.alias("html"))
     keyed = rows.withColumn("digest", F.unhex(F.sha1(F.encode("html", "UTF-8"))))
     # Only digests that repeat are kept; the join deals with few rows, and splits what is skewed.
-    first = keyed.groupBy("digest").agg(F.min("page_id").alias("first"), F.max("page_id").alias("last"))
-    repeated = materialise(first.filter("first < last").select("digest", "first"), "payloads")
+    first = keyed.groupBy("digest").agg(F.min("page_id").alias("first"), F.max("page_id").alias("last"), F.max(F.col("page_id").isNull()).alias("nameless"))
+    repeated = materialise(first.filter("first < last or nameless and first is not null").select("digest", "first"), "payloads")
     joined = keyed.join(repeated, "digest", "left")
-    return joined.select("page_id", "url", "html", F.when(F.col("first") < F.col("page_id"), F.col("first")).alias("refers_to"))
+    return joined.select("page_id", "url", "html", F.when((F.col("first") < F.col("page_id")) | F.col("page_id").isNull(), F.col("first")).alias("refers_to"))
 
 
 def write_archives(pages: DataFrame, folder: str, archive_bytes: int = ARCHIVE_BYTES) -> DataFrame:

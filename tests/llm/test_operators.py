@@ -266,6 +266,7 @@ def test_archives_round_trip(spark):
     got = {r.page_id: r for r in warc.round_trip(df).collect()}
     assert {i: (r.record_type, r.refers_to) for i, r in got.items()} == {
         1: ("response", None), 2: ("response", None), 3: ("revisit", 1), 4: ("response", None), 5: ("revisit", 4), 6: ("response", None),
+        None: ("response", None),
     }
     for i, _, html in rows:
         if i is not None:
@@ -284,6 +285,23 @@ def test_a_changed_record_is_refused(at):
         warc.parsed(bytes(data))
 
 
+def test_pages_without_an_id_are_records_too(spark):
+    rows = [(None, "a", "x"), (2, "b", "x"), (5, "c", "x"), (None, "d", "y"), (None, "e", "y"), (None, "f", None), (9, "g", "z")]
+    found = warc.round_trip(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert {(r.url, r.page_id, r.record_type, r.refers_to) for r in found} == {
+        ("a", None, "revisit", 2), ("b", 2, "response", None), ("c", 5, "revisit", 2), ("d", None, "response", None),
+        ("e", None, "response", None), ("f", None, "response", None), ("g", 9, "response", None),
+    }
+    assert len(found) == len(rows)
+
+
+@pytest.mark.parametrize("name", warc.REQUIRED)
+def test_a_record_without_a_header_field_is_refused(name):
+    data = warc.record(1, "u", b"payload", None)
+    with pytest.raises(ValueError):
+        warc.parsed(re.sub(rb"(?m)^%s: .*\r\n" % name.encode(), b"", data, count=1) if name != "Content-Length" else data.replace(b"\r\nContent-Length: ", b"\r\nX-Length: ", 1))
+
+
 # 9
 
 
