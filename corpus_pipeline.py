@@ -1,7 +1,7 @@
 """From raw documents to packed training sequences; each stage is written and read again before the next.
 
 A document goes if its language cannot be told, if a document with a smaller id stands for it, or if it holds a test
-item. Lines that came earlier go from the texts. ``n_chars`` follows the text.
+item. Lines that came earlier go from the texts, and texts of which nothing is left by that. ``n_chars`` follows the text.
 """
 
 from __future__ import annotations
@@ -27,7 +27,9 @@ def tell_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = line_dedup.dedup_lines(docs, min_copy_chars=line_dedup.ALL_COPIES).select(docs.columns)
+    found = line_dedup.dedup_lines(docs, min_copy_chars=line_dedup.ALL_COPIES)
+    emptied = (F.col("n_removed") > 0) & ~F.col("text").rlike(r"\S")
+    found = found.filter(F.col("text").isNull() | ~emptied).select(docs.columns)
     return found.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else found
 
 
