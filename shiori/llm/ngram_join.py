@@ -7,8 +7,9 @@
 3. T-occurrence search: nodes that share an early prefix shingle meet in bounded groups. There inverted lists are merged
    with DivideSkip (short lists through a heap, long ones probed by binary search), and a node that reaches the
    required overlap with one already there is linked to it and not indexed itself.
-4. Groups are bounded and linked nodes not indexed, so links can be missed there. What is left is done exactly: nodes
-   that share a prefix shingle but not a class are paired, filtered by size, position and bitmaps, and verified on their sets.
+4. Groups are bounded and linked nodes not indexed, so links between classes can be missed there. Nodes that share a
+   prefix shingle but not a class are sent to each other's class, after filters by size, position and bitmap that lose
+   none, and search its inverted lists in the same way. A node that reaches one member is linked with the class.
 
 A group of copies of any size is one node; near copies cost a link each, not a pair for each two.
 
@@ -29,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..sources.workspace import materialise
+from ..sources.workspace import discard, materialise
 
 WORDS = 5
 # Similarity, in hundredths.
@@ -185,9 +186,17 @@ def sets_of(documents: DataFrame, ids: DataFrame) -> DataFrame:
     texts = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").join(ids, "doc_id").select("node", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingler = Shingler()
+        shingler, met = Shingler(), set()
         for batch in batches:
-            found = [(n, s.tobytes(), bitmap(s)) for n, t in zip(batch.column(0).to_pylist(), batch.column(1), strict=True) if xxhash.xxh64_intdigest((s := shingler.of(t.as_py())).tobytes()) - (1 << 63) == n]
+            found = []
+            for node, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                # Rows repeated with their id and text are one set; rows of that id with other texts are other nodes.
+                if node in met or xxhash.xxh64_intdigest((s := shingler.of(text.as_py())).tobytes()) - (1 << 63) != node:
+                    continue
+                if len(met) >= REMEMBERED_WORDS:
+                    met.clear()
+                met.add(node)
+                found.append((node, s.tobytes(), bitmap(s)))
             yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], t) for i, t in enumerate((pa.int64(), pa.binary(), pa.binary()))], names=["node", "s", "bits"])
 
     return texts.mapInArrow(run, "node bigint, s binary, bits binary")
@@ -241,17 +250,23 @@ class Occurrences:
         return count >= want
 
 
+def _grouped_sets(members: DataFrame, sets: DataFrame, *key: str) -> DataFrame:
+    """``members`` (node and key columns) with their sets; members are few numbers, so each set is moved to its groups only."""
+    return members.join(sets.select("node", "s"), "node").groupBy(*key)
+
+
 def searched(shared: DataFrame, sets: DataFrame) -> DataFrame:
-    """(u, v): links found by T-occurrence search in bounded groups."""
+    """(u, v): links found by T-occurrence search in bounded groups of nodes that share an early prefix shingle."""
     rank = F.row_number().over(Window.partitionBy("node").orderBy("pos"))
     keys = shared.withColumn("k", rank).filter(F.col("k") <= SEARCH_KEYS)
     salt = F.pmod(F.col("node"), F.ceil(F.col("df") / GROUP_NODES).cast("bigint"))
-    grouped = keys.select("h", salt.alias("salt"), "node").join(sets.select("node", "s"), "node")
+    members = keys.select("h", salt.alias("salt"), "node").withColumn("met", F.count("*").over(Window.partitionBy("h", "salt")))
+    members = materialise(members.filter("met > 1").drop("met"), "search-groups")
 
     def search(group: pa.Table) -> pa.Table:
         index, names, u, v = Occurrences(), [], [], []
         rows = sorted((len(s), node, s) for node, s in zip(group.column("node").to_pylist(), group.column("s").to_pylist(), strict=True))
-        for _, node, s in rows if len(rows) > 1 else []:
+        for _, node, s in rows:
             hashes = np.frombuffer(s, np.uint64).tolist()
             hit = next(index.search(hashes), None)
             if hit is None:
@@ -262,7 +277,9 @@ def searched(shared: DataFrame, sets: DataFrame) -> DataFrame:
                 v.append(names[hit])
         return pa.table({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64())})
 
-    return grouped.groupBy("h", "salt").applyInArrow(search, "u bigint, v bigint")
+    links = materialise(_grouped_sets(members, sets, "h", "salt").applyInArrow(search, "u bigint, v bigint"), "links")
+    discard(members)
+    return links
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -277,15 +294,18 @@ def components(edges: DataFrame) -> DataFrame:
         key = lambda c: F.struct(F.xxhash64(F.lit(turn), c).alias("x"), F.col(c).alias("id"))  # noqa: E731, B023
         parent = materialise(both.groupBy("u").agg(F.min(key("v")).alias("m")).select(F.col("u").alias("node"), F.least("m", key("u")).getField("id").alias("p")), "parents")
         to = lambda c: parent.select(F.col("node").alias(c), F.col("p").alias(f"p{c}"))  # noqa: E731, B023
+        old = labels, edges
         labels = materialise(labels.join(to("label"), "label", "left").select("node", F.coalesce("plabel", "label").alias("label")), "labels")
         edges = materialise(
             edges.join(to("u"), "u").join(to("v"), "v").select(F.col("pu").alias("u"), F.col("pv").alias("v")).filter("u <> v").distinct(), "edges"
         )
+        discard(parent, *old)
+    discard(edges)
     return labels
 
 
-def residual(shared: DataFrame, labels: DataFrame, sets: DataFrame) -> DataFrame:
-    """(u, v): links between nodes that share a prefix shingle and not yet a class."""
+def likely_pairs(shared: DataFrame, labels: DataFrame, sets: DataFrame) -> DataFrame:
+    """(node, label, node2, label2): nodes of different classes that share a prefix shingle and may be similar by size, position and bitmap."""
     known = shared.join(labels, "node", "left").select("h", "node", "n", "pos", F.coalesce("label", "node").alias("label"))
     of = Window.partitionBy("h")
     mixed = known.withColumns({"lo": F.min("label").over(of), "hi": F.max("label").over(of)}).filter("lo < hi").drop("lo", "hi")
@@ -293,28 +313,53 @@ def residual(shared: DataFrame, labels: DataFrame, sets: DataFrame) -> DataFrame
     other = mixed.select("h", *[F.col(c).alias(f"{c}2") for c in ("node", "n", "pos", "label")])
     least = F.ceil(PERCENT * (F.col("n") + F.col("n2")) / (100 + PERCENT))
     most = F.least("pos", "pos2") + F.least(F.col("n") - F.col("pos"), F.col("n2") - F.col("pos2"))
-    pairs = mixed.join(other, "h").filter((F.col("node") < F.col("node2")) & (F.col("label") != F.col("label2")) & (most >= least))
-    pairs = pairs.filter(100 * F.least("n", "n2") >= PERCENT * F.greatest("n", "n2")).select("node", "node2", "n", "n2").distinct()
+    pairs = mixed.join(other, "h").filter((F.col("label") < F.col("label2")) & (most >= least))
+    pairs = pairs.filter(100 * F.least("n", "n2") >= PERCENT * F.greatest("n", "n2")).select("node", "label", "node2", "label2", "n", "n2").distinct()
     bits = sets.select("node", "bits")
     mapped = pairs.join(bits, "node").join(bits.select(F.col("node").alias("node2"), F.col("bits").alias("bits2")), "node2")
 
     def sieve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = zip(*(c.to_pylist() for c in batch.columns), strict=True)
-            keep = [(x, y) for x, y, n, m, p, q in rows if may_be_similar(p, q, n, m)]
-            yield pa.RecordBatch.from_arrays([pa.array([k[i] for k in keep], pa.int64()) for i in (0, 1)], names=["node", "node2"])
+            keep = [may_be_similar(p, q, n, m) for n, m, p, q in zip(*(c.to_pylist() for c in batch.columns[4:]), strict=True)]
+            yield pa.RecordBatch.from_arrays([c.filter(pa.array(keep, pa.bool_())) for c in batch.columns[:4]], names=["node", "label", "node2", "label2"])
 
-    likely = materialise(mapped.select("node", "node2", "n", "n2", "bits", "bits2").mapInArrow(sieve, "node bigint, node2 bigint"), "likely-pairs")
-    of_set = sets.select("node", "s")
-    both = likely.join(of_set, "node").join(of_set.select(F.col("node").alias("node2"), F.col("s").alias("s2")), "node2").select("node", "node2", "s", "s2")
+    columns = mapped.select("node", "label", "node2", "label2", "n", "n2", "bits", "bits2")
+    likely = materialise(columns.mapInArrow(sieve, "node bigint, label bigint, node2 bigint, label2 bigint"), "likely-pairs")
+    discard(mixed)
+    return likely
 
-    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            a, b, s, t = (c.to_pylist() for c in batch.columns)
-            keep = [i for i in range(len(a)) if similar(np.frombuffer(s[i], np.uint64), np.frombuffer(t[i], np.uint64))]
-            yield pa.RecordBatch.from_arrays([pa.array([x[i] for i in keep], pa.int64()) for x in (a, b)], names=["u", "v"])
 
-    return both.mapInArrow(verify, "u bigint, v bigint")
+def joined(likely: DataFrame, sets: DataFrame) -> DataFrame:
+    """(u, v): links between classes, by T-occurrence search of each likely partner in the lists of the class.
+
+    The nodes of a class that have likely partners are indexed, in slices of bounded size; each node that a slice may hold a
+    partner of looks for it there, once however many members it may be similar to. Lookers are sliced as well.
+    """
+    of_class = likely.select("label", "node").distinct().groupBy("label").agg(F.ceil(F.count("*") / GROUP_NODES).cast("bigint").alias("slices"))
+    placed = materialise(likely.join(of_class, "label").withColumn("slice", F.pmod(F.xxhash64("node"), "slices")), "class-slices")
+    lookers = placed.select("label", "slice", F.col("node2").alias("node")).distinct()
+    parts = lookers.groupBy("label", "slice").agg(F.ceil(F.count("*") / GROUP_NODES).cast("bigint").alias("parts"))
+    lookers = lookers.join(parts, ["label", "slice"]).select("label", "slice", F.pmod(F.xxhash64("node"), "parts").alias("part"), "node", F.lit(True).alias("looks"))
+    part = F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1)).alias("part")
+    indexed = placed.select("label", "slice", "node").distinct().join(parts, ["label", "slice"]).select("label", "slice", part, "node", F.lit(False).alias("looks"))
+    members = materialise(indexed.union(lookers), "class-groups")
+
+    def search(group: pa.Table) -> pa.Table:
+        index, names, u, v = Occurrences(), [], [], []
+        rows = sorted(zip(group.column("looks").to_pylist(), group.column("node").to_pylist(), group.column("s").to_pylist(), strict=True))
+        for looks, node, s in rows:
+            hashes = np.frombuffer(s, np.uint64).tolist()
+            if not looks:
+                index.add(hashes)
+                names.append(node)
+            elif (hit := next(index.search(hashes), None)) is not None:
+                u.append(node)
+                v.append(names[hit])
+        return pa.table({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64())})
+
+    links = materialise(_grouped_sets(members, sets, "label", "slice", "part").applyInArrow(search, "u bigint, v bigint"), "more-links")
+    discard(members, placed)
+    return links
 
 
 def ngram_components(documents: DataFrame) -> DataFrame:
@@ -327,9 +372,16 @@ def ngram_components(documents: DataFrame) -> DataFrame:
     first = docs.filter("n > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
     ids = materialise(first.join(shared.select("node").distinct(), "node", "left_semi"), "shared-ids")
     sets = materialise(sets_of(documents, ids), "sets")
-    links = materialise(searched(shared, sets), "links")
-    more = materialise(residual(shared, components(links), sets), "more-links")
-    labels = components(links.union(more)) if not more.isEmpty() else components(links)
+    links = searched(shared, sets)
+    classes = components(links)
+    likely = likely_pairs(shared, classes, sets)
+    more = joined(likely, sets)
+    discard(shared, ids, sets, likely)
+    labels = classes
+    if not more.isEmpty():
+        labels = components(links.union(more))
+        discard(classes)
+    discard(links, more)
     classed = docs.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     least = classed.filter("n > 0").groupBy("label").agg(F.min("doc_id").alias("least"))
     return classed.join(least, "label", "left").select(
