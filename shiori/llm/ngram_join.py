@@ -23,6 +23,7 @@ from __future__ import annotations
 import heapq
 from bisect import bisect_left
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -39,6 +40,8 @@ PERCENT = 80
 CELLS = 1 << 16
 # Early shared prefix shingles by which a node looks for others, and the most nodes that meet in one group.
 SEARCH_KEYS, GROUP_NODES = 1, 2_048
+# Sets that go to classes at once, as a share of all sets; more are sent in passes, so that the disk they take stays bounded.
+PASS_SHARE = 0.5
 # Bits of a set's bitmap, by which most pairs are ruled out before sets are moved.
 BITS = 2_048
 REMEMBERED_WORDS = 400_000
@@ -181,7 +184,7 @@ def shared_postings(documents: DataFrame, frequency) -> DataFrame:
 
 
 def sets_of(documents: DataFrame, ids: DataFrame) -> DataFrame:
-    """(node, s, bits): the sets of the documents in ``ids`` (doc_id, node), and their bitmaps."""
+    """(node, n, s, bits): the sets of the documents in ``ids`` (doc_id, node), their sizes and bitmaps."""
     ids = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
     texts = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").join(ids, "doc_id").select("node", "text")
 
@@ -196,10 +199,11 @@ def sets_of(documents: DataFrame, ids: DataFrame) -> DataFrame:
                 if len(met) >= REMEMBERED_WORDS:
                     met.clear()
                 met.add(node)
-                found.append((node, s.tobytes(), bitmap(s)))
-            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], t) for i, t in enumerate((pa.int64(), pa.binary(), pa.binary()))], names=["node", "s", "bits"])
+                found.append((node, len(s), s.tobytes(), bitmap(s)))
+            types = {"node": pa.int64(), "n": pa.int64(), "s": pa.binary(), "bits": pa.binary()}
+            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], t) for i, t in enumerate(types.values())], names=list(types))
 
-    return texts.mapInArrow(run, "node bigint, s binary, bits binary")
+    return texts.mapInArrow(run, "node bigint, n bigint, s binary, bits binary")
 
 
 class Occurrences:
@@ -305,7 +309,7 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def likely_pairs(shared: DataFrame, labels: DataFrame, sets: DataFrame) -> DataFrame:
-    """(node, label, node2, label2): nodes of different classes that share a prefix shingle and may be similar by size, position and bitmap."""
+    """(node, label, n, node2, label2, n2): nodes of different classes that share a prefix shingle and may be similar by size, position and bitmap."""
     known = shared.join(labels, "node", "left").select("h", "node", "n", "pos", F.coalesce("label", "node").alias("label"))
     of = Window.partitionBy("h")
     mixed = known.withColumns({"lo": F.min("label").over(of), "hi": F.max("label").over(of)}).filter("lo < hi").drop("lo", "hi")
@@ -321,10 +325,10 @@ def likely_pairs(shared: DataFrame, labels: DataFrame, sets: DataFrame) -> DataF
     def sieve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = [may_be_similar(p, q, n, m) for n, m, p, q in zip(*(c.to_pylist() for c in batch.columns[4:]), strict=True)]
-            yield pa.RecordBatch.from_arrays([c.filter(pa.array(keep, pa.bool_())) for c in batch.columns[:4]], names=["node", "label", "node2", "label2"])
+            yield pa.RecordBatch.from_arrays([c.filter(pa.array(keep, pa.bool_())) for c in batch.columns[:6]], names=batch.schema.names[:6])
 
     columns = mapped.select("node", "label", "node2", "label2", "n", "n2", "bits", "bits2")
-    likely = materialise(columns.mapInArrow(sieve, "node bigint, label bigint, node2 bigint, label2 bigint"), "likely-pairs")
+    likely = materialise(columns.mapInArrow(sieve, "node bigint, label bigint, node2 bigint, label2 bigint, n int, n2 int"), "likely-pairs")
     discard(mixed)
     return likely
 
@@ -337,11 +341,11 @@ def joined(likely: DataFrame, sets: DataFrame) -> DataFrame:
     """
     of_class = likely.select("label", "node").distinct().groupBy("label").agg(F.ceil(F.count("*") / GROUP_NODES).cast("bigint").alias("slices"))
     placed = materialise(likely.join(of_class, "label").withColumn("slice", F.pmod(F.xxhash64("node"), "slices")), "class-slices")
-    lookers = placed.select("label", "slice", F.col("node2").alias("node")).distinct()
+    lookers = placed.select("label", "slice", F.col("node2").alias("node"), F.col("n2").alias("n")).distinct()
     parts = lookers.groupBy("label", "slice").agg(F.ceil(F.count("*") / GROUP_NODES).cast("bigint").alias("parts"))
-    lookers = lookers.join(parts, ["label", "slice"]).select("label", "slice", F.pmod(F.xxhash64("node"), "parts").alias("part"), "node", F.lit(True).alias("looks"))
+    lookers = lookers.join(parts, ["label", "slice"]).select("label", "slice", F.pmod(F.xxhash64("node"), "parts").alias("part"), "node", "n", F.lit(True).alias("looks"))
     part = F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1)).alias("part")
-    indexed = placed.select("label", "slice", "node").distinct().join(parts, ["label", "slice"]).select("label", "slice", part, "node", F.lit(False).alias("looks"))
+    indexed = placed.select("label", "slice", "node", "n").distinct().join(parts, ["label", "slice"]).select("label", "slice", part, "node", "n", F.lit(False).alias("looks"))
     members = materialise(indexed.union(lookers), "class-groups")
 
     def search(group: pa.Table) -> pa.Table:
@@ -357,8 +361,15 @@ def joined(likely: DataFrame, sets: DataFrame) -> DataFrame:
                 v.append(names[hit])
         return pa.table({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64())})
 
-    links = materialise(_grouped_sets(members, sets, "label", "slice", "part").applyInArrow(search, "u bigint, v bigint"), "more-links")
-    discard(members, placed)
+    size = lambda table: table.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    passes = max(1, -int(-size(members) // max(1, PASS_SHARE * size(sets))))
+    number = F.pmod(F.xxhash64("label", "slice", "part"), F.lit(passes))
+    found = []
+    for i in range(passes):
+        groups = _grouped_sets(members.filter(number == i).drop("n"), sets, "label", "slice", "part")
+        found.append(materialise(groups.applyInArrow(search, "u bigint, v bigint"), "pass-links"))
+    links = materialise(reduce(DataFrame.union, found), "more-links")
+    discard(members, placed, *found)
     return links
 
 

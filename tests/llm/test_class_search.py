@@ -39,8 +39,9 @@ def texts():
     return out + [f"{passage} " + " ".join(f"o{n}v{i}" for i in range(25)) for n in range(30)]
 
 
-@pytest.mark.parametrize(("search_keys", "group_nodes"), [(1, 2048), (1, 4), (0, 4), (0, 1)])
-def test_sliced_classes_equal_brute_force(spark, monkeypatch, search_keys, group_nodes):
+@pytest.mark.parametrize(("search_keys", "group_nodes", "share"), [(1, 2048, 0.5), (1, 4, 0.5), (0, 4, 0.5), (0, 8, 8.0)])
+def test_sliced_classes_equal_brute_force(spark, monkeypatch, search_keys, group_nodes, share):
+    monkeypatch.setattr(ngram_join, "PASS_SHARE", share)
     monkeypatch.setattr(ngram_join, "SEARCH_KEYS", search_keys)
     monkeypatch.setattr(ngram_join, "GROUP_NODES", group_nodes)
     rows = dict(enumerate(texts()))
