@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..sources.workspace import materialise
+from ..sources.workspace import discard, materialise
 
 THRESHOLD = 2
 MIN_CHARS = 24
@@ -84,7 +84,9 @@ def _verified(pairs: DataFrame, lines: DataFrame, threshold: int) -> DataFrame:
     texts = materialise(lines.join(wanted, "a", "left_semi").select("a", "b", "place", "line"), "line-texts")
     other = texts.select(F.col("a").alias("a2"), F.col("place").alias("place2"), F.col("line").alias("line2"))
     near = pairs.join(texts, "a").join(other, "a2").filter(F.col("place2") < F.col("place"))
-    return near.filter(F.levenshtein("line", "line2", threshold) >= 0).select("a", "b").distinct()
+    near = materialise(near.filter(F.levenshtein("line", "line2", threshold) >= 0).select("a", "b").distinct(), "line-near")
+    discard(texts)
+    return near
 
 
 def doomed_lines(rows: DataFrame, threshold: int = THRESHOLD, min_chars: int = MIN_CHARS, min_copy_chars: int | None = None) -> DataFrame:
@@ -113,18 +115,23 @@ def doomed_lines(rows: DataFrame, threshold: int = THRESHOLD, min_chars: int = M
     # large group fall to its earliest one; only those that don't are held against the rest.
     firsts = F.explode(F.array("first_own", F.when(F.col("own"), F.col("first")))).alias("a2")
     quick = materialise(met.select("a", firsts).filter("a2 is not null and a2 <> a").distinct(), "line-pairs")
-    gone = materialise(_verified(quick, lines, threshold), "line-near")
+    gone = _verified(quick, lines, threshold)
     left = met.join(gone.select("a"), "a", "left_anti").select("key", "a", "o", "own")
     others = met.select("key", F.col("a").alias("a2"), F.col("o").alias("o2"), F.col("own").alias("own2"))
     earlier = F.shiftright("o2", 21) <= F.shiftright("o", 21)
     rest = left.join(others, "key").filter((F.col("own") | F.col("own2")) & (F.col("a") != F.col("a2")) & earlier).select("a", "a2").distinct()
     rest = materialise(rest.join(quick, ["a", "a2"], "left_anti"), "line-pairs")
-    gone = gone.union(_verified(rest, lines, threshold)).withColumn("near", F.lit(True))
-    return (
-        lines.join(gone, ["a", "b"], "left")
+    discard(met, quick)
+    later = _verified(rest, lines, threshold)
+    near = gone.union(later).withColumn("near", F.lit(True))
+    doomed = materialise(
+        lines.join(near, ["a", "b"], "left")
         .filter(F.col("copies") | F.col("near").isNotNull())
-        .select("a", "b", F.when(F.col("near").isNull(), F.col("place")).alias("place"))
+        .select("a", "b", F.when(F.col("near").isNull(), F.col("place")).alias("place")),
+        "line-doomed",
     )
+    discard(lines, rest, gone, later)
+    return doomed
 
 
 def dedup_lines(documents: DataFrame, threshold: int = THRESHOLD, min_chars: int = MIN_CHARS, min_copy_chars: int | None = None) -> DataFrame:
@@ -134,7 +141,7 @@ def dedup_lines(documents: DataFrame, threshold: int = THRESHOLD, min_chars: int
     rows = documents.select(
         "doc_id", "text", F.struct(F.lit(0).alias("_0"), *[F.col(f"`{c}`") for c in others]).alias("_others"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("_row")
     )
-    doomed = materialise(doomed_lines(rows.select("doc_id", "_row", "text"), threshold, min_chars, min_copy_chars), "line-doomed")
+    doomed = doomed_lines(rows.select("doc_id", "_row", "text"), threshold, min_chars, min_copy_chars)
     if doomed.count() <= BROADCAST_LINES:
         doomed = F.broadcast(doomed)
     here = F.struct("doc_id", "_row", "at")
