@@ -122,3 +122,14 @@ def test_norm_is_worked_out_once(spark):
     assert got[0] == pytest.approx([0.6, 0.8]) and got[1:4] == [[0.0, 0.0], None, []] and got[4] == [1.0, None]
     tree = spark.createDataFrame(rows, "v array<float>").select(unit("v").alias("u"))._jdf.queryExecution().optimizedPlan().toString()
     assert tree.count("aggregate(") == 1
+
+
+@pytest.mark.parametrize("dense", [0.0, 2.0])
+def test_rows_of_one_document_add_up(monkeypatch, dense):
+    """A document whose rows repeat: the cells of a rare term add up, whichever way it is met."""
+    monkeypatch.setattr(term_blocks, "DENSE", dense)
+    monkeypatch.setattr(term_blocks, "FIRST_ROUND", 2)
+    matrix = term_blocks.QueryMatrix(np.arange(5), np.arange(5), np.full(5, 2.0), 5, 5)
+    term = np.array([0, 0, 1, 0, 3, 3, 3, 3, 4])
+    found = matrix.best([(np.array([10, 20, 30]), np.array([0, 3, 4, 9]), term, np.ones(9))], 2, 0.5e-6)
+    assert found_lists(found) == {0: [(10, 4.0), (20, 2.0)], 1: [(10, 2.0)], 2: [], 3: [(30, 8.0)], 4: [(30, 2.0)]}
