@@ -24,14 +24,9 @@ def vocabulary(counted: DataFrame, n_docs: int, size: int) -> DataFrame:
     """
     words = materialise(counts.word_counts(counted), "words")
     floor, _ = count_floor(words, "cf", size)
-    pairs = counts.pair_rows(counted)
-    if floor > 1:
-        frequent = materialise(words.filter(F.col("cf") >= floor).select("term"), "frequent-words")
-        for side in ("a", "b"):
-            pairs = pairs.join(frequent.withColumnRenamed("term", side), side, "left_semi")
-    pair_counts = pairs.groupBy("a", "b").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
-    terms = words.unionByName(pair_counts.select(F.concat_ws(" ", "a", "b").alias("term"), "df", "cf"))
-    kept = top_by_count(materialise(terms.filter(F.col("cf") >= floor), "term-counts"), "cf", "term", size)
+    frequent = materialise(words.filter(F.col("cf") >= floor).select("term"), "frequent-words") if floor > 1 else None
+    terms = words.filter(F.col("cf") >= floor).unionByName(counts.pair_counts(counted, floor, frequent))
+    kept = top_by_count(materialise(terms, "term-counts"), "cf", "term", size)
     idf = F.ln((1.0 + F.lit(n_docs)) / (1.0 + F.col("df"))) + 1.0
     return kept.select("term", "df", "cf", idf.alias("idf"))
 

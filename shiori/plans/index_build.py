@@ -14,20 +14,21 @@ from ..sources import index_store as store
 from ..sources.catalogue import search_text
 from ..sources.workspace import together
 
-DOCS_PER_BUCKET = 100_000
+# What a bucket holds at most, on average: its rows are sorted in memory where they are written.
+DOCS_PER_BUCKET, CHARACTERS_PER_BUCKET = 100_000, 64_000_000
 DOCS_PER_TERM_PART = 10_000
 MIN_DOCS_PER_TASK = 200
 MAX_BUCKETS = 100_000  # Spark's own limit
 
 
-def _layout(n_docs: int, cores: int) -> tuple[int, int]:
-    """Buckets and term partitions for a corpus of this size.
+def _layout(n_docs: int, cores: int, n_characters: int = 0) -> tuple[int, int]:
+    """Buckets and term partitions for a corpus of so many documents and characters.
 
     A small corpus gets one bucket per core; a large one gets buckets of bounded size, each cut into
     term partitions that still fill a file of some megabytes.
     """
     small = min(cores, math.ceil(n_docs / MIN_DOCS_PER_TASK))
-    buckets = min(MAX_BUCKETS, max(1, small, math.ceil(n_docs / DOCS_PER_BUCKET)))
+    buckets = min(MAX_BUCKETS, max(1, small, math.ceil(n_docs / DOCS_PER_BUCKET), math.ceil(n_characters / CHARACTERS_PER_BUCKET)))
     return buckets, max(1, min(32, n_docs // buckets // DOCS_PER_TERM_PART))
 
 
@@ -61,7 +62,8 @@ def build_index(
     folder = f"{path}/{version}"
 
     if buckets is None or term_parts is None:
-        computed = _layout(corpus.count(), spark.sparkContext.defaultParallelism)
+        size = corpus.agg(F.count("*").alias("docs"), F.sum(F.length(search_text())).alias("characters")).first()
+        computed = _layout(size["docs"], spark.sparkContext.defaultParallelism, size["characters"] or 0)
         buckets, term_parts = buckets or computed[0], term_parts or computed[1]
 
     # The one shuffle of the texts. The ids are fixed from here on: everything below reads the saved

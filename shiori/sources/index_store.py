@@ -112,7 +112,7 @@ def save_table(df: DataFrame, folder: str, name: str, buckets: int = 0) -> None:
     """Write one index table; a bucketed one is also entered in the session catalogue."""
     columns, partition, bucketed = LAYOUT[name]
     schema = T.StructType.fromDDL(columns)
-    writer = df.select([F.col(f.name).cast(f.dataType) for f in schema]).write.format("parquet")
+    writer = df.select([F.col(f.name).cast(f.dataType) for f in schema]).write.format("parquet").option("compression", "zstd")
     if partition:
         writer = writer.partitionBy(partition)
     if bucketed:
