@@ -30,6 +30,12 @@ MIN_CHARS = 24
 ALL_COPIES = 1
 # Lines whose hashes may be sent to every task; beyond it they are joined by a shuffle.
 BROADCAST_LINES = 50_000
+# Hashes of lines that meet others, 8 bytes each, that may be sent to every task to pick out the lines' texts.
+BROADCAST_HASHES = 500_000
+# Lines under one key that are all held against each other; in larger groups counts of characters tell most pairs apart.
+CROWD = 16
+# Characters are counted in so many cells, each 16 bits of a line's marks.
+CELLS = 32
 
 
 def _segments(n: Column, parts: int) -> list[tuple[Column, Column]]:
@@ -78,15 +84,40 @@ def lines_of(documents: DataFrame) -> DataFrame:
     return rows.select("doc_id", "_row", "at", "line", F.xxhash64("line").alias("a"), F.xxhash64(F.lit(1), "line").alias("b"), F.length("line").cast("bigint").alias("n"))
 
 
-def _verified(pairs: DataFrame, lines: DataFrame, threshold: int) -> DataFrame:
+def _texts(met: DataFrame, lines: DataFrame) -> DataFrame:
+    """The lines that ``met`` names by ``a``; other texts are not moved where the names are few enough to be sent."""
+    wanted = materialise(met.select("a").distinct(), "line-names")
+    texts = lines.join(F.broadcast(wanted) if wanted.count() <= BROADCAST_HASHES else wanted, "a", "left_semi")
+    texts = materialise(texts.select("a", "b", "place", "line"), "line-texts")
+    discard(wanted)
+    return texts
+
+
+def _verified(pairs: DataFrame, texts: DataFrame, threshold: int) -> DataFrame:
     """(a, b): lines with an earlier partner a2 in ``pairs`` within ``threshold`` edits."""
-    wanted = pairs.select("a").union(pairs.select("a2")).distinct()
-    texts = materialise(lines.join(wanted, "a", "left_semi").select("a", "b", "place", "line"), "line-texts")
     other = texts.select(F.col("a").alias("a2"), F.col("place").alias("place2"), F.col("line").alias("line2"))
     near = pairs.join(texts, "a").join(other, "a2").filter(F.col("place2") < F.col("place"))
-    near = materialise(near.filter(F.levenshtein("line", "line2", threshold) >= 0).select("a", "b").distinct(), "line-near")
-    discard(texts)
-    return near
+    return materialise(near.filter(F.levenshtein("line", "line2", threshold) >= 0).select("a", "b").distinct(), "line-near")
+
+
+def marks_of(texts: DataFrame) -> DataFrame:
+    """(a, marks): how often a line has characters of each cell, as bits; null where lines share their hash.
+
+    Counts that differ by one differ in one bit (a Johnson counter). An edit takes away and adds one character at most, so
+    lines within t edits differ in 2 t bits at most.
+    """
+    cell = F.pmod(F.xxhash64("piece"), F.lit(CELLS)).alias("cell")
+    counts = texts.select("a", "b", F.explode(F.split("line", "")).alias("piece")).groupBy("a", "b", cell).agg(F.pmod(F.count("*"), F.lit(32)).alias("n"))
+    ones = F.expr("if(n <= 16, shiftleft(1L, cast(n as int)) - 1, 65536L - shiftleft(1L, cast(n - 16 as int)))")
+    placed = counts.select("a", "b", "cell", ones.alias("ones")).withColumn("bits", F.expr("shiftleft(ones, cast(16 * (cell % 4) as int))"))
+    longs = [F.coalesce(F.bit_or(F.when(F.floor(F.col("cell") / 4) == k, F.col("bits"))), F.lit(0).cast("bigint")).alias(f"m{k}") for k in range(CELLS // 4)]
+    marks = placed.groupBy("a").agg((F.min("b") == F.max("b")).alias("one"), *longs)
+    return marks.select("a", F.when(F.col("one"), F.struct(*[f"m{k}" for k in range(CELLS // 4)])).alias("marks"))
+
+
+def _may_be_near(marks: str, marks2: str, threshold: int) -> Column:
+    differ = [F.bit_count(F.col(f"{marks}.m{k}").bitwiseXOR(F.col(f"{marks2}.m{k}"))) for k in range(CELLS // 4)]
+    return F.coalesce(sum(differ[1:], differ[0]) <= 2 * threshold, F.lit(True))
 
 
 def doomed_lines(rows: DataFrame, threshold: int = THRESHOLD, min_chars: int = MIN_CHARS, min_copy_chars: int | None = None) -> DataFrame:
@@ -108,21 +139,27 @@ def doomed_lines(rows: DataFrame, threshold: int = THRESHOLD, min_chars: int = M
         F.min_by("a", F.when(F.col("own"), F.col("o"))).alias("first_own"),
         (F.min("a") != F.max("a")).alias("several"),
         F.max("own").alias("indexed"),
+        F.count("*").alias("size"),
     )
-    heads = heads.filter("several and indexed").select("key", "first", "first_own")
-    met = materialise(keyed.join(heads, "key").select("key", "a", "o", "own", "first", "first_own"), "line-met")
+    heads = heads.filter("several and indexed").select("key", "first", "first_own", "size")
+    met = materialise(keyed.join(heads, "key").select("key", "a", "o", "own", "first", "first_own", "size"), "line-met")
     # Each line with the earliest of those it meets: as many rows as keys, however large the groups. Most lines of a
     # large group fall to its earliest one; only those that don't are held against the rest.
     firsts = F.explode(F.array("first_own", F.when(F.col("own"), F.col("first")))).alias("a2")
     quick = materialise(met.select("a", firsts).filter("a2 is not null and a2 <> a").distinct(), "line-pairs")
-    gone = _verified(quick, lines, threshold)
-    left = met.join(gone.select("a"), "a", "left_anti").select("key", "a", "o", "own")
-    others = met.select("key", F.col("a").alias("a2"), F.col("o").alias("o2"), F.col("own").alias("own2"))
+    texts = _texts(met, lines)
+    gone = _verified(quick, texts, threshold)
+    crowded = met.filter(F.col("size") > CROWD).select("a").distinct()
+    marks = marks_of(texts.join(crowded, "a", "left_semi"))
+    marked = materialise(met.select("key", "a", "o", "own").join(marks, "a", "left"), "line-marked")
+    left = marked.join(gone.select("a"), "a", "left_anti")
+    others = marked.select("key", F.col("a").alias("a2"), F.col("o").alias("o2"), F.col("own").alias("own2"), F.col("marks").alias("marks2"))
     earlier = F.shiftright("o2", 21) <= F.shiftright("o", 21)
-    rest = left.join(others, "key").filter((F.col("own") | F.col("own2")) & (F.col("a") != F.col("a2")) & earlier).select("a", "a2").distinct()
+    some = (F.col("own") | F.col("own2")) & (F.col("a") != F.col("a2")) & earlier & _may_be_near("marks", "marks2", threshold)
+    rest = left.join(others, "key").filter(some).select("a", "a2").distinct()
     rest = materialise(rest.join(quick, ["a", "a2"], "left_anti"), "line-pairs")
-    discard(met, quick)
-    later = _verified(rest, lines, threshold)
+    discard(met, marked, quick)
+    later = _verified(rest, texts, threshold)
     near = gone.union(later).withColumn("near", F.lit(True))
     doomed = materialise(
         lines.join(near, ["a", "b"], "left")
@@ -130,7 +167,7 @@ def doomed_lines(rows: DataFrame, threshold: int = THRESHOLD, min_chars: int = M
         .select("a", "b", F.when(F.col("near").isNull(), F.col("place")).alias("place")),
         "line-doomed",
     )
-    discard(lines, rest, gone, later)
+    discard(lines, texts, rest, gone, later)
     return doomed
 
 
