@@ -19,6 +19,8 @@ texts; rows equal in both count as one and keep the same lines. Ids are integers
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -101,22 +103,27 @@ def _verified(pairs: DataFrame, texts: DataFrame, threshold: int) -> DataFrame:
 
 
 def marks_of(texts: DataFrame) -> DataFrame:
-    """(a, marks): how often a line has characters of each cell, as bits; null where lines share their hash.
+    """(a, marks): how often a line has characters of each cell, as bits, four cells to a long.
 
     Counts that differ by one differ in one bit (a Johnson counter). An edit takes away and adds one character at most, so
-    lines within t edits differ in 2 t bits at most.
+    lines within t edits differ in 2 t bits at most. Lines that share their hash have a row each.
     """
-    cell = F.pmod(F.xxhash64("piece"), F.lit(CELLS)).alias("cell")
-    counts = texts.select("a", "b", F.explode(F.split("line", "")).alias("piece")).groupBy("a", "b", cell).agg(F.pmod(F.count("*"), F.lit(32)).alias("n"))
-    ones = F.expr("if(n <= 16, shiftleft(1L, cast(n as int)) - 1, 65536L - shiftleft(1L, cast(n - 16 as int)))")
-    placed = counts.select("a", "b", "cell", ones.alias("ones")).withColumn("bits", F.expr("shiftleft(ones, cast(16 * (cell % 4) as int))"))
-    longs = [F.coalesce(F.bit_or(F.when(F.floor(F.col("cell") / 4) == k, F.col("bits"))), F.lit(0).cast("bigint")).alias(f"m{k}") for k in range(CELLS // 4)]
-    marks = placed.groupBy("a").agg((F.min("b") == F.max("b")).alias("one"), *longs)
-    return marks.select("a", F.when(F.col("one"), F.struct(*[f"m{k}" for k in range(CELLS // 4)])).alias("marks"))
+
+    def ones(cells: Column, cell: Column) -> Column:
+        n = F.size(F.filter(cells, lambda c: c == cell)) % 32
+        below = lambda k: F.call_function("shiftleft", F.lit(1).cast("bigint"), k)
+        return F.when(n <= 16, below(n) - 1).otherwise(F.lit(65536).cast("bigint") - below(n - 16))
+
+    def packed(cells: Column) -> Column:
+        return F.transform(F.sequence(F.lit(0), F.lit(CELLS // 4 - 1)), lambda j: reduce(Column.bitwiseOR, [F.shiftleft(ones(cells, 4 * j + k), 16 * k) for k in range(4)]))
+
+    # As an element of an array the cells are worked out once for the line.
+    cells = F.transform(F.split("line", ""), lambda x: F.pmod(F.xxhash64(x), F.lit(CELLS)).cast("int"))
+    return texts.select("a", F.element_at(F.transform(F.array(cells), packed), 1).alias("marks"))
 
 
 def _may_be_near(marks: str, marks2: str, threshold: int) -> Column:
-    differ = [F.bit_count(F.col(f"{marks}.m{k}").bitwiseXOR(F.col(f"{marks2}.m{k}"))) for k in range(CELLS // 4)]
+    differ = [F.bit_count(F.col(marks)[k].bitwiseXOR(F.col(marks2)[k])) for k in range(CELLS // 4)]
     return F.coalesce(sum(differ[1:], differ[0]) <= 2 * threshold, F.lit(True))
 
 

@@ -39,7 +39,10 @@ def test_near_lines_differ_in_few_bits(spark):
     differ = lambda x, y: sum(((p ^ q) & (2**64 - 1)).bit_count() for p, q in zip(marks[number[x]], marks[number[y]], strict=True))
     assert all(differ(x, y) <= 4 for x, y in pairs)
     shared = spark.createDataFrame([(1, 1, "a b"), (1, 2, "c d")], "a bigint, b bigint, line string")
-    assert line_dedup.marks_of(shared).first()["marks"] is None
+    rows = line_dedup.marks_of(shared).collect()
+    assert [r["a"] for r in rows] == [1, 1] and rows[0]["marks"] != rows[1]["marks"]
+    plan = line_dedup.marks_of(shared)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Generate" not in plan
 
 
 def test_a_family_is_not_held_against_itself(spark, monkeypatch):
