@@ -52,7 +52,10 @@ def _segments(n: Column, parts: int) -> list[tuple[Column, Column]]:
 
 
 def _key(line: Column, start: Column, size: Column, number: int, length: Column) -> Column:
-    return F.xxhash64(F.lit(number), length, F.substring(line, (start + 1).cast("int"), size.cast("int")))
+    """Hash of a segment; of a line as long in bytes as in code points the bytes are cut, which needs no count of characters."""
+    at, size = (start + 1).cast("int"), size.cast("int")
+    cut = F.when(F.octet_length(line) == F.length(line), F.substring(line.cast("binary"), at, size)).otherwise(F.substring(line, at, size).cast("binary"))
+    return F.xxhash64(F.lit(number), length, cut)
 
 
 def line_keys(line: Column, n: Column, threshold: int = THRESHOLD) -> Column:
@@ -149,7 +152,8 @@ def doomed_lines(rows: DataFrame, threshold: int = THRESHOLD, min_chars: int = M
         F.count("*").alias("size"),
     )
     heads = heads.filter("several and indexed").select("key", "first", "first_own", "size")
-    met = materialise(keyed.join(heads, "key").select("key", "a", "o", "own", "first", "first_own", "size"), "line-met")
+    # The keys kept are far fewer than all: they are hashed, so that the others need no sorting.
+    met = materialise(keyed.join(heads.hint("shuffle_hash"), "key").select("key", "a", "o", "own", "first", "first_own", "size"), "line-met")
     # Each line with the earliest of those it meets: as many rows as keys, however large the groups. Most lines of a
     # large group fall to its earliest one; only those that don't are held against the rest.
     firsts = F.explode(F.array("first_own", F.when(F.col("own"), F.col("first")))).alias("a2")
