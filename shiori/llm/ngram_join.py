@@ -8,8 +8,10 @@
    with DivideSkip (short lists through a heap, long ones probed by binary search), and a node that reaches the
    required overlap with one already there is linked to it and not indexed itself.
 4. Groups are bounded and linked nodes not indexed, so links between classes can be missed there. Nodes that share a
-   prefix shingle but not a class are sent to each other's class, after filters by size, position and bitmap that lose
-   none, and search its inverted lists in the same way. A node that reaches one member is linked with the class.
+   prefix shingle but not a class are sent to each other's class, after filters by size, position and parity marks that
+   lose none, and search its inverted lists in the same way. A node that reaches one member is linked with the class.
+   First each node meets only its neighbours in the lists of its shingles, as many pairs as postings; classes that these
+   links join have no pairs with each other when all others are met.
 
 A group of copies of any size is one node; near copies cost a link each, not a pair for each two.
 
@@ -42,35 +44,84 @@ CELLS = 1 << 16
 SEARCH_KEYS, GROUP_NODES = 1, 2_048
 # Sets that go to classes at once, as a share of all sets; more are sent in passes, so that the disk they take stays bounded.
 PASS_SHARE = 0.5
-# Bits of a set's bitmap, by which most pairs are ruled out before sets are moved.
-BITS = 2_048
-REMEMBERED_WORDS = 400_000
+# Bits of a set's parities, by which most pairs are ruled out before sets are moved; so many go with each posting, 64 to a long.
+BITS, MARKS = 2_048, 8
+# Turns in which nodes meet their neighbours only.
+TURNS = 2
+# Nodes that a task remembers having met.
+REMEMBERED_NODES = 400_000
+# Texts hashed at once, in bytes; a longer one is hashed alone.
+CHUNK_BYTES = 1 << 18
 # Documents whose ids may be sent to every task; beyond it they are joined by a shuffle.
 BROADCAST_IDS = 100_000
 
 
-class Shingler(dict):
-    """Sorted distinct shingle hashes of texts; hashes of words are remembered up to a bound."""
+MIX = np.uint64(0x9E3779B97F4A7C15)
+# A word's hash is a polynomial of its bytes' values, modulo 2^64; this is its base, odd so that it has an inverse.
+BASE = 0xD6E8FEB86659FD93
+VALUES = np.random.default_rng(5).integers(1, 1 << 64, 256, dtype=np.uint64)
+VALUES[65:91] = VALUES[97:123]
+WHITE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
 
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= REMEMBERED_WORDS:
-            self.clear()
-        found = self[word] = xxhash.xxh64_intdigest(word)
-        return found
 
-    def of(self, text: str | None) -> np.ndarray:
-        # Lower-casing and splitting bytes touch ASCII only.
-        words = (text or "").encode("utf-8", "surrogatepass").lower().split()
-        h = np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
-        k = min(WORDS, len(h))
-        if not k:
-            return h
-        n = len(h) - k + 1
+class Shingler:
+    """Sorted distinct shingle hashes of texts, worked out for a chunk of texts at once."""
+
+    def __init__(self):
+        self.power, self.inverse = np.ones(1, np.uint64), np.ones(1, np.uint64)
+
+    def of(self, texts: pa.Array) -> Iterator[np.ndarray]:
+        texts = texts.fill_null("").cast(pa.large_binary())
+        _, offsets, data = texts.buffers()
+        offsets = np.frombuffer(offsets, np.int64)[texts.offset : texts.offset + len(texts) + 1] if len(texts) else np.zeros(1, np.int64)
+        data = np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)
+        start = 0
+        while start < len(texts):
+            end = max(start + 1, int(np.searchsorted(offsets, offsets[start] + CHUNK_BYTES, side="right")) - 1)
+            yield from self._chunk(data[offsets[start] : offsets[end]], offsets[start : end + 1] - offsets[start])
+            start = end
+
+    def _words(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Hashes of all words, and the number of the first word of each text."""
+        size = len(data)
+        if len(self.power) <= size:
+            self.power, self.inverse = (
+                np.concatenate([[np.uint64(1)], np.cumprod(np.full(size, x, np.uint64), dtype=np.uint64)]) for x in (BASE, pow(BASE, -1, 1 << 64))
+            )
+        # Borders of words: where white space or a text begins or ends.
+        inside = np.zeros(size + 2, bool)
+        inside[1:-1] = ~WHITE[data]
+        border = np.zeros(size + 1, bool)
+        border[offsets] = True
+        start = np.flatnonzero(inside[1:] & (border | ~inside[:-1]))
+        end = np.flatnonzero(inside[:-1] & (border | ~inside[1:]))
+        total = np.zeros(size + 1, np.uint64)
+        np.cumsum(VALUES[data] * self.power[:size], out=total[1:])
+        h = (total[end] - total[start]) * self.inverse[start] + (end - start).astype(np.uint64)
+        h ^= h >> np.uint64(32)
+        h *= MIX
+        h ^= h >> np.uint64(29)
+        return h, np.searchsorted(start, offsets)
+
+    def _chunk(self, data: np.ndarray, offsets: np.ndarray) -> Iterator[np.ndarray]:
+        h, first = self._words(data, offsets)
+        whole = self._shingles(h, WORDS)
+        for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True):
+            if not a < b:
+                yield h[:0]
+                continue
+            s = np.sort(whole[a : b - WORDS + 1] if b - a >= WORDS else self._shingles(h[a:b], b - a))
+            fresh = s[1:] != s[:-1]
+            yield s if fresh.all() else s[np.concatenate([[True], fresh])]
+
+    @staticmethod
+    def _shingles(h: np.ndarray, k: int) -> np.ndarray:
+        n = max(0, len(h) - k + 1)
         out = np.full(n, k, np.uint64)
         for i in range(k):
-            out = (out ^ h[i : i + n]) * np.uint64(0x9E3779B97F4A7C15)
+            out = (out ^ h[i : i + n]) * MIX
             out ^= out >> np.uint64(29)
-        return np.unique(out)
+        return out
 
 
 def cells_of(hashes: np.ndarray) -> np.ndarray:
@@ -82,8 +133,8 @@ def prefix_size(n: int) -> int:
 
 
 def in_order(hashes: np.ndarray, frequency: np.ndarray) -> np.ndarray:
-    """The hashes, rare ones first; one order for all texts."""
-    return hashes[np.lexsort((hashes, frequency[cells_of(hashes)]))]
+    """The sorted hashes, rare ones first; one order for all texts."""
+    return hashes[np.argsort(frequency[cells_of(hashes)], kind="stable")]
 
 
 def similar(a: np.ndarray, b: np.ndarray) -> bool:
@@ -91,10 +142,10 @@ def similar(a: np.ndarray, b: np.ndarray) -> bool:
     return 100 * common >= PERCENT * (len(a) + len(b) - common)
 
 
-def bitmap(hashes: np.ndarray) -> bytes:
-    bits = np.zeros(BITS, np.uint8)
-    bits[(hashes % np.uint64(BITS)).astype(np.int64)] = 1
-    return np.packbits(bits).tobytes()
+def parities(hashes: np.ndarray) -> tuple[bytes, bytes]:
+    """Whether the number of hashes in each of ``BITS`` cells is odd; and the same for the few cells that go with postings."""
+    bits, few = ((np.bincount((hashes % np.uint64(size)).astype(np.int64), minlength=size) & 1).astype(np.uint8) for size in (BITS, 64 * MARKS))
+    return np.packbits(bits).tobytes(), np.packbits(few).tobytes()
 
 
 def may_be_similar(a: bytes, b: bytes, n: int, m: int) -> bool:
@@ -114,12 +165,17 @@ def measured(documents: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler, cells = Shingler(), np.zeros(CELLS, np.int64)
         for batch in batches:
-            sizes, nodes = [], []
-            for text in batch.column(1):
-                s = shingler.of(text.as_py())
-                cells += np.bincount(cells_of(s), minlength=CELLS)
+            sizes, nodes, waiting, n_waiting = [], [], [], 0
+            for s in shingler.of(batch.column(1)):
+                waiting.append(s)
+                n_waiting += len(s)
+                if n_waiting >= CELLS:
+                    cells += np.bincount(cells_of(np.concatenate(waiting)), minlength=CELLS)
+                    waiting, n_waiting = [], 0
                 sizes.append(len(s))
                 nodes.append(xxhash.xxh64_intdigest(s.tobytes()) - (1 << 63))
+            if waiting:
+                cells += np.bincount(cells_of(np.concatenate(waiting)), minlength=CELLS)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(sizes, pa.int64()), pa.array(nodes, pa.int64()), pa.nulls(len(nodes), pa.binary())],
                 names=["doc_id", "n", "node", "cells"],
@@ -155,12 +211,11 @@ def postings(documents: DataFrame, frequency) -> DataFrame:
         shingler, met = Shingler(), set()
         for batch in batches:
             columns: list[list[np.ndarray]] = [[], [], [], []]
-            for text in batch.column(0):
-                s = shingler.of(text.as_py())
+            for s in shingler.of(batch.column(0)):
                 node = xxhash.xxh64_intdigest(s.tobytes()) - (1 << 63)
                 if not len(s) or node in met:
                     continue
-                if len(met) >= REMEMBERED_WORDS:
+                if len(met) >= REMEMBERED_NODES:
                     met.clear()
                 met.add(node)
                 first = in_order(s, frequency.value)[: prefix_size(len(s))]
@@ -184,7 +239,7 @@ def shared_postings(documents: DataFrame, frequency) -> DataFrame:
 
 
 def sets_of(documents: DataFrame, ids: DataFrame) -> DataFrame:
-    """(node, n, s, bits): the sets of the documents in ``ids`` (doc_id, node), their sizes and bitmaps."""
+    """(node, n, s, bits, marks): the sets of the documents in ``ids`` (doc_id, node), their sizes and parities."""
     ids = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
     texts = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").join(ids, "doc_id").select("node", "text")
 
@@ -192,18 +247,19 @@ def sets_of(documents: DataFrame, ids: DataFrame) -> DataFrame:
         shingler, met = Shingler(), set()
         for batch in batches:
             found = []
-            for node, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            for node, s in zip(batch.column(0).to_pylist(), shingler.of(batch.column(1)), strict=True):
                 # Rows repeated with their id and text are one set; rows of that id with other texts are other nodes.
-                if node in met or xxhash.xxh64_intdigest((s := shingler.of(text.as_py())).tobytes()) - (1 << 63) != node:
+                if node in met or xxhash.xxh64_intdigest(s.tobytes()) - (1 << 63) != node:
                     continue
-                if len(met) >= REMEMBERED_WORDS:
+                if len(met) >= REMEMBERED_NODES:
                     met.clear()
                 met.add(node)
-                found.append((node, len(s), s.tobytes(), bitmap(s)))
-            types = {"node": pa.int64(), "n": pa.int64(), "s": pa.binary(), "bits": pa.binary()}
+                bits, few = parities(s)
+                found.append((node, len(s), s.tobytes(), bits, np.frombuffer(few, np.int64).tolist()))
+            types = {"node": pa.int64(), "n": pa.int64(), "s": pa.binary(), "bits": pa.binary(), "marks": pa.list_(pa.int64())}
             yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], t) for i, t in enumerate(types.values())], names=list(types))
 
-    return texts.mapInArrow(run, "node bigint, n bigint, s binary, bits binary")
+    return texts.mapInArrow(run, "node bigint, n bigint, s binary, bits binary, marks array<bigint>")
 
 
 class Occurrences:
@@ -308,17 +364,46 @@ def components(edges: DataFrame) -> DataFrame:
     return labels
 
 
-def likely_pairs(shared: DataFrame, labels: DataFrame, sets: DataFrame) -> DataFrame:
-    """(node, label, n, node2, label2, n2): nodes of different classes that share a prefix shingle and may be similar by size, position and bitmap."""
-    known = shared.join(labels, "node", "left").select("h", "node", "n", "pos", F.coalesce("label", "node").alias("label"))
+def mixed_lists(listed: DataFrame, labels: DataFrame) -> DataFrame:
+    """The postings ``listed`` of shingles that nodes of several classes have, with the class of each node as ``label``."""
+    known = listed.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     of = Window.partitionBy("h")
-    mixed = known.withColumns({"lo": F.min("label").over(of), "hi": F.max("label").over(of)}).filter("lo < hi").drop("lo", "hi")
-    mixed = materialise(mixed, "mixed")
-    other = mixed.select("h", *[F.col(c).alias(f"{c}2") for c in ("node", "n", "pos", "label")])
+    return known.withColumns({"lo": F.min("label").over(of), "hi": F.max("label").over(of)}).filter("lo < hi").drop("lo", "hi")
+
+
+def _alike():
+    """Whether sets with n and n2 shingles, a common one at pos and pos2, and marks and marks2 can be similar."""
     least = F.ceil(PERCENT * (F.col("n") + F.col("n2")) / (100 + PERCENT))
     most = F.least("pos", "pos2") + F.least(F.col("n") - F.col("pos"), F.col("n2") - F.col("pos2"))
-    pairs = mixed.join(other, "h").filter((F.col("label") < F.col("label2")) & (most >= least))
-    pairs = pairs.filter(100 * F.least("n", "n2") >= PERCENT * F.greatest("n", "n2")).select("node", "label", "node2", "label2", "n", "n2").distinct()
+    differ = [F.bit_count(F.col("marks")[k].bitwiseXOR(F.col("marks2")[k])) for k in range(MARKS)]
+    sizes = 100 * F.least("n", "n2") >= PERCENT * F.greatest("n", "n2")
+    return sizes & (most >= least) & (F.col("n") + F.col("n2") - sum(differ[1:], differ[0]) >= 2 * least)
+
+
+def neighbour_pairs(mixed: DataFrame, turn: int) -> DataFrame:
+    """Pairs of a node with the one before it in a list and with the list's first: two for a posting, however long the list."""
+    order = ["n", "node"] if not turn else [F.xxhash64(F.lit(turn), "node"), "node"]
+    lists = Window.partitionBy("h").orderBy(*order)
+    own = F.struct("node", "n", "pos", "label", "marks")
+    met = mixed.select(own.alias("x"), F.array(F.lag(own).over(lists), F.first(own).over(lists)).alias("ys"))
+    met = met.select("x", F.explode("ys").alias("y"))
+    pairs = met.filter("x.label <> y.label").select("x.*", *[F.col(f"y.{c}").alias(f"{c}2") for c in ("node", "n", "pos", "label", "marks")]).filter(_alike())
+    # The smaller class comes first.
+    turned = F.col("label") > F.col("label2")
+    names = [("node", "node2"), ("label", "label2"), ("node2", "node"), ("label2", "label"), ("n", "n2"), ("n2", "n")]
+    return pairs.select(*[F.when(turned, F.col(b)).otherwise(F.col(a)).alias(a) for a, b in names])
+
+
+def all_pairs(mixed: DataFrame) -> DataFrame:
+    """Pairs of all nodes of different classes that have a shingle in common and may be similar."""
+    other = mixed.select("h", *[F.col(c).alias(f"{c}2") for c in ("node", "n", "pos", "label", "marks")])
+    pairs = mixed.join(other, "h").filter((F.col("label") < F.col("label2")) & _alike())
+    return pairs.select("node", "label", "node2", "label2", "n", "n2")
+
+
+def likely_pairs(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """(node, label, node2, label2, n, n2): the distinct ``pairs`` that may be similar by all parities of their sets."""
+    pairs = materialise(pairs.distinct(), "met-pairs")
     bits = sets.select("node", "bits")
     mapped = pairs.join(bits, "node").join(bits.select(F.col("node").alias("node2"), F.col("bits").alias("bits2")), "node2")
 
@@ -329,10 +414,33 @@ def likely_pairs(shared: DataFrame, labels: DataFrame, sets: DataFrame) -> DataF
 
     columns = mapped.select("node", "label", "node2", "label2", "n", "n2", "bits", "bits2")
     likely = materialise(columns.mapInArrow(sieve, "node bigint, label bigint, node2 bigint, label2 bigint, n int, n2 int"), "likely-pairs")
-    discard(mixed)
+    discard(pairs)
     return likely
 
 
+def linked(links: DataFrame, shared: DataFrame, sets: DataFrame) -> DataFrame:
+    """(node, label): the classes of ``links`` and of all links between them."""
+    classes = components(links)
+    marked = shared.select("h", "node", "n", "pos").join(sets.select("node", "marks"), "node")
+    mixed = materialise(mixed_lists(marked, classes), "mixed")
+    for turn in range(TURNS + 1):
+        likely = likely_pairs(neighbour_pairs(mixed, turn) if turn < TURNS else all_pairs(mixed), sets)
+        more = joined(likely, sets)
+        discard(likely)
+        if not more.isEmpty():
+            old = links, more, classes
+            links = materialise(links.union(more), "links")
+            classes = components(links)
+            discard(*old)
+            if turn < TURNS:
+                before, mixed = mixed, materialise(mixed_lists(mixed.drop("label"), classes), "mixed")
+                discard(before)
+        else:
+            discard(more)
+    discard(mixed, links)
+    return classes
+
+
 def joined(likely: DataFrame, sets: DataFrame) -> DataFrame:
     """(u, v): links between classes, by T-occurrence search of each likely partner in the lists of the class.
 
@@ -384,15 +492,8 @@ def ngram_components(documents: DataFrame) -> DataFrame:
     ids = materialise(first.join(shared.select("node").distinct(), "node", "left_semi"), "shared-ids")
     sets = materialise(sets_of(documents, ids), "sets")
     links = searched(shared, sets)
-    classes = components(links)
-    likely = likely_pairs(shared, classes, sets)
-    more = joined(likely, sets)
-    discard(shared, ids, sets, likely)
-    labels = classes
-    if not more.isEmpty():
-        labels = components(links.union(more))
-        discard(classes)
-    discard(links, more)
+    labels = linked(links, shared, sets)
+    discard(shared, ids, sets, links)
     classed = docs.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     least = classed.filter("n > 0").groupBy("label").agg(F.min("doc_id").alias("least"))
     return classed.join(least, "label", "left").select(
