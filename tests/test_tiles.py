@@ -107,3 +107,16 @@ def test_splits_equal_the_whole(spark, monkeypatch):
     whole = lists(bm25_topk(index, queries, 5, pad=False))
     monkeypatch.setattr(term_blocks, "HELD_CELLS", 20)
     assert lists(bm25_topk(index, queries, 5, pad=False, block_terms=100)) == whole
+
+
+def test_rows_without_query_id_are_one_query(spark):
+    """They take no part in the list of another query."""
+    index = build_index(corpus_of(spark, made_rows()), fresh_path(spark, "no-id"), vocabulary=25, buckets=2, term_parts=2)
+    named = [(1, "total age"), (2, "school income"), (3, "Tokyo rate")]
+    asked = spark.createDataFrame([*named, (None, "人口 rate"), (None, "income rate")], "query_id int, query string")
+    alone = spark.createDataFrame([*named, (9, "人口 rate income rate")], "query_id int, query string")
+    want = lists(bm25_topk(index, alone, 5, pad=False))
+    want[None] = want.pop(9)
+    assert len(want[None]) == 5
+    assert lists(bm25_topk(index, asked, 5, pad=False)) == want
+    assert lists(bm25_topk(index, asked, 5, pad=False, block_terms=2)) == want
